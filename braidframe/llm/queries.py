@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licenses, pii, quality
+from . import chat, fingerprint, licenses, mixing, packing, pii, quality
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.turn_spans(chat.with_added(table(spark, sf_dir, "conversations"))))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -30,10 +42,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_pseudonyms,
+        op2_chat_format,
+        op3_source_mix,
         op6_quality_rules,
         op7_fingerprints,
+        op9_packing,
         op10_license_scan,
     )
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_source_mix": mixing.ORACLE, "op6_quality_rules": quality.ORACLE}

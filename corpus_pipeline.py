@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidframe.llm import pii, quality
+from braidframe.llm import jaccard_join, mixing, packing, pii, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,13 +18,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    return jaccard_join.deduplicated(docs)
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the text."""
     out = pii.pseudonymised(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality_stage), ("pii", pii_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality_stage), ("ngram_jaccard", jaccard_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: The mixing order and the packing have no SQL form; the run is tested against a brute-force version.
 ORACLE_SQL: str | None = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, html_crf, jaccard_join, licenses, mixing, packing, pii, quality
+from . import chat, fingerprint, html_crf, jaccard_join, licenses, mixing, packing, pii, quality, suffix_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pii_pseudonyms,
         op2_chat_format,
         op3_source_mix,
+        op4_suffix_dedup,
         op5_ngram_jaccard,
         op6_quality_rules,
         op7_fingerprints,

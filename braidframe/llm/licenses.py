@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LICENSE_WORD, ascii_lower, let, whole_text, words_of
+from .common import LICENSE_WORD, LICENSE_WORD_OR_CAPITALS, ascii_lower_words, let, whole_text
 
 #: The base phrases of the query contract and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -40,7 +40,7 @@ MOST_TEMPLATE_GRAMS = 100_000
 
 
 def template_words(text: str) -> list[str]:
-    return re.findall(LICENSE_WORD, text.translate({c: c + 32 for c in range(65, 91)}))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -59,7 +59,7 @@ def base_places(words: Column) -> Column:
 
 def _documents(docs: DataFrame) -> DataFrame:
     text = whole_text()
-    return docs.select("doc_id", F.xxhash64(text).alias("row_key"), words_of(ascii_lower(text), LICENSE_WORD).alias("words"))
+    return docs.select("doc_id", F.xxhash64(text).alias("row_key"), ascii_lower_words(text, LICENSE_WORD, LICENSE_WORD_OR_CAPITALS).alias("words"))
 
 
 def diagonal_votes(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = 3, near: int = 3, least: float = 0.8) -> DataFrame:
@@ -74,8 +74,10 @@ def diagonal_votes(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         grams += [(t, p, " ".join(w[p : p + k])) for p in range(len(w) - k + 1)]
     if len(grams) > MOST_TEMPLATE_GRAMS:
         raise ValueError("the templates are too large to broadcast")
-    g = spark.createDataFrame(grams, "t int, tp int, gram string").withColumn("h", F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(k)]))
-    kinds = spark.createDataFrame(lengths, "t int, label string, n_template int")
+    one = spark.range(1)
+    row = lambda **values: F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+    g = one.select(F.inline(F.array(*[row(t=t, tp=p, gram=w) for t, p, w in grams]))).withColumn("h", F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(k)]))
+    kinds = one.select(F.inline(F.array(*[row(t=t, label=x, n_template=n) for t, x, n in lengths])))
 
     def rolling(w: Column) -> Column:
         n = F.size(w)

@@ -1,3 +1,13 @@
-"""Query registry: name to function, name to SQL."""
-QUERIES = {}
-ORACLES = {}
+"""Query registry: name to function, name to the SQL it is compared with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import queries_core
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_core"]
+Query = Callable[[SparkSession, str], DataFrame]

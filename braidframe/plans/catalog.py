@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_core
+from . import queries_core, queries_graph
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_core"]
+__all__ = ["ORACLES", "QUERIES", "queries_core", "queries_graph"]
 Query = Callable[[SparkSession, str], DataFrame]

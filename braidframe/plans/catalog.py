@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_core, queries_graph
+from . import queries_core, queries_graph, queries_lift
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_core", "queries_graph"]
+__all__ = ["ORACLES", "QUERIES", "queries_core", "queries_graph", "queries_lift"]
 Query = Callable[[SparkSession, str], DataFrame]

@@ -9,14 +9,15 @@ share at least :func:`least_common` of their first :func:`prefix_length` element
 2. an element in more groups gives none yet. A group whose prefix holds too few such elements to reach ``least_common`` through
    them alone is done with: each of its links also shares a rare element. For the others each element links neighbours in order
    of size and the first with all, which ties groups of near copies together with a linear number of candidates;
-3. candidates are verified on the whole texts, links become components, and pairs across components that share a frequent element
-   and can still reach ``least_common`` are verified too. So no link between components is lost, and no pairs are made within one.
+3. candidates are verified on the whole texts and links become components; sets of different components that share a frequent
+   element then meet in blocks, where an inverted index counts what they share (:func:`within_blocks`). So no link between
+   components is lost, and no pairs are listed within one.
 
 Nothing is capped: ``bucket`` decides which of two exact ways an element goes. Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: null text is empty; without words the set is empty and linked with nothing; with fewer than five words the whole
-sequence is the one shingle; repeated rows and rows that share a doc_id are members each; a null doc_id takes part but is never
-the smallest unless its class has no other; an empty table gives an empty result; further columns are ignored.
+sequence is the one shingle; repeated rows and rows that share a doc_id are members each; a null doc_id is
+linked through exact copies that have an id only, and never the smallest; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -210,10 +211,9 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets, made again from whole texts, are alike to 0.8. reps: key, rep (a doc_id with that set)."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    needed = checkpointed(ends.join(reps.filter("rep IS NOT NULL"), "key").select("key", F.col("rep").alias("doc_id")))
+def keyed_texts(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, text (one whole text of each set in ``keys``). reps: key, rep (a doc_id with that set)."""
+    needed = checkpointed(keys.join(reps.filter("rep IS NOT NULL"), "key").select("key", F.col("rep").alias("doc_id")))
     texts = _only(docs.select("doc_id", "text"), needed.select("doc_id").distinct(), "left_semi")
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +222,16 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
             raw = _texts(batch, 0)
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s := shingles(t)) else 0 for t in raw], pa.int64()), pa.array(raw, pa.binary())], names=["key", "text"])
 
-    # keyed by the set itself, so that rows which share a doc_id do no harm; one text for each key
-    sets = texts.select("text").mapInArrow(keyed, "key long, text binary").join(F.broadcast(needed.select("key")) if needed.count() <= MOST_BROADCAST_IDS else needed.select("key"), "key", "left_semi")
-    sets = sets.dropDuplicates(["key"])
+    # keyed by the set itself, so that rows which share a doc_id do no harm
+    side = needed.select("key")
+    few = needed.count() <= MOST_BROADCAST_IDS
+    sets = texts.select("text").mapInArrow(keyed, "key long, text binary").join(F.broadcast(side) if few else side, "key", "left_semi")
+    return sets.dropDuplicates(["key"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets, made again from whole texts, are alike to 0.8."""
+    sets = keyed_texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), reps)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -247,7 +254,91 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, bucket: int = 16) -> DataFrame:
+def block_links(keys: list[int], sets: list[np.ndarray], roots: list[int], chunks: list[int], search: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members with different roots, as few as join what they join; members in ``search`` are tried on all others.
+
+    ``chunks`` splits a large block: two members meet only if they are of the two chunks of this task, or it has just one.
+    """
+    m = len(keys)
+    size = np.array([len(x) for x in sets])
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.repeat(np.arange(m), size)
+    order = np.argsort(local, kind="stable")
+    postings = member[order]
+    count = np.bincount(local)
+    at = np.r_[0, np.cumsum(count)]
+    first = np.r_[0, np.cumsum(size)]
+    root, chunk = np.array(roots), np.array(chunks)
+    several = len(set(chunks)) > 1
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for i in search.tolist():
+        ids = local[first[i] : first[i + 1]]
+        ids = ids[count[ids] > 1]
+        lens = count[ids]
+        where = np.repeat(at[ids] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum()) if len(ids) else ids
+        common = np.bincount(postings[where], minlength=m)
+        alike = (100 * common >= 80 * (size[i] + size - common)) & (root != root[i])
+        if several:
+            alike &= chunk != chunk[i]
+        for j in np.flatnonzero(alike).tolist():
+            ri, rj = find(roots[i]), find(roots[j])
+            if ri != rj:
+                parent[ri] = rj
+                out.append((keys[i], keys[j]))
+    return out
+
+
+def within_blocks(docs: DataFrame, hot: DataFrame, roots: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between components among the sets that share a frequent element.
+
+    Elements are gathered into blocks by the set, of those under them, with the most frequent elements, so most elements of a family
+    of copies make one block and each set is sent to a few blocks only. Blocks of more than ``block`` sets are cut into chunks, and
+    every two chunks meet in a task of their own; a task never holds more than two chunks. Sets outside a block's largest
+    component are tried on all others.
+    """
+    label = hot.groupBy("token").agg(F.max(F.struct("h", "key")).alias("m")).select("token", F.col("m.key").alias("label"))
+    rows = hot.join(label, "token").select("label", "key").distinct()
+    rows = checkpointed(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("label", "key", F.coalesce("root", "key").alias("root")))
+    per = rows.groupBy("label", "root").agg(F.count("*").alias("m")).groupBy("label").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"), F.sum("m").alias("m"))
+    per = per.filter("roots > 1").select("label", F.col("top.root").alias("top"), F.ceil(F.col("m") / block).cast("int").alias("n_chunks"))
+    rows = rows.join(per, "label").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    rows = rows.select("label", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "key", "root", (F.col("root") != F.col("top")).alias("stray"))
+    rows = checkpointed(rows)
+    texts = keyed_texts(docs, rows.select("key").distinct(), reps)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        now, members = None, []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            if not members:
+                return
+            keys, roots_, chunks, strays, sets = (list(x) for x in zip(*members))
+            found = block_links(keys, sets, roots_, chunks, np.flatnonzero(strays))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=_LINKS)
+
+        for batch in batches:
+            for label_, x, y, chunk, key, root, stray, text in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if (label_, x, y) != now:
+                    yield from solve()
+                    now, members = (label_, x, y), []
+                members.append((key, root, chunk, stray, shingles(text)))
+        yield from solve()
+
+    dealt = rows.join(texts, "key").select("label", "x", "y", "chunk", "key", "root", "stray", "text").repartition(shuffle_width(docs.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y", "key")
+    return checkpointed(dealt.mapInArrow(run, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, bucket: int = 16, block: int = 2000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     keys = checkpointed(set_keys(docs))
     reps = checkpointed(keys.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
@@ -272,21 +363,13 @@ def near_duplicates(docs: DataFrame, bucket: int = 16) -> DataFrame:
     chain = along.filter(F.col("k1").isNotNull() & fits("n1")).select(F.col("k1").alias("a"), F.col("key").alias("b"))
     star = along.filter((F.col("k0") != F.col("key")) & fits("n0")).select(F.col("k0").alias("a"), F.col("key").alias("b"))
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
-    links = verified(docs, checkpointed(ordered(cold.union(chain).union(star))), reps)
+    first_pairs = checkpointed(ordered(cold.union(chain).union(star)))
+    links = verified(docs, first_pairs, reps)
     roots = checkpointed(components(links))
 
-    # across components: of each frequent element, every set outside its largest component against all
-    placed = checkpointed(hot.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    per = placed.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
-    split = placed.join(per.filter("roots > 1").select("token", F.col("top.root").alias("top")), "token")
-    left = split.filter("root != top").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"), F.col("root").alias("ra"))
-    right = split.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"), F.col("root").alias("rb"))
-    may = (F.col("ra") != F.col("rb")) & (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & (F.least("ha", "hb") >= least_common(F.col("na"), F.col("nb")))
-    across = left.join(right, "token").filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ha", "hb", "na", "nb", "token").distinct()
-    across = across.groupBy("a", "b").agg(F.countDistinct("token").alias("c"), F.max(least_common(F.col("na"), F.col("nb"))).alias("need")).filter("c >= need")
-    across = checkpointed(across.select("a", "b").join(links, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = verified(docs, across, reps)
+    # sets in different components that meet under a frequent element are compared in blocks, without listing pairs
+    more = within_blocks(docs, hot, roots, reps, block)
+    if not more.isEmpty():
         roots = checkpointed(components(links.union(more)))
 
     named = reps.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -63,5 +63,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows_a_part: int = 200_000) -> DataFrame:
+    """:func:`checkpointed`, read back in as few partitions as its rows need, so that small tables do not make many small files."""
+    out = checkpointed(df)
+    return out.coalesce(parts_for(out.count(), rows_a_part))
+
+
+def parts_for(rows: int, rows_a_part: int = 200_000) -> int:
+    return max(1, -(-rows // rows_a_part))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

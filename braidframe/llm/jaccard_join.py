@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, checkpointed, shuffle_width
+from .common import SHINGLE_WORDS, checkpointed, settled, shuffle_width
 from .components import components
 
 #: Ids up to this number are broadcast as a filter; more are joined by a shuffle.
@@ -213,7 +213,7 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def keyed_texts(docs: DataFrame, keys: DataFrame, reps: DataFrame) -> DataFrame:
     """key, text (one whole text of each set in ``keys``). reps: key, rep (a doc_id with that set)."""
-    needed = checkpointed(keys.join(reps.filter("rep IS NOT NULL"), "key").select("key", F.col("rep").alias("doc_id")))
+    needed = settled(keys.join(reps.filter("rep IS NOT NULL"), "key").select("key", F.col("rep").alias("doc_id")))
     texts = _only(docs.select("doc_id", "text"), needed.select("doc_id").distinct(), "left_semi")
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sa = sets.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     sb = sets.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(sb, "b").join(sa, "a").select("a", "b", "ta", "tb")
-    return checkpointed(both.mapInArrow(run, "a long, b long"))
+    return settled(both.mapInArrow(run, "a long, b long"))
 
 
 def block_links(keys: list[int], sets: list[np.ndarray], roots: list[int], chunks: list[int], search: np.ndarray) -> list[tuple[int, int]]:
@@ -305,7 +305,7 @@ def within_blocks(docs: DataFrame, hot: DataFrame, roots: DataFrame, reps: DataF
     """
     label = hot.groupBy("token").agg(F.max(F.struct("h", "key")).alias("m")).select("token", F.col("m.key").alias("label"))
     rows = hot.join(label, "token").select("label", "key").distinct()
-    rows = checkpointed(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("label", "key", F.coalesce("root", "key").alias("root")))
+    rows = settled(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("label", "key", F.coalesce("root", "key").alias("root")))
     per = rows.groupBy("label", "root").agg(F.count("*").alias("m")).groupBy("label").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"), F.sum("m").alias("m"))
     per = per.filter("roots > 1").select("label", F.col("top.root").alias("top"), F.ceil(F.col("m") / block).cast("int").alias("n_chunks"))
     rows = rows.join(per, "label").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
@@ -335,7 +335,7 @@ def within_blocks(docs: DataFrame, hot: DataFrame, roots: DataFrame, reps: DataF
         yield from solve()
 
     dealt = rows.join(texts, "key").select("label", "x", "y", "chunk", "key", "root", "stray", "text").repartition(shuffle_width(docs.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y", "key")
-    return checkpointed(dealt.mapInArrow(run, "a long, b long"))
+    return settled(dealt.mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, bucket: int = 16, block: int = 2000) -> DataFrame:
@@ -347,8 +347,8 @@ def near_duplicates(docs: DataFrame, bucket: int = 16, block: int = 2000) -> Dat
     # prefix elements under frequent tokens, by set
     hot = found.filter(F.col("token").isNotNull()).select("token", F.col("a").alias("key"), F.col("na").alias("n"))
     per_set = hot.groupBy("key", "n").agg(F.count("*").alias("h"))
-    strong = checkpointed(per_set.filter(F.col("h") + 2 >= F.col("n") / 10).select("key", "h"))
-    hot = checkpointed(hot.join(strong, "key"))
+    strong = settled(per_set.filter(F.col("h") + 2 >= F.col("n") / 10).select("key", "h"))
+    hot = settled(hot.join(strong, "key"))
 
     cold = found.filter(F.col("token").isNull()).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
     ha = per_set.select(F.col("key").alias("a"), F.col("h").alias("ha"))
@@ -363,14 +363,14 @@ def near_duplicates(docs: DataFrame, bucket: int = 16, block: int = 2000) -> Dat
     chain = along.filter(F.col("k1").isNotNull() & fits("n1")).select(F.col("k1").alias("a"), F.col("key").alias("b"))
     star = along.filter((F.col("k0") != F.col("key")) & fits("n0")).select(F.col("k0").alias("a"), F.col("key").alias("b"))
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
-    first_pairs = checkpointed(ordered(cold.union(chain).union(star)))
+    first_pairs = settled(ordered(cold.union(chain).union(star)))
     links = verified(docs, first_pairs, reps)
-    roots = checkpointed(components(links))
+    roots = settled(components(links))
 
     # sets in different components that meet under a frequent element are compared in blocks, without listing pairs
     more = within_blocks(docs, hot, roots, reps, block)
     if not more.isEmpty():
-        roots = checkpointed(components(links.union(more)))
+        roots = settled(components(links.union(more)))
 
     named = reps.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = named.withColumn("component_id", F.min("rep").over(Window.partitionBy("root"))).select("key", "component_id")

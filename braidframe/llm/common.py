@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def ascii_lower_words(text: Column, pattern: str, pattern_with_capitals: str) ->
     return F.when(ascii_only, words_of(F.lower(text), pattern)).otherwise(lowered)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows to Python for the actions within, so that long texts do not add up in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession, fallback: str = "/tmp/braidframe-checkpoints") -> None:
     """Point checkpoint() at the folder that the cluster names; ``fallback`` only where it names none, as in tests."""
     sc = spark.sparkContext

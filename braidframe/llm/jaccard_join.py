@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, checkpointed, settled, shuffle_width
+from .common import SHINGLE_WORDS, arrow_rows, checkpointed, settled, shuffle_width
 from .components import components
 
 #: Ids up to this number are broadcast as a filter; more are joined by a shuffle.
@@ -42,7 +42,7 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class Shingler:
     """Texts (UTF-8 bytes) to sorted arrays of distinct shingle hashes."""
 
-    def __init__(self, width: int = SHINGLE_WORDS, most_words: int = 500_000):
+    def __init__(self, width: int = SHINGLE_WORDS, most_words: int = 200_000):
         import xxhash
 
         digest = xxhash.xxh64_intdigest
@@ -251,7 +251,8 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sa = sets.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     sb = sets.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(sb, "b").join(sa, "a").select("a", "b", "ta", "tb")
-    return settled(both.mapInArrow(run, "a long, b long"))
+    with arrow_rows(docs.sparkSession, 200):
+        return settled(both.mapInArrow(run, "a long, b long"))
 
 
 def block_links(keys: list[int], sets: list[np.ndarray], roots: list[int], chunks: list[int], search: np.ndarray) -> list[tuple[int, int]]:
@@ -335,12 +336,14 @@ def within_blocks(docs: DataFrame, hot: DataFrame, roots: DataFrame, reps: DataF
         yield from solve()
 
     dealt = rows.join(texts, "key").select("label", "x", "y", "chunk", "key", "root", "stray", "text").repartition(shuffle_width(docs.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y", "key")
-    return settled(dealt.mapInArrow(run, "a long, b long"))
+    with arrow_rows(docs.sparkSession, 200):
+        return settled(dealt.mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, bucket: int = 16, block: int = 2000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    keys = checkpointed(set_keys(docs))
+    with arrow_rows(docs.sparkSession, 1000):
+        keys = checkpointed(set_keys(docs))
     reps = checkpointed(keys.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
     found = checkpointed(buckets(prefixes(docs), bucket))
 

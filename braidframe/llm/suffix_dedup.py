@@ -4,11 +4,11 @@ A byte goes if it lies in a ``width``-byte string that also starts in a document
 
 1. Copies of a whole text are settled by the text's hash.
 2. Of the ``gram``-byte strings of every window of ``width`` bytes the one with the smallest hash is the window's anchor, so equal
-   windows have equal anchors. Each anchor row carries a hash of its surroundings, the fragment in which all its windows lie.
-   Rows are dealt out by anchor and streamed in order: a fragment that an earlier document has too is covered whole; of the rest
-   only those stay whose anchor occurs with other surroundings in an earlier or later document.
-3. The bytes of these are cut from the texts, dealt out by the anchor with 17 more bytes to its left or right (one of both is
-   within any window), and a suffix array is built over each bounded run of groups by two-stage sorting: suffixes smaller than
+   windows have equal anchors. Each anchor row carries hashes of its surroundings: of the fragment in which all its windows lie,
+   and of the anchor with 17 more bytes to its left and to its right, one of which lies within any window. Rows are dealt out by
+   anchor and streamed in order: a fragment that an earlier document has too is covered whole; of the rest only those stay whose
+   left or right side another document has too.
+3. The bytes of these are cut from the texts and dealt out by side, and a suffix array is built over each bounded run of groups by two-stage sorting: suffixes smaller than
    their successors are sorted directly, the rest induced by bucket scans; adjacent common prefixes of ``width`` bytes or more then
    give the strings that fragments share, and the smallest doc_id of each.
 
@@ -109,14 +109,13 @@ class Surroundings:
                 self.powers = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(base))])
                 self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(base, -1, 1 << 64)))])
 
-    def __call__(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def __call__(self, data: bytes, ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         n = len(data)
         self._grow(n)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(self.table[np.frombuffer(data, np.uint8)] * self.inverse[:n], out=sums[1:])
-            h = (sums[end] - sums[start]) * self.powers[start] + (end - start).astype(np.uint64)
-        return _mixed(h)
+            return [_mixed((sums[end] - sums[start]) * self.powers[start] + (end - start).astype(np.uint64)) for start, end in ranges]
 
 
 def tag_of(data: bytes) -> int:
@@ -130,80 +129,103 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_ANCHORS = pa.schema([("anchor", pa.int32()), ("frag", pa.int64()), ("ord", pa.int64()), ("pos", pa.int64())])
+_ANCHORS = pa.schema([*[(c, pa.int32()) for c in ("anchor", "frag", "lft", "rgt")], ("ord", pa.int64()), ("pos", pa.int64())])
+#: Rows of one anchor that a task holds to compare their sides; of more, all go on to the suffix arrays uncompared.
+MOST_HELD = 2_000_000
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """docs: ord, text. One row per anchor: its hash, its fragment's hash, and where it is."""
+def anchor_rows(docs: DataFrame, tagged: bool) -> DataFrame:
+    """docs: ord, text. One row per anchor: its hash, those of its fragment and sides, and where it is."""
+    short = lambda h: (h >> _S32).astype(np.uint32).view(np.int32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = Surroundings()
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                parts: list[list[np.ndarray]] = [[], [], [], []]
+                parts: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for ord_, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
                     at, h = anchors(words8(data))
                     if not len(at):
                         continue
-                    start, end = np.maximum(at - (WIDTH - GRAM), 0), np.minimum(at + WIDTH, len(data))
-                    parts[0].append((h >> _S32).astype(np.uint32).view(np.int32))
-                    parts[1].append(around(data, start, end).view(np.int64))
-                    parts[2].append(np.full(len(at), ord_, np.int64))
-                    parts[3].append(at + (tag_of(data) << _POS_BITS))
+                    n = len(data)
+                    ends = [(np.maximum(at - (WIDTH - GRAM), 0), np.minimum(at + WIDTH, n)), (np.maximum(at - SIDE, 0), at + GRAM), (at, np.minimum(at + GRAM + SIDE, n))]
+                    parts[0].append(short(h))
+                    for part, x in zip(parts[1:4], around(data, ends)):
+                        part.append(short(x))
+                    parts[4].append(np.full(len(at), ord_, np.int64))
+                    parts[5].append(at + ((tag_of(data) if tagged else 0) << _POS_BITS))
                 if parts[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=_ANCHORS)
 
-    return docs.select("ord", "text").mapInArrow(run, "anchor int, frag long, ord long, pos long")
+    return docs.select("ord", "text").mapInArrow(run, "anchor int, frag int, lft int, rgt int, ord long, pos long")
 
 
 _JUDGED = pa.schema([("settled", pa.bool_()), ("ord", pa.int64()), ("pos", pa.int64())])
 
 
+def _sides_met(anchor: np.ndarray, side: np.ndarray, ord_: np.ndarray) -> np.ndarray:
+    """Rows whose (anchor, side) another ord has too."""
+    out = np.zeros(len(anchor), bool)
+    if len(anchor):
+        o = np.lexsort((side, anchor))
+        a, s, x = anchor[o], side[o], ord_[o]
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
+        met = np.minimum.reduceat(x, starts) < np.maximum.reduceat(x, starts)
+        out[o] = np.repeat(met, np.diff(np.r_[starts, len(a)]))
+    return out
+
+
 def judged(rows: DataFrame) -> DataFrame:
-    """Anchors whose fragment is covered whole (settled), and those that other surroundings of the same anchor may cover in part."""
+    """Anchors whose fragment is covered whole (settled), and those that a fragment with an equal side may cover in part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
-        ghost = np.empty(0, bool)  # a held row that has been put out already and stands for its class
-        mixed_anchor: int | None = None
+        empty = [np.empty(0, np.int32)] * 4 + [np.empty(0, np.int64)] * 2
+        held = empty  # rows of the open anchor that are not settled
+        flooded: int | None = None  # the open anchor, if it has more rows than are held: its held row only stands for its class
 
         def out(settled: bool, ord_: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(ord_):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ord_), settled)), pa.array(ord_), pa.array(pos)], schema=_JUDGED)
 
+        def compared(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            anchor, _, lft, rgt, ord_, pos = x
+            met = _sides_met(anchor, lft, ord_) | _sides_met(anchor, rgt, ord_)
+            yield from out(False, ord_[met], pos[met])
+
         for batch in batches:
-            anchor, frag, ord_, pos = (np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held))
+            cols = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
+            anchor, frag, lft, rgt, ord_, pos = cols
             if not len(anchor):
                 continue
-            old = np.concatenate([ghost, np.zeros(len(anchor) - len(ghost), bool)])
-            new_group = np.r_[True, anchor[1:] != anchor[:-1]]
-            new_class = new_group | np.r_[True, frag[1:] != frag[:-1]]
-            first = np.maximum.accumulate(np.where(new_class, np.arange(len(anchor)), 0))
+            stands = np.zeros(len(anchor), bool)
+            if flooded is not None:
+                stands[0] = True
+            fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (frag[1:] != frag[:-1]) | (lft[1:] != lft[:-1]) | (rgt[1:] != rgt[:-1])]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), 0))
             later = ord_ > ord_[first]
             yield from out(True, ord_[later], pos[later])
-            kept = ~later
-            starts = np.flatnonzero(new_group)
-            group = np.cumsum(new_group) - 1
-            low = np.minimum.reduceat(ord_[first], starts)
-            high = np.maximum.reduceat(ord_[first], starts)
-            mixed = low < high
-            if mixed_anchor is not None and anchor[0] == mixed_anchor:
-                mixed[0] = True
-            new = kept & mixed[group] & ~old
-            yield from out(False, ord_[new], pos[new])
-            last = group == group[-1]
-            if mixed[-1]:
-                mixed_anchor = int(anchor[-1])
+            kept = ~later & ~stands
+            open_ = anchor == anchor[-1]
+            flood = flooded is not None and anchor == flooded
+            if flooded is not None:
+                yield from out(False, ord_[kept & flood], pos[kept & flood])
+                kept &= ~flood
+            done = kept & ~open_
+            yield from compared([c[done] for c in cols])
+            stay = kept & open_
+            if flooded == int(anchor[-1]) or stay.sum() > MOST_HELD:
+                yield from out(False, ord_[stay], pos[stay])
+                flooded = int(anchor[-1])
                 stay = np.zeros(len(anchor), bool)
                 stay[first[-1]] = True
-                ghost = np.ones(1, bool)
             else:
-                mixed_anchor = None
-                stay = last & kept
-                ghost = np.zeros(int(stay.sum()), bool)
-            held = [x[stay].copy() for x in (anchor, frag, ord_, pos)]
+                flooded = None
+            held = [c[stay].copy() for c in cols]
+        if flooded is None:
+            yield from compared(held)
 
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "frag", "ord", "pos")
+    order = ("anchor", "frag", "lft", "rgt", "ord", "pos")
+    dealt = rows.select(*order).repartition(shuffle_width(rows.sparkSession), "anchor").sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "settled boolean, ord long, pos long")
 
 
@@ -308,7 +330,7 @@ def covered_starts(fragments: list[bytes], ords: np.ndarray, width: int = WIDTH)
 _PIECES = pa.schema([("side", pa.int64()), ("ord", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
-def fragments(located: DataFrame) -> DataFrame:
+def fragments(located: DataFrame, tagged: bool) -> DataFrame:
     """located: ord, text, pos (array of anchor positions with tags). Two rows per anchor: by what stands left and right of it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,14 +339,13 @@ def fragments(located: DataFrame) -> DataFrame:
             for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
                 rows: list[tuple[int, int, int, int, bytes]] = []
                 for ord_, data, pos in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
-                    tag = tag_of(data)
+                    tag = tag_of(data) if tagged else 0
                     p = np.array(pos, np.int64)
                     at = np.unique(p[p >> _POS_BITS == tag] & ((1 << _POS_BITS) - 1))
                     start, end = np.maximum(at - (WIDTH - GRAM), 0), np.minimum(at + WIDTH, len(data))
-                    for lo, hi in ((at - SIDE, at + GRAM), (at, at + GRAM + SIDE)):
-                        inside = (lo >= 0) & (hi <= len(data))
-                        keys = around(data, lo[inside], hi[inside]).view(np.int64)
-                        rows += [(k, ord_, tag, s, data[s:e]) for k, s, e in zip(keys.tolist(), start[inside].tolist(), end[inside].tolist())]
+                    sides = [(np.maximum(at - SIDE, 0), at + GRAM), (at, np.minimum(at + GRAM + SIDE, len(data)))]
+                    for keys in around(data, sides):
+                        rows += [(k, ord_, tag, s, data[s:e]) for k, s, e in zip(keys.view(np.int64).tolist(), start.tolist(), end.tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
@@ -389,14 +410,14 @@ def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 _RESULT = pa.schema([("ord", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def remove_spans(located: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_spans(located: DataFrame, tagged: bool, keep_text: bool = False) -> DataFrame:
     """located: ord, text, cover (array of struct tag, start, end). The digest columns, and the remaining bytes if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for ord_, data, cover in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
-                tag = tag_of(data)
+                tag = tag_of(data) if tagged else 0
                 spans: list[list[int]] = []
                 for s, e in sorted((c["start"], c["end"]) for c in cover if c["tag"] == tag):
                     if spans and s <= spans[-1][1]:
@@ -419,8 +440,10 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) of every document."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), whole_text().alias("text"))
     size = F.octet_length("text").cast("long")
-    # 1. copies of whole texts: all but those with the smallest id of each
     keys = written(d.select("ord", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), size.alias("n_bytes")))
+    # rows that share a doc_id are told apart by tags, which only then are worth their bytes
+    tagged = not keys.groupBy("ord").agg((F.min("k1") != F.max("k1")).alias("several")).filter("several").isEmpty()
+    # 1. copies of whole texts: all but those with the smallest id of each
     low = keys.filter(F.col("n_bytes") >= WIDTH).groupBy("k1", "k2", "n_bytes").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most")
     copies = written(keys.join(low.drop("most"), ["k1", "k2", "n_bytes"]).filter("ord > least").select("ord", "k1", "n_bytes"))
     gone = copies.select("ord", F.col("k1").alias("copy_key"))
@@ -429,17 +452,17 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     d = d.withColumn("copy_key", F.xxhash64("text"))
     firsts = d.join(gone, ["ord", "copy_key"], "left_anti").select("ord", "text")
     # 2. anchors, and what their surroundings settle
-    found = written(judged(anchor_rows(firsts)))
+    found = written(judged(anchor_rows(firsts, tagged)))
     # 3. suffix arrays over what is left
     open_ = found.filter("NOT settled").groupBy("ord").agg(F.collect_list("pos").alias("pos"))
     open_ = written(open_)
-    near = written(shared(fragments(_where(firsts, open_.select("ord"), "left_semi").join(open_, "ord"))).distinct())
+    near = written(shared(fragments(_where(firsts, open_.select("ord"), "left_semi").join(open_, "ord"), tagged)).distinct())
     mask = F.lit((1 << _POS_BITS) - 1).cast("long")
     at = F.col("pos").bitwiseAND(mask)
     whole = found.filter("settled").select("ord", F.shiftright("pos", _POS_BITS).alias("tag"), F.greatest(at - (WIDTH - GRAM), F.lit(0)).cast("long").alias("start"), (at + WIDTH).alias("end"))
     cover = whole.union(near).groupBy("ord").agg(F.collect_list(F.struct("tag", "start", "end")).alias("cover"))
     touched = written(cover)
-    cut = remove_spans(_where(firsts, touched.select("ord"), "left_semi").join(touched, "ord"), keep_text)
+    cut = remove_spans(_where(firsts, touched.select("ord"), "left_semi").join(touched, "ord"), tagged, keep_text)
     text_bytes = F.encode("text", "UTF-8")
     plain = _where(firsts, touched.select("ord"), "left_anti").select(
         "ord", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text_bytes, 256).alias("kept_sha256"), (text_bytes if keep_text else F.lit(None).cast("binary")).alias("kept")

@@ -122,7 +122,7 @@ def tag_of(data: bytes) -> int:
     """A few bits of the text's hash, which tell rows that share a doc_id apart."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(data) >> (64 - 23)
+    return xxhash.xxh64_intdigest(data) >> (64 - 21)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -176,7 +176,10 @@ def _sides_met(anchor: np.ndarray, side: np.ndarray, ord_: np.ndarray) -> np.nda
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Anchors whose fragment is covered whole (settled), and those that a fragment with an equal side may cover in part."""
+    """Anchors whose fragment is covered whole (settled), and those that a fragment with an equal side may cover in part.
+
+    pos of the latter is four times the place, plus 1 if the left side is met elsewhere and 2 if the right one is.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [np.empty(0, np.int32)] * 4 + [np.empty(0, np.int64)] * 2
@@ -189,8 +192,9 @@ def judged(rows: DataFrame) -> DataFrame:
 
         def compared(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             anchor, _, lft, rgt, ord_, pos = x
-            met = _sides_met(anchor, lft, ord_) | _sides_met(anchor, rgt, ord_)
-            yield from out(False, ord_[met], pos[met])
+            sides = _sides_met(anchor, lft, ord_) + 2 * _sides_met(anchor, rgt, ord_)
+            met = sides > 0
+            yield from out(False, ord_[met], pos[met] * 4 + sides[met])
 
         for batch in batches:
             cols = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
@@ -208,13 +212,13 @@ def judged(rows: DataFrame) -> DataFrame:
             open_ = anchor == anchor[-1]
             flood = flooded is not None and anchor == flooded
             if flooded is not None:
-                yield from out(False, ord_[kept & flood], pos[kept & flood])
+                yield from out(False, ord_[kept & flood], pos[kept & flood] * 4 + 3)
                 kept &= ~flood
             done = kept & ~open_
             yield from compared([c[done] for c in cols])
             stay = kept & open_
             if flooded == int(anchor[-1]) or stay.sum() > MOST_HELD:
-                yield from out(False, ord_[stay], pos[stay])
+                yield from out(False, ord_[stay], pos[stay] * 4 + 3)
                 flooded = int(anchor[-1])
                 stay = np.zeros(len(anchor), bool)
                 stay[first[-1]] = True
@@ -331,7 +335,7 @@ _PIECES = pa.schema([("side", pa.int64()), ("ord", pa.int64()), ("tag", pa.int64
 
 
 def fragments(located: DataFrame, tagged: bool) -> DataFrame:
-    """located: ord, text, pos (array of anchor positions with tags). Two rows per anchor: by what stands left and right of it."""
+    """located: ord, text, pos (array of anchor positions with tags and sides). A row per anchor and side that is met elsewhere."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = Surroundings()
@@ -341,11 +345,13 @@ def fragments(located: DataFrame, tagged: bool) -> DataFrame:
                 for ord_, data, pos in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
                     tag = tag_of(data) if tagged else 0
                     p = np.array(pos, np.int64)
-                    at = np.unique(p[p >> _POS_BITS == tag] & ((1 << _POS_BITS) - 1))
+                    p = np.unique(p[p >> (_POS_BITS + 2) == tag])
+                    at, met = (p >> 2) & ((1 << _POS_BITS) - 1), p & 3
                     start, end = np.maximum(at - (WIDTH - GRAM), 0), np.minimum(at + WIDTH, len(data))
                     sides = [(np.maximum(at - SIDE, 0), at + GRAM), (at, np.minimum(at + GRAM + SIDE, len(data)))]
-                    for keys in around(data, sides):
-                        rows += [(k, ord_, tag, s, data[s:e]) for k, s, e in zip(keys.view(np.int64).tolist(), start.tolist(), end.tolist())]
+                    for keys, bit in zip(around(data, sides), (1, 2)):
+                        on = met & bit > 0
+                        rows += [(k, ord_, tag, s, data[s:e]) for k, s, e in zip(keys[on].view(np.int64).tolist(), start[on].tolist(), end[on].tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 

@@ -233,8 +233,11 @@ def judged(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "settled boolean, ord long, pos long")
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (uint8, last element 0) in order of at least their first ``depth`` bytes, by two-stage sorting."""
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``text`` (uint8, last element 0) in order of at least their first ``depth`` bytes, by two-stage sorting.
+
+    With ``wanted`` (a mask) only those suffixes are sure to be there, with the successors from which they are induced.
+    """
     n = len(text)
     # the next byte that differs decides whether a suffix is smaller than its successor
     change = np.flatnonzero(text[1:] != text[:-1]) + 1
@@ -245,7 +248,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     run_end = np.repeat(nxt, lengths)
     smaller = text < text[run_end]
     smaller[text == 0] = True  # separators and the end lie below all that follows
-    direct = np.flatnonzero(smaller)
+    if wanted is None:
+        direct = np.flatnonzero(smaller)
+    else:
+        # the suffixes sorted directly at or after a wanted one: those in between are induced from them
+        at = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
+        direct = np.unique(at[wanted])
     padded = text.tobytes()
     big = words8(padded).byteswap()
     keys = [big[np.minimum(direct + o, n - 1)] * (direct + o < n) for o in range(0, depth, 8)]
@@ -316,7 +324,7 @@ def covered_starts(fragments: list[bytes], ords: np.ndarray, width: int = WIDTH)
     text[~separator] += 1
     of = np.repeat(np.arange(len(fragments)), sizes + 1)
     room = (starts + sizes)[of] - np.arange(len(text))
-    order = suffix_array(text, width)
+    order = suffix_array(text, width, room >= width)
     order = order[room[order] >= width]
     if not len(order):
         return [np.empty(0, np.int64)] * len(fragments)

@@ -154,7 +154,6 @@ m AS (SELECT *, (sum(size) OVER (PARTITION BY source, big ORDER BY h, doc_id, si
         (sum(size) OVER (PARTITION BY source, big))::DOUBLE AS part FROM j),
 b AS (SELECT source, coalesce(sum(size) FILTER (WHERE big AND middle <= extra * part / source_size AND extra > 0), 0)::DOUBLE AS big_taken FROM m GROUP BY source)
 SELECT m.doc_id, m.size, m.source_size, m.target,
-  m.size * (whole + CASE WHEN extra > 0 AND middle <= CASE WHEN big THEN extra * part / source_size ELSE greatest(0.0, extra - big_taken) END THEN 1 ELSE 0 END)::BIGINT AS taken,
-  (whole + CASE WHEN extra > 0 AND (CASE WHEN m.size = 0 THEN TRUE ELSE middle <= CASE WHEN big THEN extra * part / source_size ELSE greatest(0.0, extra - big_taken) END END) THEN 1 ELSE 0 END)::BIGINT AS repeats
+  m.size * (whole + CASE WHEN extra > 0 AND middle <= CASE WHEN big THEN extra * part / source_size ELSE greatest(0.0, extra - big_taken) END THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source
 """

@@ -67,10 +67,11 @@ class Graph:
 
     def adjacency(self) -> DataFrame:
         """(src, src_rev, dst, dst_rev): every edge seen from both ends; an inverting loop has one such view."""
-        e = self.edges
-        there = e.select(F.col("from_id").alias("src"), F.col("from_rev").alias("src_rev"), F.col("to_id").alias("dst"), F.col("to_rev").alias("dst_rev"))
-        back = e.select(F.col("to_id").alias("src"), (~F.col("to_rev")).alias("src_rev"), F.col("from_id").alias("dst"), (~F.col("from_rev")).alias("dst_rev"))
-        return there.union(back.filter(~((F.col("src") == F.col("dst")) & (F.col("src_rev") != F.col("dst_rev")))))
+        # both views of an edge come from one pass over the edges
+        view = lambda a, ar, b, br: F.struct(a.alias("src"), ar.alias("src_rev"), b.alias("dst"), br.alias("dst_rev"))
+        f, fr, t, tr = (F.col(c) for c in ("from_id", "from_rev", "to_id", "to_rev"))
+        both = F.when((f == t) & (fr != tr), F.array(view(f, fr, t, tr))).otherwise(F.array(view(f, fr, t, tr), view(t, ~tr, f, ~fr)))
+        return self.edges.select(F.explode(both).alias("v")).select("v.*")
 
     def positions(self) -> DataFrame:
         """Steps with len, step_start and step_end in base pairs along their path."""
@@ -97,5 +98,5 @@ def edges_of_steps(steps: DataFrame) -> DataFrame:
     """The canonical edges that consecutive steps need, with their support."""
     w = step_order()
     t = steps.select(F.col("node_id").alias("a"), F.col("is_rev").alias("ar"), F.lead("node_id").over(w).alias("b"), F.lead("is_rev").over(w).alias("br")).filter("b IS NOT NULL")
-    e = t.select(canonical(F.col("a"), F.col("ar"), F.col("b"), F.col("br")).alias("e"))
-    return e.groupBy("e").agg(F.count("*").alias("support")).select("e.*", "support")
+    e = t.select(canonical(F.col("a"), F.col("ar"), F.col("b"), F.col("br")).alias("e")).select("e.*")
+    return e.groupBy("from_id", "from_rev", "to_id", "to_rev").agg(F.count("*").alias("support"))

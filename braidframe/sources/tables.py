@@ -22,9 +22,10 @@ def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _steps(lines: DataFrame) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)
-    return lines.select(
-        F.col("l_orderkey").alias("path_id"), (F.row_number().over(w) - 1).cast("long").alias("step_rank"), (F.col("l_partkey") + 1).alias("node_id"), (F.col("l_returnflag") == "R").alias("is_rev")
+    # the path id is named before the window, so that later windows over paths find the rows dealt out already
+    w = Window.partitionBy("path_id").orderBy(*LINE_KEY)
+    return lines.withColumnRenamed("l_orderkey", "path_id").select(
+        "path_id", (F.row_number().over(w) - 1).cast("long").alias("step_rank"), (F.col("l_partkey") + 1).alias("node_id"), (F.col("l_returnflag") == "R").alias("is_rev")
     )
 
 

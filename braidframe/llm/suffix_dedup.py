@@ -1,4 +1,4 @@
-"""Removal of passages that an earlier document has, exact to the byte, with suffix arrays over what documents may share.
+"""Removal of passages that an earlier document has, to the byte, with suffix arrays over what documents may share.
 
 A byte goes if it lies in a ``width``-byte string that also starts in a document with a smaller doc_id. All is judged on the input.
 
@@ -6,8 +6,9 @@ A byte goes if it lies in a ``width``-byte string that also starts in a document
 2. Of the ``gram``-byte strings of every window of ``width`` bytes the one with the smallest hash is the window's anchor, so equal
    windows have equal anchors. Each anchor row carries hashes of its surroundings: of the fragment in which all its windows lie,
    and of the anchor with 17 more bytes to its left and to its right, one of which lies within any window. Rows are dealt out by
-   anchor and streamed in order: a fragment that an earlier document has too is covered whole; of the rest only those stay whose
-   left or right side another document has too.
+   anchor and streamed in order: a fragment that an earlier document has too is covered whole, which two separate hashes of 64 bits
+   decide and no comparison of bytes; of the rest only those stay whose left or right side another document has too. There and for
+   the anchors 32 bits do, as the bytes of what stays are compared.
 3. The bytes of these are cut from the texts and dealt out by side, and a suffix array is built over each bounded run of groups by two-stage sorting: suffixes smaller than
    their successors are sorted directly, the rest induced by bucket scans; adjacent common prefixes of ``width`` bytes or more then
    give the strings that fragments share, and the smallest doc_id of each.
@@ -81,9 +82,8 @@ def _sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
     return f(y[: len(y) - (width - step)], y[width - step :]) if step < width else y
 
 
-def anchors(w: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are smallest in some window (all of equal ones)."""
-    h = gram_hashes(w, gram)
+def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are smallest in some window (all of equal ones), from :func:`gram_hashes`."""
     span = width - gram + 1
     if len(h) < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -93,6 +93,15 @@ def anchors(w: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nda
     return at, h[at]
 
 
+def chained(h: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int = 2 * WIDTH - GRAM, gram: int = GRAM) -> np.ndarray:
+    """Hashes of byte ranges of ``gram`` to ``longest`` bytes, from the hashes of grams that cover them: apart from :class:`Surroundings`."""
+    with np.errstate(over="ignore"):
+        out = (end - start).astype(np.uint64)
+        for o in range(0, longest, gram):
+            out = (out ^ (out >> _S29)) * _M1 + h[np.minimum(start + o, end - gram)]
+        return _mixed(out)
+
+
 class Surroundings:
     """Hashes of byte ranges in constant time: sums of table values times powers of an odd base, modulo 2^64."""
 
@@ -129,14 +138,13 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_ANCHORS = pa.schema([*[(c, pa.int32()) for c in ("anchor", "frag", "lft", "rgt")], ("ord", pa.int64()), ("pos", pa.int64())])
+_ANCHORS = pa.schema([("anchor", pa.int32()), *[(c, pa.int64()) for c in ("frag", "frag2", "sides", "ord", "pos")]])
 #: Rows of one anchor that a task holds to compare their sides; of more, all go on to the suffix arrays uncompared.
 MOST_HELD = 2_000_000
 
 
 def anchor_rows(docs: DataFrame, tagged: bool) -> DataFrame:
-    """docs: ord, text. One row per anchor: its hash, those of its fragment and sides, and where it is."""
-    short = lambda h: (h >> _S32).astype(np.uint32).view(np.int32)
+    """docs: ord, text. One row per anchor: its hash, two of its fragment, those of its sides (32 bits each), and where it is."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = Surroundings()
@@ -144,20 +152,23 @@ def anchor_rows(docs: DataFrame, tagged: bool) -> DataFrame:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 parts: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for ord_, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
-                    at, h = anchors(words8(data))
+                    grams = gram_hashes(words8(data), GRAM)
+                    at, h = anchors(grams)
                     if not len(at):
                         continue
                     n = len(data)
                     ends = [(np.maximum(at - (WIDTH - GRAM), 0), np.minimum(at + WIDTH, n)), (np.maximum(at - SIDE, 0), at + GRAM), (at, np.minimum(at + GRAM + SIDE, n))]
-                    parts[0].append(short(h))
-                    for part, x in zip(parts[1:4], around(data, ends)):
-                        part.append(short(x))
+                    frag, lft, rgt = around(data, ends)
+                    parts[0].append((h >> _S32).astype(np.uint32).view(np.int32))
+                    parts[1].append(frag.view(np.int64))
+                    parts[2].append(chained(grams, *ends[0]).view(np.int64))
+                    parts[3].append((lft >> _S32 << _S32 | rgt >> _S32).view(np.int64))
                     parts[4].append(np.full(len(at), ord_, np.int64))
                     parts[5].append(at + ((tag_of(data) if tagged else 0) << _POS_BITS))
                 if parts[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=_ANCHORS)
 
-    return docs.select("ord", "text").mapInArrow(run, "anchor int, frag int, lft int, rgt int, ord long, pos long")
+    return docs.select("ord", "text").mapInArrow(run, "anchor int, frag long, frag2 long, sides long, ord long, pos long")
 
 
 _JUDGED = pa.schema([("settled", pa.bool_()), ("ord", pa.int64()), ("pos", pa.int64())])
@@ -182,7 +193,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = [np.empty(0, np.int32)] * 4 + [np.empty(0, np.int64)] * 2
+        empty = [np.empty(0, np.int32)] + [np.empty(0, np.int64)] * 5
         held = empty  # rows of the open anchor that are not settled
         flooded: int | None = None  # the open anchor, if it has more rows than are held: its held row only stands for its class
 
@@ -191,20 +202,20 @@ def judged(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ord_), settled)), pa.array(ord_), pa.array(pos)], schema=_JUDGED)
 
         def compared(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            anchor, _, lft, rgt, ord_, pos = x
-            sides = _sides_met(anchor, lft, ord_) + 2 * _sides_met(anchor, rgt, ord_)
-            met = sides > 0
-            yield from out(False, ord_[met], pos[met] * 4 + sides[met])
+            anchor, _, _, sides, ord_, pos = x
+            bits = _sides_met(anchor, sides >> 32, ord_) + 2 * _sides_met(anchor, sides & 0xFFFFFFFF, ord_)
+            met = bits > 0
+            yield from out(False, ord_[met], pos[met] * 4 + bits[met])
 
         for batch in batches:
             cols = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
-            anchor, frag, lft, rgt, ord_, pos = cols
+            anchor, frag, frag2, sides, ord_, pos = cols
             if not len(anchor):
                 continue
             stands = np.zeros(len(anchor), bool)
             if flooded is not None:
                 stands[0] = True
-            fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (frag[1:] != frag[:-1]) | (lft[1:] != lft[:-1]) | (rgt[1:] != rgt[:-1])]
+            fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (frag[1:] != frag[:-1]) | (frag2[1:] != frag2[:-1]) | (sides[1:] != sides[:-1])]
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), 0))
             later = ord_ > ord_[first]
             yield from out(True, ord_[later], pos[later])
@@ -228,7 +239,7 @@ def judged(rows: DataFrame) -> DataFrame:
         if flooded is None:
             yield from compared(held)
 
-    order = ("anchor", "frag", "lft", "rgt", "ord", "pos")
+    order = ("anchor", "frag", "frag2", "sides", "ord", "pos")
     dealt = rows.select(*order).repartition(shuffle_width(rows.sparkSession), "anchor").sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "settled boolean, ord long, pos long")
 

@@ -449,3 +449,13 @@ def test_suffix_array_and_prefixes():
             assert order.tolist() == sorted(range(n + 1), key=lambda i: b[i:])
             want = [0] + [next((k for k in range(20) if b[x + k : x + k + 1] != b[y + k : y + k + 1] or x + k >= len(b) or y + k >= len(b)), 20) for x, y in zip(order.tolist(), order.tolist()[1:])]
             assert suffix_dedup.common_prefixes(order, b, 20).tolist() == want
+
+
+def test_suffix_dedup_tells_fragments_apart(spark):
+    # after 140 bytes in common the texts differ, but the upper halves of the first hash of a fragment that has 10 bytes more are equal
+    common = "gulpgqsuwzqaulhtnjlsdcqvqgdtvijxgmphetgwqagyfaukrvttjlmqmjevpbfntxmdohzctvoozmzczscpyibaevspyxlkyaipzgxnrrvdgsrwzxivztvcnkclznziowdygwuzjdbs"
+    rows = [(1, common + "akquhvnogxlkosyyaukynjpcrsaebbuvuzzsvyrqdundsjvfwx", "", "", 0), (2, common + "mwmohlvsfchlsjpteyvookqdjscyzcvyrqdpsrmcyxxzbrdcmp", "", "", 0)]
+    halves = [int(suffix_dedup.Surroundings()(t.encode(), [(np.array([66]), np.array([150]))])[0][0]) >> 32 for _, t, *_ in rows]
+    assert halves[0] == halves[1]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(frame(spark, rows)).collect()}
+    assert got == removed(rows)

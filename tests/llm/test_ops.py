@@ -311,6 +311,24 @@ def test_rewriting_templates_are_seen():
     assert s.add({"role": "user", "text": "b"}) is None and s.rewrites
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    def numbered(turns):
+        return "".join(f"[{i}] {t['text']}\n" for i, t in enumerate(turns))
+
+    def last_twenty(turns):
+        return "".join(f"{t['text']}\n" for t in turns[-20:])
+
+    turns = [{"role": "user", "text": f"t{i}"} for i in range(40)]
+    s = chat.Incremental(numbered)
+    placed = [s.add(t) for t in turns]
+    assert "".join(p[0] for p in placed) == numbered(turns) and not s.rewrites
+    assert all(numbered(turns)[p[1] + p[2] : p[1] + p[3]] == t["text"] for p, t in zip(placed, turns))
+    c = spark.createDataFrame([(1, i, "user", t["text"]) for i, t in enumerate(turns)], CONV_SCHEMA)
+    out = sorted(chat.turn_spans(c, last_twenty).collect(), key=lambda r: r.turn_no)
+    assert [r.rewrites for r in out] == [i >= 20 for i in range(40)]
+    assert all((r.formatted is None) == r.rewrites for r in out)
+
+
 def test_html_held_out_accuracy():
     m = html_crf.trained()
     right = n = 0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from braidframe.operators import intervals as I
 from braidframe.operators import rewrite as R
+from braidframe.operators import sampling as P
 from braidframe.operators import stats as S
 from braidframe.operators import traverse as T
 from braidframe.sources import gfa, sinks
@@ -149,3 +150,24 @@ def test_steps_of_one_group_count_in_pav(g, spark):
     r = g.paths.filter("path_name = 'target'").select("path_id", F.lit(0).cast("long").alias("start"), F.lit(14).cast("long").alias("end"), F.lit("t").alias("name"))
     p = {x.grp: x.pav for x in I.presence(g, r).collect()}
     assert p["target"] == 1.0 and p["query3"] == 13 / 14 and "query2" not in p
+
+
+def test_private_walks_start_anywhere(spark):
+    import hashlib
+    import math
+
+    from braidframe.model import PATH_SCHEMA, Graph, edges_of_steps
+
+    n = 2500
+    nodes = spark.range(1, n + 1).select(F.col("id").alias("node_id"), F.lit("A").alias("seq"), F.lit(1).cast("long").alias("len"), F.col("id").alias("node_rank"))
+    steps = spark.range(2 * n).select((F.floor(F.col("id") / 2) + 1).alias("path_id"), (F.col("id") % 2).alias("step_rank"), (F.floor((F.col("id") + F.col("id") % 2) / 2) % n + 1).alias("node_id"), F.lit(False).alias("is_rev"))
+    g = Graph(nodes, edges_of_steps(steps).drop("support"), spark.createDataFrame([], PATH_SCHEMA), steps)
+
+    def noise(walk, node):
+        u = (int(hashlib.sha256(f"priv|{walk}|0|{node}|false".encode()).hexdigest()[:12], 16) + 1) / (16.0**12 + 2)
+        return -math.log(-math.log(u))
+
+    want = [max(range(1, n + 1), key=lambda i: noise(w, i)) for w in range(12)]
+    got = {r.walk: r.node_id for r in P.private_haplotypes(g, 12, 1).collect()}
+    assert [got[w] for w in range(12)] == want and max(want) > 1000
+    assert P.private_haplotypes(g, 0, 1).count() == 0

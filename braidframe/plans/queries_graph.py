@@ -1,4 +1,4 @@
-"""Queries over the supply graph: filters, rewrites and traversals. Fix-point ones run on the sparse graph of large order lines."""
+"""Queries over the supply graph: filters, rewrites and traversals. Fix-point ones that have SQL run on the sparse graph of large order lines, as their SQL does."""
 
 from __future__ import annotations
 
@@ -248,12 +248,12 @@ def unitig_totals(spark, d):
 
 @query()
 def unitigs(spark, d):
-    return T.unitigs(_sparse(spark, d))
+    return T.unitigs(_G(spark, d))
 
 
 @query()
 def groom_nodes(spark, d):
-    return T.groom(_sparse(spark, d))
+    return T.groom(_G(spark, d))
 
 
 @query(sparse(f""", o AS (SELECT node_id, FALSE AS is_rev, seq AS s FROM nodes UNION ALL SELECT node_id, TRUE, {_RC} FROM nodes),
@@ -272,7 +272,7 @@ def furcations(spark, d):
 
 @query()
 def walks_between(spark, d):
-    g = _sparse(spark, d)
+    g = _G(spark, d)
     ends = T.components(g).groupBy("component").agg(F.count("*").alias("n"), F.max("node_id").alias("b")).orderBy(F.desc("n"), "component").first()
     return T.between(g, ends["component"], ends["b"], 200)
 

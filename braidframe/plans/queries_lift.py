@@ -99,7 +99,7 @@ def untangle(spark, d):
 @query()
 def untangle_merged_cuts(spark, d):
     g = _G(spark, d)
-    s = L.segments(g, g.paths.filter("path_id % 7 = 0"), 10).filter("cut")
+    s = L.segments(g, g.paths, 10).filter("cut")
     return L.merged_cuts(s.select("path_id", F.col("step_start").alias("pos")), 15)
 
 
@@ -142,7 +142,7 @@ def rebase_bed(spark, d):
 
 @query()
 def cover_paths(spark, d):
-    return P.cover(_sparse(spark, d))
+    return P.cover(_G(spark, d))
 
 
 @query()
@@ -152,7 +152,7 @@ def private_haplotypes(spark, d):
 
 @query()
 def path_guided_order(spark, d):
-    return P.path_sgd(_sparse(spark, d))
+    return P.path_sgd(_G(spark, d))
 
 
 @query(supply("SELECT node_id, row_number() OVER (ORDER BY md5('order|' || node_id)) AS new_rank FROM nodes"))
@@ -162,7 +162,7 @@ def random_order(spark, d):
 
 @query()
 def feedback_arc_order(spark, d):
-    return P.feedback_arc_order(_sparse(spark, d))
+    return P.feedback_arc_order(_G(spark, d))
 
 
 @query("SELECT event_type, count(*) AS depth FROM events GROUP BY 1")

@@ -42,4 +42,4 @@ def breadth_first_order(spark, d):
 
 @query()
 def plane_layout(spark, d):
-    return N.plane_layout(_sparse(spark, d))
+    return N.plane_layout(supply_graph(spark, d))

@@ -1,6 +1,8 @@
 import importlib
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -27,3 +29,42 @@ def test_imports_without_training_operators():
         if llm is not None:
             braidframe.llm = llm
         importlib.reload(entry)
+
+
+def test_queries_without_sql_read_the_whole_graph(spark, monkeypatch):
+    import duckdb
+
+    from braidframe.plans import catalog, queries_graph, queries_lift, queries_more
+
+    sf, asked = "/root/testdata/sf0.001", []
+
+    class Seen(Exception):
+        pass
+
+    def seen(spark, d, min_quantity=None):
+        asked.append(min_quantity)
+        raise Seen
+
+    with monkeypatch.context() as patch:
+        for m in (queries_graph, queries_lift, queries_more):
+            for name in ("_G", "supply_graph"):
+                if hasattr(m, name):
+                    patch.setattr(m, name, seen)
+        for name in ("unitigs", "groom_nodes", "walks_between", "untangle_merged_cuts", "cover_paths", "path_guided_order", "feedback_arc_order", "plane_layout"):
+            with pytest.raises(Seen):
+                catalog.QUERIES[name](spark, sf)
+    assert asked == [None] * 8
+    assert catalog.QUERIES["untangle_merged_cuts"](spark, sf).filter("path_id % 7 != 0").count() > 0
+    # components of the whole graph, by union of each order's parts
+    root = {n: n for (n,) in duckdb.sql(f"SELECT p_partkey + 1 FROM '{sf}/part.parquet'").fetchall()}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for first, other in duckdb.sql(f"SELECT min(l_partkey) OVER (PARTITION BY l_orderkey) + 1, l_partkey + 1 FROM '{sf}/lineitem.parquet'").fetchall():
+        a, b = find(first), find(other)
+        root[max(a, b)] = min(a, b)
+    got = {r.node_id: r.component for r in catalog.QUERIES["feedback_arc_order"](spark, sf).collect()}
+    assert got == {n: find(n) for n in root}

@@ -113,7 +113,7 @@ def steps_at(g: Graph, points: DataFrame) -> DataFrame:
     return j.select("path_id", "pos", "step_rank", "node_id", "is_rev", "len", (F.col("pos") - F.col("step_start")).alias("offset"))
 
 
-def pangenome_positions(g: Graph, points: DataFrame) -> DataFrame:
+def graph_coordinates(g: Graph, points: DataFrame) -> DataFrame:
     """points (path_id, pos; both counted from 1) with their place in the concatenated nodes, from 1; reverse steps are mirrored."""
     at = steps_at(g, points.select("path_id", (F.col("pos") - 1).alias("pos")))
     at = at.join(g.pan_positions().select("node_id", "pan_start"), "node_id")

@@ -162,7 +162,7 @@ def matrix(g: Graph, weight: str = "one") -> DataFrame:
 
 
 def _link_ends(g: Graph) -> DataFrame:
-    """Transitions with the pangenome places of the touching ends and both nodes' ranks and lengths."""
+    """Transitions with the graph coordinates of the touching ends and both nodes' ranks and lengths."""
     n = g.pan_positions().select("node_id", "node_rank", "len", "pan_start")
     t = g.transitions()
     a = n.select(F.col("node_id").alias("src"), F.col("node_rank").alias("ra"), F.col("len").alias("la"), F.col("pan_start").alias("pa"))
@@ -216,11 +216,11 @@ def path_list(g: Graph) -> DataFrame:
     return p.select("path_name", F.lit(1).cast("long").alias("start"), _long(F.coalesce("path_len", F.lit(0))).alias("length"))
 
 
-def flatten(g: Graph) -> DataFrame:
-    """The steps as intervals of the concatenated nodes: name start end path strand rank."""
+def flatten(g: Graph, name: str) -> DataFrame:
+    """The steps as intervals of the concatenated nodes, which are called ``name``: name start end path strand rank."""
     n = g.pan_positions().select("node_id", "len", "pan_start")
     s = g.steps.join(n, "node_id").join(g.paths.select("path_id", "path_name"), "path_id")
-    return s.select(F.lit("pangenome").alias("name"), F.col("pan_start").alias("start"), (F.col("pan_start") + F.col("len")).alias("end"), "path_name", F.when(F.col("is_rev"), "-").otherwise("+").alias("strand"), "step_rank")
+    return s.select(F.lit(name).alias("name"), F.col("pan_start").alias("start"), (F.col("pan_start") + F.col("len")).alias("end"), "path_name", F.when(F.col("is_rev"), "-").otherwise("+").alias("strand"), "step_rank")
 
 
 def fasta(g: Graph) -> DataFrame:

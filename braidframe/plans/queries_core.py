@@ -163,9 +163,9 @@ def path_list(spark, d):
     return S.path_list(_G(spark, d))
 
 
-@query(supply("SELECT 'pangenome' AS name, pan_start AS start, pan_start + len AS \"end\", path_name, CASE WHEN is_rev THEN '-' ELSE '+' END AS strand, step_rank FROM steps JOIN pan USING (node_id) JOIN paths USING (path_id)"))
+@query(supply("SELECT 'graph' AS name, pan_start AS start, pan_start + len AS \"end\", path_name, CASE WHEN is_rev THEN '-' ELSE '+' END AS strand, step_rank FROM steps JOIN pan USING (node_id) JOIN paths USING (path_id)"))
 def flatten_steps(spark, d):
-    return S.flatten(_G(spark, d))
+    return S.flatten(_G(spark, d), "graph")
 
 
 @query(supply(f"SELECT path_name, string_agg(CASE WHEN is_rev THEN {_RC} ELSE seq END, '' ORDER BY step_rank) AS sequence FROM steps JOIN nodes USING (node_id) JOIN paths USING (path_id) GROUP BY path_id, path_name"))
@@ -189,7 +189,7 @@ def step_index(spark, d):
 
 
 @query(supply("SELECT node_id, pan_start FROM pan"))
-def pangenome_index(spark, d):
+def graph_coordinate_index(spark, d):
     return _G(spark, d).pan_positions().select("node_id", "pan_start")
 
 
@@ -298,9 +298,9 @@ def path_to_graph_position(spark, d):
 
 
 @query(supply(_POINTS + "SELECT path_id, pts.pos + 1 AS pos, pan_start + CASE WHEN is_rev THEN pos.len - 1 - (pts.pos - step_start) ELSE pts.pos - step_start END + 1 AS pan_pos FROM pts JOIN pos USING (path_id) JOIN pan USING (node_id) WHERE step_start <= pts.pos AND pts.pos < step_end"))
-def pangenome_position(spark, d):
+def graph_coordinate(spark, d):
     g = _G(spark, d)
-    return I.pangenome_positions(g, _points(g).withColumn("pos", F.col("pos") + 1))
+    return I.graph_coordinates(g, _points(g).withColumn("pos", F.col("pos") + 1))
 
 
 @query(supply(", a AS (SELECT path_id, start, \"end\" FROM ranges WHERE path_id % 3 = 0 UNION ALL SELECT path_id, path_len, path_len FROM plen), b AS (SELECT *, coalesce(max(\"end\") OVER (PARTITION BY path_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM a) SELECT path_id, f::BIGINT AS start, start::BIGINT AS \"end\" FROM b WHERE f < start"))

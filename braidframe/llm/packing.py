@@ -9,8 +9,9 @@ Blocks are bounded (``block_tokens``), lie within one input partition and depend
 out the same again; nothing is shuffled. Ids come from the ``tokenizers`` library; texts of printable ASCII and accented Latin
 letters, for which the ``tiktoken`` form of the same vocabulary gives the same ids, go through that, which is faster.
 
-Defined results: null text is empty, and an empty text is the end id alone; repeated rows are packed each; ties of length keep
-their input order; an empty table gives an empty result; further columns are ignored.
+Defined results: null text is empty, and an empty text is the end id alone; a text of any length is encoded whole, full sequences are
+cut off it and a block is closed behind it; repeated rows are packed each; ties of length keep their input order; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,34 +74,65 @@ class Encoder:
         return self.full.encode(text, add_special_tokens=False).ids
 
 
+class Rooms:
+    """Sequences by room left, the cheapest of those with enough of it in a time that does not depend on their number.
+
+    A heap of (cost, sequence) stands at every size of room, and a tree over the sizes holds the least head of each range of them.
+    """
+
+    def __init__(self, room: int):
+        self.size = 1 << room.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(room + 1)]
+        self.heads: list[tuple[float, int, int] | None] = [None] * (2 * self.size)
+
+    def _head_of(self, room: int) -> None:
+        heap, k = self.heaps[room], self.size + room
+        self.heads[k] = (*heap[0], room) if heap else None
+        while k > 1:
+            k //= 2
+            x, y = self.heads[2 * k], self.heads[2 * k + 1]
+            self.heads[k] = x if y is None or (x is not None and x < y) else y
+
+    def put(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._head_of(room)
+
+    def fill(self, count: int, room: int) -> None:
+        self.heaps[room] = [(0.0, s) for s in range(count)]
+        self._head_of(room)
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest sequence with at least ``least`` room, which is taken out; None if there is none."""
+        best = None
+        lo, hi = self.size + least, 2 * self.size
+        while lo < hi:
+            for k in ([lo] if lo & 1 else []) + ([hi - 1] if hi & 1 else []):
+                x = self.heads[k]
+                if x is not None and (best is None or x < best):
+                    best = x
+            lo, hi = (lo + 1) // 2, hi // 2
+        if best is not None:
+            heapq.heappop(self.heaps[best[2]])
+            self._head_of(best[2])
+        return best
+
+
 def balanced(lengths: list[int], room: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
-    """(item, start in item, length, sequence) of items shorter than ``room``; sequences from 0, as few as the total needs."""
-    count = -(-sum(lengths) // room)
-    left = [room] * count
-    heap = [(0.0, s) for s in range(count)]
+    """(item, start in item, length, sequence) of items shorter than ``room``; sequences from 0, as few as the total needs.
+
+    An item is cut only when no sequence at all has room for it, over the cheapest ones with any.
+    """
+    rooms = Rooms(room)
+    rooms.fill(-(-sum(lengths) // room), room)
     out = []
     for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         start, n = 0, lengths[item]
         while n:
-            passed = []
-            for _ in range(4):  # the cheapest sequences with room for the whole piece, if there is one among them
-                if not heap or left[heap[0][1]] >= n:
-                    break
-                passed.append(heapq.heappop(heap))
-            whole = bool(heap) and left[heap[0][1]] >= n
-            if whole:
-                cost, s = heapq.heappop(heap)
-                for x in passed:
-                    heapq.heappush(heap, x)
-            else:
-                for x in passed:
-                    heapq.heappush(heap, x)
-                cost, s = heapq.heappop(heap)
-            k = min(n, left[s])
+            cost, s, left = rooms.take(n) or rooms.take(1)
+            k = min(n, left)
             out.append((item, start, k, s))
-            left[s] -= k
-            if left[s]:
-                heapq.heappush(heap, (cost + linear * k + quadratic * k * k, s))
+            if left > k:
+                rooms.put(cost + linear * k + quadratic * k * k, s, left - k)
             start, n = start + k, n - k
     return out
 

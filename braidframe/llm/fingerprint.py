@@ -1,14 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Words are hashed, every ``k`` consecutive words give a rolling k-gram hash, and of every window of ``w`` consecutive k-gram hashes
-the smallest is chosen, the rightmost of equal ones. Hash and position share one long, so the smallest long is at once the
-smallest hash and the rightmost position. Any run of at least ``w + k - 1`` words that two texts share contains a chosen k-gram of
-both (the match guarantee); positions are kept for it.
+Words are hashed, every ``k`` consecutive words give a rolling k-gram hash of 64 bits, and of every window of ``w`` consecutive k-gram
+hashes the smallest is chosen, the rightmost of equal ones. Any run of at least ``w + k - 1`` words that two texts share contains a
+chosen k-gram of both (the match guarantee); positions are kept for it.
 
 Defined results: null text is empty; a text without words has an empty fingerprint; a text of fewer than ``k`` words has one
-k-gram of all its words; two empty fingerprints are alike to 1, an empty and another to 0; equal texts have equal fingerprints.
-Ties of doc_id are ordered by text, null ids first; repeated rows follow one another; with a single row the next is the row itself;
-an empty table gives an empty result; further columns are ignored.
+k-gram of all its words; a text of any length is read whole; two empty fingerprints are alike to 1, an empty and another to 0; equal
+texts have equal fingerprints. Ties of doc_id are ordered by text, null ids first; repeated rows follow one another; with a single row
+the next is the row itself; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import let, shuffle_width, whole_text, words_of
 
-_LOW31 = (1 << 31) - 1
 _LOWEST = -(1 << 63)
 
 
 def winnow(text: Column, k: int = 3, window: int = 8) -> Column:
-    """array<bigint> of chosen k-grams in text order: hash in the high bits, 2^31 - 1 - position in the low 31."""
+    """array<struct<hash bigint, position int>> of the chosen k-grams in text order."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
 
@@ -33,32 +31,35 @@ def winnow(text: Column, k: int = 3, window: int = 8) -> Column:
         few = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))
         return F.when(n >= k, many).when(n > 0, few).otherwise(F.array().cast("array<bigint>"))
 
-    def keys(g: Column) -> Column:
-        return F.transform(g, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 31).bitwiseOR((F.lit(_LOW31) - i).cast("long")))
+    def places(g: Column) -> Column:
+        # the place of the smallest hash of 1, 2, 4, ... grams from each on; a tie goes to the right one
+        def wider(at: Column, step: int) -> Column:
+            def better(i: Column) -> Column:
+                return let(F.struct(F.get(at, i).alias("l"), F.get(at, i + step).alias("r")), lambda p: F.when(F.get(g, p["l"]) < F.get(g, p["r"]), p["l"]).otherwise(p["r"]))
 
-    def smallest(x: Column) -> Column:
-        def halve(y: Column, step: int) -> Column:
-            if step == window:
-                return F.array_distinct(y)
-            longer = F.transform(F.sequence(F.lit(0), F.size(y) - step - 1), lambda i: F.least(F.get(y, i), F.get(y, i + step)))
-            return let(longer, lambda z: halve(z, 2 * step))
+            return F.transform(F.sequence(F.lit(0), F.size(at) - step - 1), better)
 
-        return F.when(F.size(x) == 0, x).when(F.size(x) < window, F.array(F.array_min(x))).otherwise(halve(x, 1))
+        def halve(at: Column, step: int) -> Column:
+            return F.array_distinct(at) if step == window else let(wider(at, step), lambda x: halve(x, 2 * step))
 
-    return let(let(F.transform(words_of(text), lambda x: F.xxhash64(x)), lambda h: keys(grams(h))), smallest)
+        first = F.sequence(F.lit(0), F.size(g) - 1)
+        # fewer grams than a window are one window
+        last_least = F.size(g) - F.array_position(F.reverse(g), F.array_min(g)).cast("int")
+        return F.when(F.size(g) == 0, F.array().cast("array<int>")).when(F.size(g) < window, F.array(last_least)).otherwise(let(first, lambda x: halve(x, 1)))
 
+    def chosen(g: Column) -> Column:
+        return F.transform(places(g), lambda i: F.struct(F.get(g, i).alias("hash"), i.alias("position")))
 
-def hashes(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 31)))
+    return let(let(F.transform(words_of(text), lambda x: F.xxhash64(x)), grams), chosen)
 
 
-def position(chosen: Column) -> Column:
-    return (F.lit(_LOW31).cast("long") - chosen.bitwiseAND(F.lit(_LOW31).cast("long"))).cast("int")
+def hashes(chosen: Column) -> Column:
+    return F.array_distinct(F.transform(chosen, lambda x: x["hash"]))
 
 
 def shown(chosen: Column) -> Column:
     """``position:hash`` of each chosen k-gram, comma-joined."""
-    return F.array_join(F.transform(chosen, lambda x: F.concat(position(x).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftrightunsigned(x, 31))))), ",")
+    return F.array_join(F.transform(chosen, lambda x: F.concat(x["position"].cast("string"), F.lit(":"), F.lower(F.hex(x["hash"])))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,8 +112,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, k: int = 3, window: int = 8) -> DataFrame:
     """doc_id and the winnowed fingerprint (array of hash and position) of every document."""
-    chosen = winnow(whole_text(), k, window)
-    return docs.select("doc_id", F.transform(chosen, lambda x: F.struct(F.shiftrightunsigned(x, 31).alias("hash"), position(x).alias("position"))).alias("fingerprint"))
+    return docs.select("doc_id", winnow(whole_text(), k, window).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = 3, window: int = 8) -> DataFrame:

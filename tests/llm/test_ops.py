@@ -72,29 +72,50 @@ def test_quality_order_does_not_change_verdicts(docs):
     assert a == as_rows(quality.quality_rules(docs))
 
 
-def brute_winnow(words, k=3, w=8, h=None):
-    n = len(words)
-    grams = [tuple(words[i : i + k]) for i in range(n - k + 1)] if n >= k else ([tuple(words)] if n else [])
-    return grams
+def spark_hash(*values):
+    """Spark's xxhash64 of several strings or longs."""
+    import struct
 
+    import xxhash
 
-def test_fingerprints(docs, rows):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_winnow(text, k=3, w=8):
+    """(hash, position) of the smallest k-gram of every window, the rightmost of equal ones."""
+    words = [spark_hash(x) for x in WS.findall(text)]
+    grams = [spark_hash(*words[i : i + k]) for i in range(len(words) - k + 1)]
+    if words and not grams:
+        g = 0
+        for x in words:
+            g = spark_hash(g, x)
+        grams = [g]
+    at = {min(range(lo, min(lo + w, len(grams))), key=lambda i: (grams[i], -i)) for lo in range(max(1, len(grams) - w + 1))} if grams else set()
+    return [(grams[i], i) for i in sorted(at)]
+
+
+def jaccard(a, b):
+    a, b = {x for x, _ in a}, {x for x, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_equal_brute_force(docs, rows):
     out = table(fingerprint.edited_fingerprints(docs))
     ids = sorted(out)
     text = {r[0]: r[1] or "" for r in rows}
     assert len(out) == len(rows)
+    show = lambda f: ",".join(f"{p}:{h & (1 << 64) - 1:x}" for h, p in f)
     for k, i in enumerate(ids):
         t, nxt = text[i], text[ids[(k + 1) % len(ids)]]
         q = len(t) // 4
-        assert out[i].n_chars == len(t)
-        assert out[i].edited_sha256 == hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()
-        assert 0 <= out[i].near_edited <= 1 and 0 <= out[i].near_next <= 1
-    same = Counter()
-    by_text = {}
-    for i in ids:
-        by_text.setdefault(text[i], set()).add(out[i].fingerprint)
-        same[text[i]] += 1
-    assert all(len(v) == 1 for v in by_text.values()) and max(same.values()) >= 6
+        edited = t[: len(t) - q] + nxt[:q]
+        f, e, n = brute_winnow(t), brute_winnow(edited), brute_winnow(nxt)
+        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (show(f), show(e))
+        assert out[i].near_edited == pytest.approx(jaccard(f, e)) and out[i].near_next == pytest.approx(jaccard(f, n))
     long_ = [i for i in ids if len(WS.findall(text[i])) > 60]
     assert np.mean([out[i].near_edited for i in long_]) > 0.4
 
@@ -102,11 +123,12 @@ def test_fingerprints(docs, rows):
 def test_winnowing_guarantee_and_rightmost_ties(spark):
     a = " ".join(f"w{i}" for i in range(40))
     shared = " ".join(f"s{i}" for i in range(10))  # window + k - 1
-    d = frame(spark, [(1, a + " " + shared, "", "", 0), (2, shared + " " + a[::-1], "", "", 0), (3, "z " * 30, "", "", 0)])
+    d = frame(spark, [(1, a + " " + shared, "", "", 0), (2, shared + " " + a[::-1], "", "", 0), (3, "z " * 30, "", "", 0), (4, "z " * 9, "", "", 0)])
     f = {r.doc_id: {(x.hash): x.position for x in r.fingerprint} for r in fingerprint.fingerprints(d).collect()}
     assert set(f[1]) & set(f[2])
     got = [x.position for x in fingerprint.fingerprints(d.filter("doc_id = 3")).first().fingerprint]
     assert got == list(range(7, 28))  # of equal hashes in a window the rightmost
+    assert list(f[4].values()) == [6]
 
 
 def test_fingerprint_cases(spark, empty):
@@ -266,6 +288,47 @@ def test_packing_balances_cost():
     assert sum(n for *_, n, _ in [(a, b, c, d) for a, b, c, d in parts]) == 3000
 
 
+def brute_balanced(lengths, room, linear, quadratic):
+    """The dealt rule word by word: longest first, to the cheapest sequence with room for it, else cut over the cheapest with any."""
+    left, cost, out = [room] * -(-sum(lengths) // room), [0.0] * -(-sum(lengths) // room), []
+    for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        start, n = 0, lengths[item]
+        while n:
+            fit = [s for s in range(len(left)) if left[s] >= n] or [s for s in range(len(left)) if left[s]]
+            s = min(fit, key=lambda x: (cost[x], x))
+            k = min(n, left[s])
+            out.append((item, start, k, s))
+            left[s] -= k
+            cost[s] += linear * k + quadratic * k * k
+            start, n = start + k, n - k
+    return out
+
+
+def test_packing_takes_the_cheapest_of_all_sequences_with_room():
+    r = np.random.default_rng(2)
+    for lengths in ([500, 500, 30], [1], [], [1023] * 5, r.integers(1, 1024, 300).tolist(), np.minimum(1023, np.exp(r.normal(4.5, 1.2, 500)).astype(int) + 1).tolist()):
+        for q in (0.0, 1 / 1024):
+            assert packing.balanced(lengths, 1024, 1.0, q) == brute_balanced(lengths, 1024, 1.0, q)
+
+
+def test_tokenizers_agree_on_random_texts(small_packing):
+    import random
+
+    e, r = packing.Encoder(small_packing), random.Random(8)
+    pools = [range(32, 127), [9, 10, 32, *range(0xA1, 0x180)], [32, *range(0x370, 0x3FF), *range(0x4E00, 0x4E80)], [*range(0x20, 0x7F), 0x301, 0x1F600, 0x200D, 0xA0, 0x85, 0x2028, 0]]
+    for k in range(1500):
+        pool = [c for p in r.sample(pools, r.randint(1, 3)) for c in p]
+        t = "".join(chr(r.choice(pool)) for _ in range(r.randint(0, 60)))
+        assert e(t) == e.full.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_of_a_very_long_text(spark, small_packing):
+    text = "long words of one text " * 40_000
+    out = packing.packed(frame(spark, [(1, text, "", "", 0), (2, "short", "", "", 0)]).coalesce(1), small_packing).collect()
+    assert sum(r.length for r in out if r.doc_id == 1) == out[0].doc_tokens > 200_000
+    assert len({r.sequence_id for r in out}) * 1024 - sum(r.length for r in out) < 2 * 1024
+
+
 def test_both_tokenizers_agree(small_packing, rows):
     e = packing.Encoder(small_packing)
     for t in [r[1] for r in rows if r[1]] + ["a  b\n\n c\t d", "it's we'll 123 4567", "<|endoftext|> x", "  "]:
@@ -329,6 +392,30 @@ def test_long_conversations_are_rendered_whole(spark):
     assert all((r.formatted is None) == r.rewrites for r in out)
 
 
+def test_short_prefixes_give_what_complete_ones_give():
+    def late(turns):  # looks back nine turns once there are more than eighteen
+        return "".join(f"<{t['text']}>" for t in turns[:5]) + ("|" if len(turns) > 18 and len(turns[-9]["text"]) > 2 else "") + "".join(f"<{t['text']}>" for t in turns[5:])
+
+    def summed(turns):
+        return "".join(f"{t['role']}: {t['text']} ({sum(len(x['text']) for x in turns[: i + 1])})\n" for i, t in enumerate(turns))
+
+    rendered = 0
+
+    def plain(turns):
+        nonlocal rendered
+        rendered += len(turns)
+        return chat.turn_template(turns)
+
+    for n in (1, 15, 16, 17, 31, 33, 64, 90):
+        turns = [{"role": ("user", "assistant")[i % 2], "text": f"t{i}" * (i % 4)} for i in range(n)]
+        for template in (chat.turn_template, late, summed, lambda x: summed(x[-20:])):
+            state = chat.Incremental(template)
+            assert chat.located(turns, template) == [state.add(t) for t in turns]
+    many = [{"role": "user", "text": "x"}] * 3000
+    rendered = 0
+    assert len(chat.located(many, plain)) == 3000 and rendered < 3000 * 40  # in proportion to the turns
+
+
 def test_html_held_out_accuracy():
     m = html_crf.trained()
     right = n = 0

@@ -1,18 +1,22 @@
 """License scans by diagonal voting, in DataFrame expressions only.
 
-All rolling word k-grams of every document are joined by hash to the k-grams of the license templates (a parameter of bounded
-size, so that side is broadcast). Hits are counted by offset diagonal (document position minus template position), neighbouring
-diagonals of one template are merged, and a merged diagonal counts when its k-grams, compared word by word, cover at least
-``least`` of the template. Beside that stand the base phrases, found wherever their words follow one another.
-
-Defined results: null text is empty; a document without hits has null positions, empty label lists and score 0; rows that share a
-doc_id are told apart by their text's hash, so repeated rows each get the same result; an empty table gives an empty result;
-further columns are ignored.
+All rolling word k-grams of every document are joined by hash to the k-grams of the license templates (whole public licence texts in
+``license_texts`` and short statements; a parameter of bounded size, so that side is broadcast). Hits are compared word by word and
+counted by offset diagonal (document position minus template position), and neighbouring diagonals of one template are merged. A merged
+diagonal is solid when it holds ``solid`` k-grams or most of a short template; the solid ones of a template together, as an edited or
+interleaved copy lies on several, count when their words cover at least ``least`` of it. Beside that stand the base phrases, found
+wherever their words follow one another.
+
+Defined results: null text is empty; a text of any length is read whole; a document without hits has null positions, empty label lists
+and score 0; rows that share a doc_id are told apart by their text's hash, so repeated rows each get the same result; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +27,12 @@ from .common import LICENSE_WORD, LICENSE_WORD_OR_CAPITALS, ascii_lower_words, l
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: Short public license statements, and the label that a document gets which holds one of them.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "Released under the MIT License."),
+STATEMENTS: tuple[tuple[str, str], ...] = (
+    ("mit-statement", "Released under the MIT License."),
     ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0-statement", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-3-statement", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -38,6 +42,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 #: Template k-grams that may be broadcast.
 MOST_TEMPLATE_GRAMS = 100_000
 
+Templates = tuple[tuple[str, str], ...]
+
+
+@lru_cache(maxsize=1)
+def public_templates() -> Templates:
+    """The statements and, by the name of its file, every whole licence text of the package."""
+    texts = sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt"))
+    return (*STATEMENTS, *texts)
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
@@ -62,42 +75,48 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("row_key"), ascii_lower_words(text, LICENSE_WORD, LICENSE_WORD_OR_CAPITALS).alias("words"))
 
 
-def diagonal_votes(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = 3, near: int = 3, least: float = 0.8) -> DataFrame:
-    """doc_id, row_key, label, coverage, start, end: the verified spans of every document (end excluded, in words)."""
-    spark = docs.sparkSession
-    grams, lengths = [], []
-    for t, (label, text) in enumerate(templates):
-        w = template_words(text)
-        if len(w) < k:
+def _rolling(words: Column, k: int) -> Column:
+    n = F.size(words)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _gram(words: Column, at: Column, k: int) -> Column:
+    return F.array_join(F.slice(words, at + 1, k), " ")
+
+
+def diagonal_votes(docs: DataFrame, templates: Templates | None = None, k: int = 5, near: int = 3, least: float = 0.8, solid: int = 10) -> DataFrame:
+    """doc_id, row_key, label, coverage, start, end: what every document has of a template (end excluded, in words)."""
+    templates = public_templates() if templates is None else templates
+    counts = [len(template_words(text)) for _, text in templates]
+    for (label, _), n in zip(templates, counts):
+        if n < k:
             raise ValueError(f"template {label!r} has fewer than {k} words")
-        lengths.append((t, label, len(w)))
-        grams += [(t, p, " ".join(w[p : p + k])) for p in range(len(w) - k + 1)]
-    if len(grams) > MOST_TEMPLATE_GRAMS:
+    if sum(counts) > MOST_TEMPLATE_GRAMS:
         raise ValueError("the templates are too large to broadcast")
-    one = spark.range(1)
+    one = docs.sparkSession.range(1)
     row = lambda **values: F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
-    g = one.select(F.inline(F.array(*[row(t=t, tp=p, gram=w) for t, p, w in grams]))).withColumn("h", F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(k)]))
-    kinds = one.select(F.inline(F.array(*[row(t=t, label=x, n_template=n) for t, x, n in lengths])))
-
-    def rolling(w: Column) -> Column:
-        n = F.size(w)
-        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    t = one.select(F.inline(F.array(*[row(t=i, label=label, text=text) for i, (label, text) in enumerate(templates)])))
+    t = t.select("t", "label", ascii_lower_words(F.col("text"), LICENSE_WORD, LICENSE_WORD_OR_CAPITALS).alias("w"))
+    g = t.select("t", "w", F.posexplode(_rolling(F.col("w"), k)).alias("tp", "h")).select("t", "tp", "h", _gram(F.col("w"), F.col("tp"), k).alias("gram"))
+    kinds = t.select("t", "label", F.size("w").alias("n_template"))
 
     d = _documents(docs)
-    d = d.select("doc_id", "row_key", "words", let(F.col("words"), rolling).alias("hs"))
+    d = d.select("doc_id", "row_key", "words", let(F.col("words"), lambda w: _rolling(w, k)).alias("hs"))
     hits = d.select("doc_id", "row_key", "words", F.posexplode("hs").alias("p", "h")).join(F.broadcast(g), "h")
     # verified word by word, not by hash alone
-    hits = hits.filter(F.array_join(F.slice("words", F.col("p") + 1, k), " ") == F.col("gram"))
+    hits = hits.filter(_gram(F.col("words"), F.col("p"), k) == F.col("gram"))
     cell = hits.groupBy("doc_id", "row_key", "t", (F.col("p") - F.col("tp")).alias("diagonal")).agg(F.collect_set("tp").alias("tps"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     by = Window.partitionBy("doc_id", "row_key", "t").orderBy("diagonal")
     run = cell.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > near).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by))
     merged = run.groupBy("doc_id", "row_key", "t", "run").agg(F.array_distinct(F.flatten(F.collect_list("tps"))).alias("tps"), F.min("lo").alias("start"), (F.max("hi") + k).alias("end"))
+    merged = merged.join(F.broadcast(kinds), "t").filter(F.size("tps") >= F.least(F.lit(solid), F.ceil(least * (F.col("n_template") - k + 1))))
+    whole = merged.groupBy("doc_id", "row_key", "t", "label", "n_template").agg(F.array_distinct(F.flatten(F.collect_list("tps"))).alias("tps"), F.min("start").alias("start"), F.max("end").alias("end"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("tps", lambda p: F.sequence(p, p + k - 1)))))
-    spans = merged.join(F.broadcast(kinds), "t").withColumn("coverage", covered / F.col("n_template"))
+    spans = whole.withColumn("coverage", covered / F.col("n_template"))
     return spans.filter(F.col("coverage") >= least).select("doc_id", "row_key", "label", "coverage", "start", "end")
 
 
-def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = 3, near: int = 3, least: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, templates: Templates | None = None, k: int = 5, near: int = 3, least: float = 0.8) -> DataFrame:
     """One row per document: word count, base places, base and method labels, score."""
     d = _documents(docs).select("doc_id", "row_key", "words")
     info = let(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), base_places(w).alias("at")))

@@ -5,16 +5,22 @@ have exact moduli, so the permutation is a bijection of the valid values: equal
 different ones stay different, and a valid value stays valid. Kinds:
 
 * ``card``: 13 to 19 digits that pass the Luhn check, plain or in groups; all digits but the last are permuted, the last is the new check digit;
-* ``phone``: ten digits in North American grouping, with or without a leading 1;
+* ``phone``: ten digits in North American grouping, with or without a leading 1; the first digits of area and exchange stay 2 to 9
+  where they are (and 0 or 1 where they are that), so a valid number stays valid;
+* ``abroad``: 8 to 15 digits in groups after a plus sign and another country's code, whose digits stay;
 * ``ip``: dotted quads of octets up to 255;
 * ``ssn``: three-two-four digits with a valid area, group and serial;
-* ``date``: YYYY-MM-DD and DD/MM/YYYY that exist in the calendar, permuted within the 400-year cycle they lie in;
-* ``email`` and ``secret`` (hexadecimal after token, key, secret or password) are replaced by keyed hashes of the same shape.
+* ``date``: YYYY-MM-DD and DD/MM/YYYY from the year 400 on that exist in the calendar, permuted within the 400-year cycle they lie in,
+  the same in both forms; MM/DD/YYYY whose day is above 12, permuted among such dates;
+* ``email``: letters among letters and digits among digits, but for the top-level domain; dots, signs, length and capitals stay;
+* ``secret`` (hexadecimal after token, key, secret or password): hexadecimal digits among hexadecimal digits, of any length.
 
-Anything else is left as it is. Separators, brackets, letter case and length are kept.
+Addresses that differ in capitals alone are one value. Anything else is left as it is. Separators, brackets, capitals and length are
+kept. As in any permutation, a value may chance to map to itself.
 
-Defined results: null text stays null with no findings in :func:`pseudonymised`; empty text stays empty; ties and repeated rows
-get equal results; an empty table gives an empty result; further columns pass through :func:`pseudonymised` unchanged.
+Defined results: null text stays null with no findings in :func:`pseudonymised`; empty text stays empty; a text of any length is
+searched whole; ties and repeated rows get equal results; an empty table gives an empty result; further columns pass through
+:func:`pseudonymised` unchanged.
 """
 
 from __future__ import annotations
@@ -28,20 +34,24 @@ from .common import let
 
 DEFAULT_KEY = "braidframe-pseudonym-key"
 ROUNDS = 8
-KINDS = ("email", "secret", "ip", "phone", "card", "ssn", "date")
+KINDS = ("email", "secret", "ip", "phone", "abroad", "card", "ssn", "date")
 
 #: Every candidate holds a digit or an at sign, or is a long run of hexadecimal letters; other texts are left unsearched.
 MAYBE = r"[0-9@]|[A-Fa-f]{16}"
 
+#: The usual groups of 19, 16, 14 or 15 and 13 digits.
+GROUPED_CARD = r"(?:\d{4}[ \-]){4}\d{3}|(?:\d{4}[ \-]){3}\d{4}|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{4}(?:[ \-]\d{3}){3}"
+
 #: The candidates, in the order in which they are tried at a place.
 PATTERN = (
     r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
     r"|(?=[0-9A-Fa-f]{16})(?<=(?i:token|secret|password|passwd|key)[ ]{0,3}[=:][ ]{0,3}[\"']?)[0-9A-Fa-f]{16,64}(?![0-9A-Za-z])"
     r"|(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
+    r"|(?<![\w.+])\+(?!1[ .\-(\d])(?=(?:[ .\-]?\d){8,15}(?!\d))\d{1,3}(?:[ .\-]\d{2,5}){2,4}(?!\w)"
     r"|(?<![\w.+])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
     r"|(?<![\w])\d{4}-\d{2}-\d{2}(?!\w)|(?<![\w])\d{2}/\d{2}/\d{4}(?!\w)"
     r"|(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-    r"|(?<!\d)(?:\d{4}[ \-]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
+    r"|(?<!\d)(?:" + GROUPED_CARD + r")(?!\d)|(?<!\d)\d{13,19}(?!\d)"
 )
 
 _DIGITS = "0123456789"
@@ -129,8 +139,38 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = _only_digits(m)
-    return let(d, lambda x: _refill(m, F.concat(F.substring(x, F.lit(1), F.length(x) - 10), permute_digits(F.substring(x, F.length(x) - 9, F.lit(10)), key, "phone"))))
+    def moved(d: Column) -> Column:
+        """Ten digits, permuted among those whose area and exchange begin with a digit of the same class."""
+        area, exchange, line = (_long(F.substring(d, F.lit(i), F.lit(n))) for i, n in ((1, 3), (4, 3), (7, 4)))
+        valid = lambda x: x >= 200
+        base = lambda x: F.when(valid(x), 200).otherwise(0)
+        span = lambda x: F.when(valid(x), 800).otherwise(200).cast("bigint")
+        left = (area - base(area)) * (span(exchange) / 10).cast("bigint") + F.floor((exchange - base(exchange)) / 10)
+        right = (exchange - base(exchange)) % 10 * 10_000 + line
+        out = feistel(left, right, span(area) * (span(exchange) / 10).cast("bigint"), F.lit(100_000).cast("bigint"), key, "phone")
+
+        def shown(x: Column) -> Column:
+            tens = (span(exchange) / 10).cast("bigint")
+            a = F.floor(x["l"] / tens) + base(area)
+            e = x["l"] % tens * 10 + F.floor(x["r"] / 10_000) + base(exchange)
+            return F.concat(F.lpad(a.cast("string"), 3, "0"), F.lpad(e.cast("string"), 3, "0"), F.lpad((x["r"] % 10_000).cast("string"), 4, "0"))
+
+        return let(out, shown)
+
+    return let(_only_digits(m), lambda x: _refill(m, F.concat(F.substring(x, F.lit(1), F.length(x) - 10), let(F.substring(x, F.length(x) - 9, F.lit(10)), moved))))
+
+
+def _abroad(m: Column, key: str) -> Column:
+    def whole(x: Column) -> Column:
+        # the country's code is the first group, and a key of its own for the rest
+        code = F.regexp_extract(m, r"^\+(\d{1,3})", 1)
+        rest = F.substring(x, F.length(code) + 1, F.length(x))
+        n = F.length(rest)
+        a = F.floor(n / 2).cast("int")
+        out = feistel(_long(F.substring(rest, F.lit(1), a)), _long(F.substring(rest, a + 1, n - a)), _power10(a), _power10(n - a), key, "abroad")
+        return _refill(m, F.concat(code, let(out, lambda y: F.concat(F.lpad(y["l"].cast("string"), a, "0"), F.lpad(y["r"].cast("string"), n - a, "0")))))
+
+    return let(_only_digits(m), whole)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -161,36 +201,104 @@ def _ssn(m: Column, key: str) -> Column:
     return let(F.split(m, "-"), whole)
 
 
+#: Steps after which a walk through dates gives up; two in five of them end it at each.
+_WALK = 60
+
+
 def _date(m: Column, key: str) -> Column:
     iso = m.rlike("^\\d{4}-")
-    text = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
     start = F.to_date(F.lit("2000-01-01"))
 
-    def whole(day: Column) -> Column:
+    def parsed(y: Column, mo: Column, d: Column) -> Column:
+        return F.to_date(F.try_to_timestamp(F.concat_ws("-", y, mo, d), F.lit("yyyy-MM-dd")))
+
+    first, second, last = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
+    day_first = F.when(iso, parsed(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).otherwise(parsed(last, second, first))
+
+    def step(day: Column, kind: str) -> Column:
         n = F.datediff(day, start).cast("bigint")
         era = F.floor(n / _CYCLE).cast("bigint")
         at = F.pmod(n, F.lit(_CYCLE))
-        moved = feistel(F.floor(at / _CYCLE_B), at % _CYCLE_B, F.lit(_CYCLE_A).cast("bigint"), F.lit(_CYCLE_B).cast("bigint"), key, "date")
-        out = let(moved, lambda x: F.date_add(start, (era * _CYCLE + x["l"] * _CYCLE_B + x["r"]).cast("int")))
-        shown = F.when(iso, F.date_format(out, "yyyy-MM-dd")).otherwise(F.date_format(out, "dd/MM/yyyy"))
-        return F.when((F.year(day) >= 1600) & (F.year(day) < 2400), shown)
+        moved = feistel(F.floor(at / _CYCLE_B), at % _CYCLE_B, F.lit(_CYCLE_A).cast("bigint"), F.lit(_CYCLE_B).cast("bigint"), key, kind)
+        return let(moved, lambda x: F.date_add(start, (era * _CYCLE + x["l"] * _CYCLE_B + x["r"]).cast("int")))
+
+    def whole(day: Column) -> Column:
+        out = let(step(day, "date"), lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "dd/MM/yyyy")))
+        return F.when(F.year(day) >= 400, out)
 
-    return let(F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))), whole)
+    def month_first(day: Column) -> Column:
+        # the permutation is walked on until the day is above 12 again, which permutes such dates
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), step(day, "us"), lambda x, _: F.when(F.dayofmonth(x) > 12, x).otherwise(let(x, lambda v: step(v, "us"))))
+        return F.when((F.year(day) >= 400) & (F.dayofmonth(day) > 12), let(walk, lambda x: F.when(F.dayofmonth(x) > 12, F.date_format(x, "MM/dd/yyyy"))))
+
+    return F.coalesce(let(day_first, whole), F.when(~iso, let(parsed(last, first, second), month_first)))
+
+
+def permute_characters(text: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
+    """Lower-case ``text`` with its letters permuted among letters and its digits among digits (or all as hexadecimal digits), the
+    rest in place: a Feistel network over the two halves of those characters, each added to by place, so different texts stay different."""
+    digits = "0123456789abcdef" if hexadecimal else "0123456789"
+
+    def whole(chars: Column) -> Column:
+        slots = F.filter(chars, lambda c: c.rlike("^[0-9a-f]$" if hexadecimal else "^[0-9a-z]$"))
+        shape = F.concat_ws("", F.transform(chars, lambda c: F.when(c.rlike("^[0-9]$"), "0").when(c.rlike("^[a-z]$"), "a").otherwise(c))) if not hexadecimal else F.lit("")
+
+        def added(half: Column, by: Column, i: Column) -> Column:
+            def one(c: Column, j: Column) -> Column:
+                noise = _long(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), shape, i.cast("string"), j.cast("string"), F.concat_ws("", by)), 256), 1, 12), 16, 10))
+                is_digit = F.lit(True) if hexadecimal else c.rlike("^[0-9]$")
+                letters = "abcdefghijklmnopqrstuvwxyz"
+                turn = lambda alphabet: F.substring(F.lit(alphabet), (F.pmod(_long(F.instr(F.lit(alphabet), c)) - 1 + noise, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+                return F.when(is_digit, turn(digits)).otherwise(turn(letters))
+
+            return F.transform(half, one)
+
+        def rounds(s: Column) -> Column:
+            a = F.floor(F.size(s) / 2).cast("int")
+            begin = F.struct(F.slice(s, F.lit(1), a).alias("l"), F.slice(s, a + 1, F.size(s)).alias("r"))
+            step = lambda x, i: F.when(i % 2 == 0, F.struct(added(x["l"], x["r"], i).alias("l"), x["r"].alias("r"))).otherwise(F.struct(x["l"].alias("l"), added(x["r"], x["l"], i).alias("r")))
+            return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), begin, step, lambda x: F.concat(x["l"], x["r"]))
+
+        def filled(new: Column) -> Column:
+            step = lambda x, c: F.when(
+                c.rlike("^[0-9a-f]$" if hexadecimal else "^[0-9a-z]$"), F.struct(F.concat(x["out"], F.get(new, x["at"])).alias("out"), (x["at"] + 1).alias("at"))
+            ).otherwise(F.struct(F.concat(x["out"], c).alias("out"), x["at"].alias("at")))
+            return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda x: x["out"])
+
+        return let(let(slots, rounds), filled)
+
+    return let(F.split(text, ""), whole)
+
+
+def _capitals_of(shape: Column, text: Column) -> Column:
+    """``text`` with capitals where ``shape``, of the same length, has them."""
+    pairs = F.zip_with(F.split(shape, ""), F.split(text, ""), lambda a, b: F.when(a.rlike("^[A-Z]$"), F.upper(b)).otherwise(b))
+    return F.array_join(pairs, "")
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), 1, 12), F.lit("@masked.invalid"))
+    top = F.substring_index(m, ".", -1)
+
+    def whole(t: Column) -> Column:
+        body = F.substring(m, F.lit(1), F.length(m) - F.length(t) - 1)
+        return let(body, lambda b: F.concat(_capitals_of(b, permute_characters(F.lower(b), key, "email")), F.lit("."), t))
+
+    return let(top, whole)
 
 
 def _secret(m: Column, key: str) -> Column:
-    out = F.substring(F.sha2(F.concat(F.lit(f"{key}|secret|"), F.lower(m)), 256), F.lit(1), F.length(m))
-    return F.when(m == F.upper(m), F.upper(out)).otherwise(out)
+    return _capitals_of_hex(m, permute_characters(F.lower(m), key, "secret", hexadecimal=True))
+
+
+def _capitals_of_hex(shape: Column, text: Column) -> Column:
+    """All capitals if ``shape`` has no small letter."""
+    return F.when(shape == F.upper(shape), F.upper(text)).otherwise(text)
 
 
 def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email").when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), "date")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^(\d{4}[ \-]){3}\d{4}$"), "card").when(m.rlike(r"^(\+?1[ .\-]?)?(\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}$"), "phone")
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(f"^({GROUPED_CARD})$"), "card").when(m.rlike(r"^\+(?!1[ .\-(\d])"), "abroad").when(m.rlike(r"^(\+?1[ .\-]?)?(\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}$"), "phone")
     )
 
 
@@ -201,7 +309,7 @@ def replacements(text: Column, key: str = DEFAULT_KEY) -> Column:
         # plain runs of digits are cards unless a secret's name stands before them, which the gap's end shows
         named = before.rlike(r"(?i)(token|secret|password|passwd|key)[ ]{0,3}[=:][ ]{0,3}[\"']?$") & m.rlike(r"^[0-9A-Fa-f]{16,64}$")
         kind = F.when(named, "secret").otherwise(F.coalesce(_kind(m), F.when(m.rlike(r"^\d+$"), "card")))
-        makers: dict[str, Callable[[Column, str], Column]] = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date}
+        makers: dict[str, Callable[[Column, str], Column]] = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "abroad": _abroad, "card": _card, "ssn": _ssn, "date": _date}
 
         def made(k: Column) -> Column:
             new = F.lit(None).cast("string")

@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 Each rule's cost and selectivity are estimated on a bounded sample (``sample_rows``, a documented parameter that affects the
-order of evaluation only, never a verdict). Rules then run in descending rejections per cost, inside one CASE expression, so a
-document that an early rule rejects never pays for the later ones.
-
-Defined results: null or empty text has no words and fails the base rule; ties and repeated rows are judged row by row; an empty
-table gives an empty result; further input columns, whatever their names, are ignored.
+order of evaluation only, never a verdict): the sample's rows are repeated until a rule takes well over what a Spark job takes anyway,
+and the median of several readings counts. Rules are then chosen one by one, each time the one that rejects most of the documents
+which those before it leave per second, and run in that order inside one CASE expression, so a document that an early rule
+rejects never pays for the later ones, nor for the features that only they use. Where verdicts alone are wanted, the two base tests
+are members of the cascade like the others.
+
+Defined results: null or empty text has no words and fails the base rule; a text of any length is judged whole; ties and repeated
+rows are judged row by row; an empty table gives an empty result; further input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +86,9 @@ RULES: tuple[Rule, ...] = (
     Rule("shouted_ends", lambda c: 5 * F.regexp_count(c["text"], F.lit(r"!!")) > c["n_words"]),
 )
 
+#: The base rule's two tests, as members of a cascade.
+BASE_RULES: tuple[Rule, ...] = (Rule("few_words", lambda c: c["n_words"] < 10), Rule("repeated_words", lambda c: 100 * c["n_repeat_words"] > 20 * c["n_words"]))
+
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -99,27 +106,73 @@ def _columns() -> dict[str, Column]:
     return {c: F.col(c) for c in ("text", "n_lines", *_BASE)}
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 256, seed: int = 7) -> list[Rule]:
-    """The rules in descending rejections per second, as measured on at most ``sample_rows`` documents."""
-    sample = base_columns(docs.sample(0.02, seed=seed).limit(sample_rows)).cache()
+def lazy_features(text: Column, words: Column) -> dict[str, Column]:
+    """The features as expressions of the text and its words, each evaluated where a rule that is reached uses it."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return {
+        "text": text, "n_words": F.size(words), "n_repeat_words": repeated_words(words), "word_chars": F.length(F.translate(text, "\t\n\x0b\x0c\r ", "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_lines": F.size(lines),
+    }
+
+
+def measured(sample: DataFrame, tests: Sequence[Column], least_seconds: float = 0.12, readings: int = 3, most_repeats: int = 512) -> list[float]:
+    """Seconds that each test takes a row of ``sample``, above those of a job that tests nothing."""
+    n = max(1, sample.count())
+
+    def seconds(test: Column, repeats: int) -> float:
+        many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_again"))
+        began = time.perf_counter()
+        many.agg(F.sum(F.when(test, 1).otherwise(0))).first()
+        return time.perf_counter() - began
+
+    nothing: dict[int, float] = {}
+
+    def above(test: Column, repeats: int) -> float:
+        if repeats not in nothing:
+            nothing[repeats] = median([seconds(F.lit(False), repeats) for _ in range(readings)])
+        return seconds(test, repeats) - nothing[repeats]
+
+    out = []
+    seconds(F.lit(False), 1)
+    for test in tests:
+        repeats = 8
+        seconds(test, repeats)  # compiled before it is timed
+        while (took := above(test, repeats)) < least_seconds and repeats < most_repeats:
+            repeats *= 8
+        out.append(max(median([took, *[above(test, repeats) for _ in range(readings - 1)]]), 1e-6) / (n * repeats))
+    return out
+
+
+def greedy_order(hits: Sequence[Sequence[bool]], costs: Sequence[float]) -> list[int]:
+    """Rules by rejections per cost among the rows that those before leave (hits: by row, whether each rule rejects it); then by cost."""
+    left, rows, out = set(range(len(costs))), list(hits), []
+    while left:
+        worth = {k: sum(bool(r[k]) for r in rows) / costs[k] for k in left}
+        best = max(left, key=lambda k: (worth[k], -costs[k], -k))
+        out.append(best)
+        left.discard(best)
+        rows = [r for r in rows if not r[best]]
+    return out
+
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 256, seed: int = 7, lazy: bool = False) -> list[Rule]:
+    """The rules in the order of the cascade, by what at most ``sample_rows`` documents show.
+
+    With ``lazy`` a rule's cost includes the features it uses, as in a cascade over the text itself.
+    """
+
+    def prepared(d: DataFrame) -> DataFrame:
+        return d.select(F.coalesce(d["text"], F.lit("")).alias("text")).withColumn("words", words_of(F.col("text"))) if lazy else base_columns(d)
+
+    sample = prepared(docs.sample(0.02, seed=seed).limit(sample_rows)).cache()
     try:
         if sample.count() < min(32, sample_rows):
             sample.unpersist()
-            sample = base_columns(docs.limit(sample_rows)).cache()
-        n = max(1, sample.count())
-        columns = _columns()
-
-        def timed(fails: Column) -> tuple[float, float]:
-            began = time.perf_counter()
-            hits = sample.agg(F.sum(F.when(fails, 1).otherwise(0))).first()[0] or 0
-            return time.perf_counter() - began, hits / n
-
-        idle = min(timed(F.lit(False))[0] for _ in range(2))
-        worth = []
-        for rule in rules:
-            cost, share = timed(rule.fails(columns))
-            worth.append((share / max(cost - idle, 1e-3), rule))
-        return [rule for _, rule in sorted(worth, key=lambda x: (-x[0], x[1].name))]
+            sample = prepared(docs.limit(sample_rows)).cache()
+        c = lazy_features(F.col("text"), F.col("words")) if lazy else _columns()
+        tests = [rule.fails(c) for rule in rules]
+        hits = sample.select(*[F.coalesce(t, F.lit(False)).alias(f"t{k}") for k, t in enumerate(tests)]).collect()
+        return [rules[k] for k in greedy_order(hits, measured(sample, tests))] if hits else list(rules)
     finally:
         sample.unpersist()
 
@@ -136,16 +189,23 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: i
     return f.select("doc_id", *_BASE, failed.alias("base_failed"), verdict.otherwise(F.lit(True)).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 256) -> DataFrame:
-    """The rows of ``docs`` that pass the base rule and the cascade, with their own columns and no others."""
-    ordered = order_rules(docs, rules, sample_rows)
+def kept_documents(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + RULES, sample_rows: int = 256) -> DataFrame:
+    """The rows of ``docs`` that no rule of the cascade rejects, with their own columns and no others."""
+    ordered = order_rules(docs, rules, sample_rows, lazy=True)
     text = F.coalesce(docs["text"], F.lit(""))
-    f = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), features(text).alias("f"))
-    c = {"text": F.col("text"), "n_words": F.col("f.w.n_words"), "word_chars": F.col("f.word_chars"), "n_symbols": F.col("f.n_symbols"), "n_dup_lines": F.col("f.lines.dup"), "n_repeat_words": F.col("f.w.n_repeat_words"), "n_lines": F.col("f.lines.n")}
-    verdict = F.when((c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"]), F.lit(False))
-    for rule in ordered:
-        verdict = verdict.when(rule.fails(c), F.lit(False))
-    return f.filter(verdict.otherwise(F.lit(True))).select("row.*")
+
+    def passes(t: Column) -> Column:
+        def verdict(words: Column) -> Column:
+            c = lazy_features(t, words)
+            out = F.when(F.lit(False), F.lit(False))
+            for rule in ordered:
+                out = out.when(rule.fails(c), F.lit(False))
+            return out.otherwise(F.lit(True))
+
+        return let(words_of(t), verdict)
+
+    f = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"))
+    return f.filter(passes(F.col("text"))).select("row.*")
 
 
 #: What SQL can say of the query: everything, the rules above restated.

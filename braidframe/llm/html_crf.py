@@ -5,9 +5,14 @@ text (length, links, punctuation, place). A two-label chain (main or not) is tra
 exact likelihood and decoded by Viterbi. The labelled pages are written by :func:`labelled_pages`, ``training_pages`` of them
 under a fixed seed (a documented bound); the model is a few hundred weights, trained once on the driver and shipped with the task.
 
+Tags are read as browsers read them: a self-closing slash means something in foreign content (svg, math) alone, quotes within unquoted
+attribute values are part of them, ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text, drawings end at the next HTML
+block even where their end tag is missing, and character references are decoded within one run of text. Reading takes time in
+proportion to the page however deep its elements lie.
+
 Defined results: null or empty html, and pages without a main block, give an empty text; text outside any element is a block; a
-page that is cut off in a tag or a reference is read up to there; repeated rows are read each; an empty table gives an empty
-result; further columns are ignored.
+page that is cut off in a tag or a reference is read up to there; a page of any length is read whole; repeated rows are read each; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -22,54 +28,75 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose tags separate blocks, elements without content, and elements whose content is no text of the page.
+#: Elements whose tags separate blocks, elements without content, elements whose content is no text of the page
+#: (up to their end tag, or the page's end), and elements that end a drawing whose end tag is missing.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td "
-    "tfoot th thead title tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table "
+    "tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title".split())
+RAW = frozenset("script style template textarea iframe title noembed noframes xmp annotation annotation-xml".split())
+BREAKS_OUT = (BLOCK | frozenset("b big br code em embed i img nobr ruby s small span strike strong sub sup tt u var".split())) - {"title"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTES = r"""(?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(/?)(?:>|\Z)", re.S)
+_NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "path", "names", "link_chars", "tag")
+    """``inside``: the tags of the elements around the block's own; ``names``: words of their classes, ids and roles, with its own."""
+
+    __slots__ = ("text", "tag", "inside", "names", "link_chars")
+
+    def __init__(self, text: str, tag: str, inside: frozenset[str], names: frozenset[str], link_chars: int):
+        self.text, self.tag, self.inside, self.names, self.link_chars = text, tag, inside, names, link_chars
+
 
-    def __init__(self, text: str, path: tuple[str, ...], names: frozenset[str], link_chars: int):
-        self.text, self.path, self.names, self.link_chars = text, path, names, link_chars
-        self.tag = path[-1] if path else ""
+class _Open:
+    """An open element; what lies around it is shared with its parent where it adds nothing, so depth costs nothing."""
 
+    __slots__ = ("tag", "inside", "around", "names")
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in page order; white space within a block is one space."""
+    def __init__(self, tag: str, own: Iterable[str], parent: _Open | None):
+        self.tag = tag
+        self.inside: frozenset[str] = parent.around if parent else frozenset()
+        self.around = self.inside if tag in self.inside else self.inside | {tag}
+        names: frozenset[str] = parent.names if parent else frozenset()
+        self.names = names.union(own) if any(x not in names for x in own) else names
+
+
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's blocks of text, in page order; white space within a block is one space. Of names only ``known`` words are kept."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[_Open] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    link_parts = 0
-    in_link = 0
-    at = 0
+    link_parts = in_link = at = 0
+    drawing = 0  # open svg elements
 
     def flush() -> None:
         nonlocal link_parts
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack), names, min(link_parts, len(text))))
+                top = stack[-1] if stack else None
+                out.append(Block(text, top.tag if top else "", top.inside if top else frozenset(), top.names if top else frozenset(), min(link_parts, len(text))))
             parts.clear()
         link_parts = 0
 
     def word(chunk: str) -> None:
         nonlocal link_parts
-        if chunk:
+        if chunk and not drawing:
+            chunk = entities.unescape(chunk)
             parts.append(chunk)
             if in_link:
                 link_parts += len(chunk.strip())
 
+    def pop() -> None:
+        open_tags[stack.pop().tag] -= 1
+
     end = len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -81,54 +108,69 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag == "svg":
+            drawing = max(0, drawing - 1) if m[1] else drawing + (not m[4])
+            continue
+        if drawing:
+            if m[1] or tag not in BREAKS_OUT:
+                continue
+            drawing = 0
         if m[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             elif tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_tags[tag]:
+                    while stack[-1].tag != tag:
+                        pop()
+                    pop()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
+            if not (m[4] and tag.startswith("annotation")):
+                close = _end_tag(tag).search(page, at)
+                at = close.end() if close else end
             if tag in BLOCK:
                 flush()
             continue
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            in_link += 1
+            in_link = 1
         elif tag in BLOCK:
             flush()
             in_link = 0
-            if stack and (stack[-1][0] == "p" or (tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack[-1][0] == tag)):
-                stack.pop()
-            if tag not in VOID and not m[3].endswith("/"):
+            if stack and (stack[-1].tag == "p" or (tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack[-1].tag == tag)):
+                pop()
+            if tag not in VOID:
                 found = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if m[3] else ""
-                stack.append((tag, frozenset(_NAME_WORD.findall(found))))
+                own = _NAME_WORD.findall(found) if found else []
+                stack.append(_Open(tag, own if known is None else [x for x in own if x in known], stack[-1] if stack else None))
+                open_tags[tag] += 1
     flush()
     return out
 
 
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I)
+
+
 def block_features(blocks: list[Block]) -> list[list[str]]:
     out = []
     n = len(blocks)
     for k, b in enumerate(blocks):
         text, words = b.text, b.text.count(" ") + 1
         f = ["bias", f"tag={b.tag}", f"words={min(int(np.log2(words)), 7)}", f"chars={min(len(text).bit_length(), 12)}"]
-        f += [f"in={t}" for t in set(b.path[:-1])] + [f"name={w}" for w in b.names]
+        f += [f"in={t}" for t in b.inside] + [f"name={w}" for w in b.names]
         f.append(f"links={0 if not b.link_chars else 1 + min(3, 4 * b.link_chars // (len(text) + 1))}")
         f.append(f"end={'stop' if text[-1] in '.!?…。' else 'other'}")
         f.append(f"commas={min(3, text.count(','))}")
         if text[0] == "©" or "©" in text or "copyright" in text.lower():
             f.append("copyright")
-        if not any(t in ("article", "main") for t in b.path):
+        if b.tag not in ("article", "main") and not b.inside & {"article", "main"}:
             f.append("outside")
-        f.append(f"place={4 * k // n}")
-        f += ["first"] * (k == 0) + ["last"] * (k == n - 1)
+        # places mean something in pages of several blocks only
+        f += [f"place={4 * k // n}"] * (n > 3) + ["first"] * (k == 0 < n - 3) + ["last"] * (k == n - 1 > 2)
         out.append(f)
     return out
 
@@ -138,6 +180,7 @@ class ChainModel:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
+        self.names = frozenset(x[5:] for x in index if x.startswith("name="))
 
     def scores(self, features: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(features), 2))
@@ -234,9 +277,31 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
     def named(tag: str, names: tuple[str, ...], inner: str, bare: float = 0.2) -> str:
         return f"<{tag}>{inner}</{tag}>" if r.random() < bare else f'<{tag} {r.choice(("class", "class", "id"))}="{r.choice(names)}">{inner}</{tag}>'
 
+    def short() -> tuple[str, list[str]]:
+        """A page of one or two paragraphs and little else, also without a head or a body."""
+        paragraphs = [prose(1, 4) for _ in range(r.choice((1, 1, 1, 2)))]
+        inner = "".join(f"<p>{entities.escape(x)}</p>" for x in paragraphs)
+        shape = r.random()
+        if shape < 0.4:
+            inner = f"<article>{inner}</article>"
+        elif shape < 0.6:
+            inner = f"<main>{inner}</main>"
+        elif shape < 0.75:
+            inner = named("div", ("content", "post", "entry", "text"), inner, 0.3)
+        around = r.random()
+        if around < 0.3:
+            inner = f"<nav><ul>{links(3)}</ul></nav>{inner}"
+        if 0.2 < around < 0.5:
+            inner += f"<footer>&copy; {word()}</footer>"
+        return (inner if r.random() < 0.4 else f"<html><body>{inner}</body></html>"), paragraphs
+
     pages = []
     for _ in range(count):
-        main: list[str] = []
+        if r.random() < 0.12:
+            page, main = short()
+            pages.append((page, [" ".join(t.split()) for t in main]))
+            continue
+        main = []
 
         def body(tag: str, text: str, keep: list[str] = main) -> str:
             keep.append(text)
@@ -250,7 +315,15 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
                 parts.append(body("h2", phrase(2, 6, False)))
             elif kind < 0.14:
                 parts.append("<ul>" + "".join(body("li", phrase(3, 12, True)) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif kind < 0.19:
+            elif kind < 0.16:
+                parts.append("<pre>" + body("code", phrase(3, 20, False)) + "</pre>")
+            elif kind < 0.18:
+                parts.append("<table>" + "".join("<tr>" + body("td", phrase(1, 4, False)) + body("td", phrase(1, 6, False)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>")
+            elif kind < 0.2:
+                parts.append("<figure><img src=x.png>" + body("figcaption", phrase(3, 14, True)) + "</figure>")
+            elif kind < 0.22:
+                parts.append("<dl>" + "".join(body("dt", phrase(1, 3, False)) + body("dd", phrase(3, 12, True)) for _ in range(r.randint(1, 3))) + "</dl>")
+            elif kind < 0.27:
                 parts.append("<blockquote>" + body("p", prose(1, 3)) + "</blockquote>")
             else:
                 parts.append(body("p", prose(1, 7) if r.random() < 0.9 else phrase(1, 4, True)))
@@ -278,6 +351,8 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
                 place.append(named("div", ("ad", "ads", "advert", "sponsor", "banner", "promo"), entities.escape(prose(1, 2)), 0.0))
             if r.random() < 0.2:
                 place.append(named(r.choice(("div", "section")), ("cookie", "notice", "consent", "alert", "popup", "modal", "gdpr"), f"<p>{prose(1, 2)}</p><button>{word()}</button>", 0.0))
+            if r.random() < 0.1:
+                place.append(f"<noscript>{prose(1, 1)}</noscript>")
             if r.random() < 0.15:
                 place.append(f'<form action="/{word()}">' + f"<p>{phrase(2, 8, True)}</p><label>{word()}</label><input name=q><button>{word()}</button></form>")
             if r.random() < 0.25:
@@ -296,7 +371,7 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
 
 
 @lru_cache(maxsize=4)
-def trained(training_pages: int = 400, seed: int = 3) -> ChainModel:
+def trained(training_pages: int = 500, seed: int = 3) -> ChainModel:
     examples = []
     for page, main in labelled_pages(training_pages, seed):
         blocks, wanted = leaf_blocks(page), set(main)
@@ -305,7 +380,7 @@ def trained(training_pages: int = 400, seed: int = 3) -> ChainModel:
 
 
 def main_text(page: str, model: ChainModel) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, model.names)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(block_features(blocks))) if y)
 
 

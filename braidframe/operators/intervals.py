@@ -126,9 +126,9 @@ def contained(ranges: DataFrame, g: Graph) -> DataFrame:
     base = F.regexp_extract("path_name", r"^(.*):(\d+)-(\d+)$", 1)
     lo = F.regexp_extract("path_name", r"^(.*):(\d+)-(\d+)$", 2)
     hi = F.regexp_extract("path_name", r"^(.*):(\d+)-(\d+)$", 3)
-    p = g.paths.select("path_name", base.alias("base"), F.when(lo != "", lo.cast("long")).alias("lo"), F.when(hi != "", hi.cast("long")).alias("hi")).filter("lo IS NOT NULL")
-    j = ranges.join(p, "base").filter("start >= lo AND end <= hi")
-    return j.select("path_name", (F.col("start") - F.col("lo")).alias("start"), (F.col("end") - F.col("lo")).alias("end"), "name")
+    p = g.paths.select("path_name", base.alias("path_id"), F.when(lo != "", lo.cast("long")).alias("step_start"), F.when(hi != "", hi.cast("long")).alias("step_end")).filter("step_start IS NOT NULL")
+    j = range_join(ranges.withColumnRenamed("base", "path_id"), p).filter("start >= step_start AND end <= step_end")
+    return j.select("path_name", (F.col("start") - F.col("step_start")).alias("start"), (F.col("end") - F.col("step_start")).alias("end"), "name")
 
 
 def complement(ranges: DataFrame, g: Graph) -> DataFrame:

@@ -85,14 +85,76 @@ def normalise(g: Graph, most_rounds: int = 10) -> Graph:
     return now
 
 
-def extract(g: Graph, ranges: DataFrame, context: int = 0, laced: bool = False) -> Graph:
-    """The subgraph under path ranges and ``context`` edges around; paths become sub-paths ``name:start-end``."""
+def extract(g: Graph, ranges: DataFrame, context: int = 0, laced: bool = False, inverse: bool = False) -> Graph:
+    """The subgraph under path ranges and ``context`` edges around (or, with ``inverse``, all but that); paths become sub-paths ``name:start-end``."""
     hit = range_join(ranges.select("path_id", "start", "end"), g.positions().select("path_id", "node_id", "step_start", "step_end"))
     seeds = hit.select("node_id").distinct()
-    sub = induced(g, reach(g, seeds, context) if context else seeds)
+    keep = reach(g, seeds, context).select("node_id") if context else seeds
+    sub = induced(g, g.nodes.select("node_id").join(keep, "node_id", "left_anti") if inverse else keep)
     return lace(sub) if laced else sub
 
 
+def split_extract(g: Graph, ranges: DataFrame, full_range: bool = False) -> DataFrame:
+    """name, node_id: the nodes of each range on its own; with ``full_range`` all between the smallest and the largest id under it."""
+    hit = range_join(ranges.select("path_id", "start", "end", "name"), g.positions().select("path_id", "node_id", "step_start", "step_end")).select("name", "node_id").distinct()
+    if not full_range:
+        return hit
+    # ids as intervals of one line, so that the bucketed join finds them
+    span = hit.groupBy("name").agg(F.min("node_id").alias("start"), (F.max("node_id") + 1).alias("end")).withColumn("path_id", F.lit(0))
+    at = g.nodes.select(F.lit(0).alias("path_id"), "node_id", F.col("node_id").alias("step_start"), (F.col("node_id") + 1).alias("step_end"))
+    return range_join(span, at).select("name", "node_id")
+
+
+def apply_order(g: Graph, ranks: DataFrame) -> Graph:
+    """The graph with ``new_rank`` of ``ranks`` (node_id, new_rank) as the ids and ranks of its nodes."""
+    to = checkpointed(ranks.select(F.col("node_id").alias("old"), F.col("new_rank").alias("new")))
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        return df.join(to, df[column] == to["old"]).withColumn(column, F.col("new")).drop("old", "new")
+
+    e = renamed(renamed(g.edges, "from_id"), "to_id").select(canonical(*[F.col(c) for c in EDGE]).alias("e")).select("e.*")
+    return Graph(renamed(g.nodes, "node_id").withColumn("node_rank", F.col("node_id")).select(g.nodes.columns), e, g.paths, renamed(g.steps, "node_id").select(g.steps.columns))
+
+
+def flipped(g: Graph, flips: DataFrame) -> Graph:
+    """The graph with the nodes of ``flips`` (node_id, flip) turned where flip is true; path sequences stay."""
+    f = checkpointed(flips.filter("flip").select(F.col("node_id").alias("turned")).withColumn("t", F.lit(True)))
+
+    def turn(df: DataFrame, column: str, rev: str) -> DataFrame:
+        return df.join(f, df[column] == f["turned"], "left").withColumn(rev, F.col(rev) != F.coalesce("t", F.lit(False))).drop("turned", "t")
+
+    n = g.nodes.join(f, g.nodes["node_id"] == f["turned"], "left").withColumn("seq", F.when(F.col("t"), reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    e = turn(turn(g.edges, "from_id", "from_rev"), "to_id", "to_rev").select(canonical(*[F.col(c) for c in EDGE]).alias("e")).select("e.*")
+    return Graph(n.select(g.nodes.columns), e, g.paths, turn(g.steps, "node_id", "is_rev").select(g.steps.columns))
+
+
+def sort_pipeline(g: Graph, orders: str) -> tuple[DataFrame, Graph]:
+    """(old_id, node_id) and the graph after one order upon the other, each by a letter.
+
+    s: topological, c: topological without edges that go back within a strong component, b: breadth first, r: random, f: reversed,
+    Y: path-guided, g: groom (turns nodes and keeps their order).
+    """
+    from .sampling import path_sgd, random_order
+    from .traverse import break_cycles, groom, topological_order
+
+    def backwards(x: Graph) -> DataFrame:
+        return x.nodes.select("node_id", F.row_number().over(Window.orderBy(F.desc("node_rank"))).cast("long").alias("new_rank"))
+
+    makers = {"s": topological_order, "c": lambda x: topological_order(break_cycles(x)), "b": breadth_first_order, "r": random_order, "f": backwards, "Y": path_sgd}
+    ids = g.nodes.select(F.col("node_id").alias("old_id"), "node_id")
+    for letter in orders:
+        if letter == "g":
+            g = flipped(g, groom(g))
+            continue
+        if letter not in makers:
+            raise ValueError(f"no order is called {letter!r}")
+        ranks = checkpointed(makers[letter](g).select("node_id", "new_rank"))
+        ids = checkpointed(ids.join(ranks, "node_id").select("old_id", F.col("new_rank").alias("node_id")))
+        h = apply_order(g, ranks)
+        g = Graph(*[checkpointed(t) for t in (h.nodes, h.edges, h.paths, h.steps)])
+    return ids, g
+
+
 def breadth_first_order(g: Graph) -> DataFrame:
     """node_id, hops, new_rank: by edges from the nearest head (a node that no forward edge enters), then id; the rest last."""
     heads = peel_heads(g)

@@ -5,28 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph
-from ..plans.loops import checkpointed, settled_count
+from ..model import Graph, canonical
+from ..plans.loops import checkpointed, settled_count, signature, stars
 
 
 def components(g: Graph) -> DataFrame:
-    """node_id, component: weakly connected components by the smallest node id, isolated nodes by their own.
-
-    Labels fall to the smallest among neighbours and then to their label's label, so long chains settle in logarithmic rounds.
-    """
-    pairs = g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a != b")
-    pairs = checkpointed(pairs.union(pairs.select("b", "a")).distinct())
-    labels = checkpointed(g.nodes.select("node_id", F.col("node_id").alias("component")))
-    state = None
-    while True:
-        near = pairs.join(labels.select(F.col("node_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node_id", "left").select("node_id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = step.select(F.col("node_id").alias("component"), F.col("component").alias("c2"))
-        labels = checkpointed(step.join(jump, "component").select("node_id", F.col("c2").alias("component")))
-        now = labels.agg(F.sum("component")).first()[0]
-        if now == state:
-            return labels
-        state = now
+    """node_id, component: weakly connected components by the smallest node id, isolated nodes by their own."""
+    roots = stars(g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    return g.nodes.select("node_id").join(roots.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
 
 
 def component_metrics(g: Graph) -> DataFrame:
@@ -112,33 +98,101 @@ def distance_to_ends(g: Graph, heads: bool = True) -> DataFrame:
         best = checkpointed(best.union(front).groupBy("node_id").agg(F.min("dist").alias("dist")))
 
 
-def peel(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Kahn's algorithm by levels over forward edges: (node_id, level) of what peels off, and the node_ids on or behind cycles."""
-    e = checkpointed(g.adjacency().filter("NOT src_rev AND NOT dst_rev").select("src", "dst").distinct())
-    left = checkpointed(g.nodes.select("node_id"))
-    done = None
-    level = 0
+def forward_edges(g: Graph, loops: bool = True) -> DataFrame:
+    """src, dst: distinct edges that can be walked without changing strand."""
+    e = g.adjacency().filter("NOT src_rev AND NOT dst_rev").select("src", "dst").distinct()
+    return e if loops else e.filter("src != dst")
+
+
+def contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, head, pos: forward chains (one way out of a node, one way into the next) by pointer jumping, in log rounds.
+
+    Nodes of rings, which have no head, are chains of their own.
+    """
+    one_out = edges.groupBy("src").agg(F.count("*").alias("n")).filter("n = 1").select("src")
+    one_in = edges.groupBy("dst").agg(F.count("*").alias("n")).filter("n = 1").select("dst")
+    back = edges.join(one_out, "src").join(one_in, "dst").filter("src != dst").select(F.col("dst").alias("node_id"), F.col("src").alias("up"))
+    start = checkpointed(nodes.select("node_id").join(back, "node_id", "left"))
+    now = start.select("node_id", F.coalesce("up", "node_id").alias("up"), F.col("up").isNotNull().cast("long").alias("d"))
+    for _ in range(settled_count(start).bit_length()):
+        far = now.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
+        now = checkpointed(now.join(far, "up").select("node_id", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("up") != F.col("up2")).alias("moved")))
+        if now.filter("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    heads = start.filter("up IS NULL").select(F.col("node_id").alias("up"), F.lit(True).alias("is_head"))
+    c = now.join(heads, "up", "left")
+    return c.select("node_id", F.when(F.col("is_head"), F.col("up")).otherwise(F.col("node_id")).alias("head"), F.when(F.col("is_head"), F.col("d")).otherwise(0).cast("long").alias("pos"))
+
+
+def peel(g: Graph, cap: int = 10**17) -> tuple[DataFrame, DataFrame]:
+    """Kahn's algorithm over forward edges: (node_id, level, walks) of what peels off, and the node_ids on or behind cycles.
+
+    The level is the longest way from a node without predecessors, ``walks`` the number of ways from such, ``cap`` at most. Chains are
+    contracted first, so the rounds are as many as the chains on the longest way.
+    """
+    e = checkpointed(forward_edges(g))
+    c = checkpointed(contracted(g.nodes, e))
+    size = c.groupBy("head").agg((F.max("pos") + 1).alias("w"))
+    at = lambda end: c.select(F.col("node_id").alias(end), F.col("head").alias(f"{end}_head"), F.col("pos").alias(f"{end}_pos"))
+    between = e.join(at("src"), "src").join(at("dst"), "dst").filter("NOT (src_head = dst_head AND dst_pos = src_pos + 1)")
+    ways = checkpointed(between.select(F.col("src_head").alias("head"), F.col("dst_head").alias("to")).join(size, "head"))
+    count = lambda x: F.least(x, F.lit(cap)).cast("decimal(38,0)")
+    left = checkpointed(size.select("head", F.lit(0).cast("long").alias("level"), F.lit(0).cast("decimal(38,0)").alias("walks")))
+    done: DataFrame | None = None
     while True:
-        heads = checkpointed(left.join(e.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti"))
-        if heads.isEmpty():
+        ready = checkpointed(left.join(ways.select(F.col("to").alias("head")).distinct(), "head", "left_anti").select("head", "level", F.greatest("walks", F.lit(1)).cast("decimal(38,0)").alias("walks")))
+        if ready.isEmpty():
             break
-        now = heads.withColumn("level", F.lit(level).cast("long"))
-        done = now if done is None else checkpointed(done.union(now))
-        left = checkpointed(left.join(heads, "node_id", "left_anti"))
-        e = checkpointed(e.join(heads.select(F.col("node_id").alias("src")), "src", "left_anti").select("src", "dst"))
-        level += 1
+        done = ready if done is None else checkpointed(done.union(ready))
+        out = ways.join(ready, "head").groupBy(F.col("to").alias("head")).agg(F.max(F.col("level") + F.col("w")).alias("l"), F.sum("walks").alias("n"))
+        left = left.join(ready, "head", "left_anti").join(out, "head", "left")
+        left = checkpointed(left.select("head", F.greatest("level", F.coalesce("l", "level")).alias("level"), count(F.col("walks") + F.coalesce("n", F.lit(0))).alias("walks")))
+        ways = checkpointed(ways.join(ready.select("head"), "head", "left_anti"))
     if done is None:
-        done = g.nodes.limit(0).select("node_id", F.lit(0).cast("long").alias("level"))
-    return done, left
+        done = left.limit(0)
+    peeled = c.join(done, "head").select("node_id", (F.col("level") + F.col("pos")).alias("level"), "walks")
+    return peeled, c.join(left, "head", "left_semi").select("node_id")
 
 
 def topological_order(g: Graph) -> DataFrame:
     """node_id, level, new_rank: by level and id, nodes on or behind cycles last by id."""
     done, left = peel(g)
-    all_ = done.union(left.select("node_id", F.lit(None).cast("long").alias("level")))
+    all_ = done.select("node_id", "level").union(left.select("node_id", F.lit(None).cast("long").alias("level")))
     return all_.select("node_id", "level", F.row_number().over(Window.orderBy(F.col("level").asc_nulls_last(), "node_id")).cast("long").alias("new_rank"))
 
 
+def break_cycles(g: Graph) -> Graph:
+    """The graph without the forward edges that go to the same or a smaller id within a strongly connected component: it has no cycle."""
+    c = strong_components(g)
+    cs, cd = c.select(F.col("node_id").alias("src"), F.col("component").alias("cs")), c.select(F.col("node_id").alias("dst"), F.col("component").alias("cd"))
+    bad = forward_edges(g).filter("src >= dst").join(cs, "src").join(cd, "dst").filter("cs = cd").select("src", "dst")
+    as_is = bad.select(F.col("src").alias("from_id"), F.lit(False).alias("from_rev"), F.col("dst").alias("to_id"), F.lit(False).alias("to_rev"))
+    turned = bad.select(F.col("dst").alias("from_id"), F.lit(True).alias("from_rev"), F.col("src").alias("to_id"), F.lit(True).alias("to_rev"))
+    return g.with_(edges=g.edges.join(as_is.union(turned), ["from_id", "from_rev", "to_id", "to_rev"], "left_anti"))
+
+
+def is_single_stranded(g: Graph) -> bool:
+    """Whether no edge changes strand and no step is reversed."""
+    return g.edges.filter("from_rev != to_rev").isEmpty() and g.steps.filter("is_rev").isEmpty()
+
+
+def shortest_cycles(g: Graph, limit: int) -> DataFrame:
+    """node_id, bp: for every node the base pairs of the shortest cycle of forward edges through it, if that has ``limit`` at most.
+
+    Walks start at every node that lies on a cycle, stay in its component, and of those that meet the shortest goes on.
+    """
+    e = checkpointed(cycle_edges(g).join(g.lengths().select(F.col("node_id").alias("dst"), F.col("len").alias("dlen")), "dst"))
+    best = front = checkpointed(e.filter(F.col("dlen") <= limit).select(F.col("src").alias("start"), F.col("dst").alias("at"), F.col("dlen").alias("d")))
+    while True:
+        step = front.filter("at != start").join(e, front["at"] == e["src"]).select("start", F.col("dst").alias("at"), (F.col("d") + F.col("dlen")).alias("d")).filter(F.col("d") <= limit)
+        step = step.groupBy("start", "at").agg(F.min("d").alias("d"))
+        front = checkpointed(step.join(best.withColumnRenamed("d", "was"), ["start", "at"], "left").filter("was IS NULL OR d < was").select("start", "at", "d"))
+        if front.isEmpty():
+            return best.filter("start = at").select(F.col("start").alias("node_id"), F.col("d").alias("bp"))
+        best = checkpointed(best.union(front).groupBy("start", "at").agg(F.min("d").alias("d")))
+
+
 def acyclic_components(g: Graph) -> DataFrame:
     """component, nodes, is_acyclic (its forward edges form no cycle and none of its edges changes strand)."""
     _, left = peel(g)
@@ -154,7 +208,7 @@ def strong_components(g: Graph) -> DataFrame:
     Each round gives every open node the smallest id that reaches it and the smallest that it reaches; where both are equal the
     node belongs to that id's component. Edges between settled and open nodes or between different labels are dropped.
     """
-    e = checkpointed(g.adjacency().filter("NOT src_rev AND NOT dst_rev").select("src", "dst").filter("src != dst").distinct())
+    e = checkpointed(forward_edges(g, loops=False))
     open_ = checkpointed(g.nodes.select("node_id"))
     done: DataFrame | None = None
 
@@ -164,7 +218,7 @@ def strong_components(g: Graph) -> DataFrame:
         while True:
             got = edges.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("label").alias("m"))
             labels = checkpointed(labels.join(got, "node_id", "left").select("node_id", F.least("label", F.coalesce("m", "label")).alias("label")))
-            now = labels.agg(F.sum("label")).first()[0]
+            now = signature(labels, "node_id", "label")
             if now == state:
                 return labels
             state = now
@@ -192,17 +246,8 @@ def cycle_edges(g: Graph) -> DataFrame:
 
 
 def count_walks(g: Graph, cap: int = 10**17) -> DataFrame:
-    """node_id, walks: walks from heads to each node of the part without cycles, in level order, capped."""
-    done, _ = peel(g)
-    top = done.agg(F.max("level")).first()[0]
-    e = checkpointed(g.adjacency().filter("NOT src_rev AND NOT dst_rev").select("src", "dst").distinct())
-    done = checkpointed(done)
-    counts = checkpointed(done.filter("level = 0").select("node_id", F.lit(1).cast("decimal(38,0)").alias("walks")))
-    for k in range(1, (top or 0) + 1):
-        now = done.filter(F.col("level") == k).select(F.col("node_id").alias("dst")).join(e, "dst").join(counts.withColumnRenamed("node_id", "src"), "src")
-        now = now.groupBy(F.col("dst").alias("node_id")).agg(F.least(F.sum("walks"), F.lit(cap)).cast("decimal(38,0)").alias("walks"))
-        counts = checkpointed(counts.union(now))
-    return counts.select("node_id", F.col("walks").cast("long").alias("walks"))
+    """node_id, walks: walks from heads to each node of the part without cycles, capped."""
+    return peel(g, cap)[0].select("node_id", F.col("walks").cast("long").alias("walks"))
 
 
 def perfect_links(g: Graph) -> DataFrame:
@@ -266,15 +311,15 @@ def chains(g: Graph, links: DataFrame | None = None) -> DataFrame:
 def unchop(g: Graph) -> Graph:
     """Chains merged into one node each (ranked by their nodes' mean rank); path sequences stay."""
     from ..functions.dna import oriented
-    from ..model import canonical
     from .rewrite import EDGE
 
     c = checkpointed(chains(g))
     n = g.nodes.join(c, "node_id")
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", oriented(F.col("seq"), F.col("is_rev")).alias("s")))), lambda x: x["s"]), "")
-    m = n.groupBy("chain").agg(seq.alias("seq"), F.avg("node_rank").alias("r"))
-    m = m.select("chain", "seq", F.length("seq").cast("long").alias("len"), F.row_number().over(Window.orderBy("r", "chain")).cast("long").alias("id"))
-    m = checkpointed(m)
+    # only narrow keys are ranked, not sequences
+    ids = n.groupBy("chain").agg(F.avg("node_rank").alias("r")).select("chain", F.row_number().over(Window.orderBy("r", "chain")).cast("long").alias("id"))
+    m = n.groupBy("chain").agg(seq.alias("seq")).join(ids, "chain")
+    m = checkpointed(m.select("chain", "seq", F.length("seq").cast("long").alias("len"), "id"))
     last = Window.partitionBy("chain")
     place = checkpointed(c.withColumn("last", F.max("pos").over(last)).join(m.select("chain", "id"), "chain").select("node_id", F.col("is_rev").alias("flip"), "pos", "last", "id"))
     f = place.select(*[F.col(x).alias(f"f_{x}") for x in place.columns])
@@ -292,16 +337,16 @@ def unchop(g: Graph) -> Graph:
 
 
 def unitigs(g: Graph) -> DataFrame:
-    """unitig, seq, n_nodes: chains over links of nodes with one neighbour on the side, and both ways."""
+    """unitig (its smallest node), seq, n_nodes: chains over links of nodes with one neighbour on the side, and both ways."""
     from ..functions.dna import oriented
 
     adj = g.adjacency()
     one = adj.groupBy("src", "src_rev").agg(F.count("*").alias("n")).filter("n = 1").select("src", "src_rev")
     l = adj.join(one, ["src", "src_rev"]).filter("src != dst").join(one.select(F.col("src").alias("dst"), (~F.col("src_rev")).alias("dst_rev")), ["dst", "dst_rev"], "left_semi")
     c = chains(g, l.select(F.col("src").alias("a"), F.col("src_rev").alias("a_rev"), F.col("dst").alias("b"), F.col("dst_rev").alias("b_rev")))
-    n = g.nodes.join(c, "node_id").select("chain", "pos", oriented(F.col("seq"), F.col("is_rev")).alias("s"))
-    parts = n.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("p"))
-    return parts.select(F.col("chain").alias("unitig"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"), F.size("p").cast("long").alias("n_nodes"))
+    n = g.nodes.join(c, "node_id").select("node_id", "chain", "pos", oriented(F.col("seq"), F.col("is_rev")).alias("s"))
+    parts = n.groupBy("chain").agg(F.min("node_id").alias("unitig"), F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("p"))
+    return parts.select("unitig", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"), F.size("p").cast("long").alias("n_nodes"))
 
 
 def groom(g: Graph) -> DataFrame:
@@ -348,6 +393,35 @@ def furcation_edges(g: Graph, most: int) -> DataFrame:
     return g.adjacency().groupBy("src", "src_rev").agg(F.count("*").alias("ways")).filter(F.col("ways") > most)
 
 
+def furcating_walk_edges(g: Graph, k: int, most: int) -> DataFrame:
+    """src, src_rev, dst, dst_rev: edges by which a walk of at most ``k`` base pairs takes more than ``most`` forks.
+
+    Walks start behind every oriented node; those at one place with the same length and forks go on as one.
+    """
+    a = g.adjacency()
+    ways = a.groupBy("src", "src_rev").agg(F.count("*").alias("ways"))
+    a = a.join(ways, ["src", "src_rev"]).join(g.lengths().select(F.col("node_id").alias("dst"), F.col("len").alias("dlen")), "dst")
+    a = checkpointed(a.select("src", "src_rev", "dst", "dst_rev", (F.col("ways") > 1).cast("int").alias("fork"), "dlen"))
+    front = checkpointed(a.select("src", "src_rev").distinct().select("src", "src_rev", F.lit(0).cast("long").alias("bp"), F.lit(0).alias("forks")))
+    seen, cut = front, None
+    while True:
+        step = front.join(a, ["src", "src_rev"]).withColumn("forks", F.col("forks") + F.col("fork"))
+        step = checkpointed(step.select("src", "src_rev", "dst", "dst_rev", "forks", (F.col("bp") + F.col("dlen")).alias("bp")))
+        over = step.filter(F.col("forks") > most).select("src", "src_rev", "dst", "dst_rev").distinct()
+        cut = checkpointed(over if cut is None else cut.union(over).distinct())
+        on = step.filter((F.col("forks") <= most) & (F.col("bp") < k)).select(F.col("dst").alias("src"), F.col("dst_rev").alias("src_rev"), "bp", "forks").distinct()
+        front = checkpointed(on.join(seen, ["src", "src_rev", "bp", "forks"], "left_anti"))
+        if front.isEmpty():
+            return cut
+        seen = checkpointed(seen.union(front))
+
+
+def prune_furcations(g: Graph, k: int, most: int) -> Graph:
+    """The graph without the edges of :func:`furcating_walk_edges`."""
+    c = furcating_walk_edges(g, k, most).select(canonical(F.col("src"), F.col("src_rev"), F.col("dst"), F.col("dst_rev")).alias("e")).select("e.*").distinct()
+    return g.with_(edges=g.edges.join(c, ["from_id", "from_rev", "to_id", "to_rev"], "left_anti"))
+
+
 def between(g: Graph, source: int, target: int, limit: int) -> DataFrame:
     """node_id of nodes on some walk from ``source`` to ``target`` of at most ``limit`` base pairs between them."""
     there = shortest_paths(g, source, False, limit).select("node_id", "is_rev", F.col("dist").alias("d1"))

@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Used only where the master is local and no folder is named, as in tests.
 FALLBACK = "/tmp/braidframe-checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which the driver and all executors see."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return FALLBACK
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """A reliable checkpoint in :func:`shared_folder`."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def settled_count(df: DataFrame) -> int:
     return df.count()
+
+
+def signature(df: DataFrame, *columns: str) -> tuple[int, int]:
+    """Number of rows and the exclusive or of their hashes: equal for equal tables of distinct rows, and never too large for a long."""
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0).cast("long")).alias("x")).first()
+    return r["n"], r["x"]
+
+
+def stars(pairs: DataFrame) -> DataFrame:
+    """node, root: the smallest node of the connected component of every node in ``pairs`` (a, b; narrow, undirected).
+
+    Alternating large and small stars: every node's larger neighbours are tied to its smallest one, then every node and its smaller
+    neighbours to the smallest of them, until the edges are stars. The edges never grow in number, rounds are few whatever the
+    diameter, and smallest neighbours are pre-aggregated before they are joined back, so a hub is no group in one task.
+    """
+    e = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    seen = signature(e, "u", "v")
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = checkpointed(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(low, "u")
+        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        e = checkpointed(small.filter("u != v").select("u", "v").distinct())
+        now = signature(e, "u", "v")
+        if now == seen:
+            break
+        seen = now
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return checkpointed(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))

@@ -2,7 +2,7 @@
 
 SUPPLY = r"""
 nodes AS (SELECT p_partkey + 1 AS node_id, p_name AS seq, length(p_name)::BIGINT AS len, p_partkey + 1 AS node_rank FROM part),
-lines AS (SELECT * FROM lineitem WHERE {lines}),
+lines AS (SELECT * FROM lineitem),
 steps AS (SELECT l_orderkey AS path_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1)::BIGINT AS step_rank,
   l_partkey + 1 AS node_id, l_returnflag = 'R' AS is_rev FROM lines),
 paths AS (SELECT o_orderkey AS path_id, n_name || '#' || c_custkey || '#' || o_orderkey AS path_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
@@ -22,7 +22,21 @@ ranges AS (SELECT r.path_id, start, least("end", path_len) AS "end", name FROM r
 SUPPLY = SUPPLY.replace("NOT (from_id = to_id AND from_rev = to_rev IS FALSE AND from_rev <> to_rev)", "NOT (from_id = to_id AND from_rev <> to_rev)")
 
 
-def supply(query: str, recursive: bool = False, min_quantity: float | None = None) -> str:
-    """``query`` after the graph's common tables; ``query`` may begin with ``, more AS (...)``."""
-    head = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{head} {SUPPLY.format(lines='TRUE' if min_quantity is None else f'l_quantity >= {min_quantity}')} {query.strip()}"
+_BODY = SUPPLY[SUPPLY.index("paths AS") :]
+#: The same tables over what customers have from suppliers.
+ACCOUNT = r"""
+lines AS (SELECT *, o_custkey * 1000000 + l_suppkey + 1 AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+nodes AS (SELECT node_id, seq, length(seq)::BIGINT AS len, node_id AS node_rank FROM (SELECT DISTINCT node_id, translate('1' || l_suppkey, '0123456789', 'ACGTACGTAC') AS seq FROM lines)),
+steps AS (SELECT l_orderkey AS path_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1)::BIGINT AS step_rank,
+  node_id, l_returnflag = 'R' AS is_rev FROM lines),
+""" + _BODY
+
+
+def supply(query: str) -> str:
+    """``query`` after the supply graph's common tables; ``query`` may begin with ``, more AS (...)``."""
+    return f"WITH RECURSIVE {SUPPLY} {query.strip()}"
+
+
+def account(query: str) -> str:
+    """The same over the account graph."""
+    return f"WITH RECURSIVE {ACCOUNT} {query.strip()}"

@@ -12,7 +12,9 @@ from ..sources.tables import event_graph, supply_graph, supply_ranges
 from .prelude import supply
 from .registry import query
 
-REFERENCE = "path_id % 10 = 0"
+#: The paths of one nation stand for a reference.
+REFERENCE = "path_name LIKE 'NATION_1#%'"
+_ON = f"path_id IN (SELECT path_id FROM paths WHERE {REFERENCE})"
 _G = supply_graph
 
 
@@ -35,7 +37,7 @@ def node_depth_table(spark, d):
     return S.depth_table(_G(spark, d))
 
 
-@query(supply("SELECT n.node_id, count(s.path_id)::BIGINT AS depth, count(DISTINCT s.path_id)::BIGINT AS depth_uniq FROM nodes n LEFT JOIN (SELECT * FROM steps WHERE path_id % 10 = 0) s USING (node_id) GROUP BY 1"))
+@query(supply(f"SELECT n.node_id, count(s.path_id)::BIGINT AS depth, count(DISTINCT s.path_id)::BIGINT AS depth_uniq FROM nodes n LEFT JOIN (SELECT * FROM steps WHERE {_ON}) s USING (node_id) GROUP BY 1"))
 def node_depth_subset(spark, d):
     g = _G(spark, d)
     return S.depth_table(g, _reference(g))
@@ -56,17 +58,16 @@ def degree_summary(spark, d):
     return S.degree_summary(_G(spark, d))
 
 
-@query(supply("SELECT node_id, CASE WHEN node_id IN (SELECT node_id FROM steps WHERE path_id % 10 = 0) THEN degree ELSE 0 END AS degree FROM degree"))
+@query(supply(f"SELECT node_id, CASE WHEN node_id IN (SELECT node_id FROM steps WHERE {_ON}) THEN degree ELSE 0 END AS degree FROM degree"))
 def degree_subset_paths(spark, d):
     g = _G(spark, d)
     return S.subset_degree(g, _reference(g))
 
 
-@query(supply("SELECT path_id, sum(depth * len)::BIGINT AS total, sum(len)::BIGINT AS n FROM steps JOIN nodes USING (node_id) JOIN depth USING (node_id) WHERE path_id % 10 = 0 GROUP BY path_id"))
+@query(supply("SELECT path_id, sum(depth * len)::BIGINT AS total, sum(len)::BIGINT AS n FROM steps JOIN nodes USING (node_id) JOIN depth USING (node_id) GROUP BY path_id"))
 def depth_vector_totals(spark, d):
     g = _G(spark, d)
-    g = g.with_(steps=g.steps.filter(REFERENCE))
-    v = S.base_vector(g, S.depth_table(_G(spark, d)), "depth")
+    v = S.base_vector(g, S.depth_table(g), "depth")
     return v.select("path_id", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("v").cast("long").alias("n"))
 
 
@@ -114,10 +115,10 @@ def fraction_levels(spark, d):
     return S.coverage_classes(_G(spark, d), (0.25, 0.75), fraction=True)
 
 
-@query(supply("SELECT n.node_id, len, (length(seq) - length(replace(replace(seq, 'N', ''), 'n', '')))::BIGINT AS uncalled, coalesce(string_agg(DISTINCT path_name, ',' ORDER BY path_name), '') AS paths FROM nodes n LEFT JOIN (steps JOIN paths USING (path_id)) s USING (node_id) WHERE n.node_id NOT IN (SELECT node_id FROM steps WHERE path_id % 40 = 0) GROUP BY ALL"))
+@query(supply(f"SELECT n.node_id, len, (length(seq) - length(replace(replace(seq, 'N', ''), 'n', '')))::BIGINT AS uncalled, coalesce(string_agg(DISTINCT path_name, ',' ORDER BY path_name), '') AS paths FROM nodes n LEFT JOIN (steps JOIN paths USING (path_id)) s USING (node_id) WHERE n.node_id NOT IN (SELECT node_id FROM steps WHERE {_ON}) GROUP BY ALL"))
 def non_reference_nodes(spark, d):
     g = _G(spark, d)
-    return S.non_reference_nodes(g, g.paths.filter("path_id % 40 = 0"))
+    return S.non_reference_nodes(g, _reference(g))
 
 
 @query(supply(", c AS (SELECT CASE WHEN fwd THEN src ELSE dst END AS from_id, CASE WHEN fwd THEN src_rev ELSE NOT dst_rev END AS from_rev, CASE WHEN fwd THEN dst ELSE src END AS to_id, CASE WHEN fwd THEN dst_rev ELSE NOT src_rev END AS to_rev, count(*)::DOUBLE AS weight FROM ctrans GROUP BY ALL) SELECT from_id AS src, to_id AS dst, weight FROM c UNION ALL SELECT to_id, from_id, weight FROM c"))
@@ -256,10 +257,10 @@ def degree_windows_in(spark, d):
     return I.windows(g, S.degree_table(g), "degree", 40, 60)
 
 
-@query(_islands("node_id NOT IN (SELECT node_id FROM steps WHERE path_id % 40 = 0)", "", 0, "SELECT path_id, start, \"end\", n_steps FROM runs WHERE \"end\" - start >= 10"))
+@query(_islands(f"node_id NOT IN (SELECT node_id FROM steps WHERE {_ON})", "", 0, "SELECT path_id, start, \"end\", n_steps FROM runs WHERE \"end\" - start >= 10"))
 def non_reference_ranges(spark, d):
     g = _G(spark, d)
-    return I.non_reference_ranges(g, g.paths.filter("path_id % 40 = 0"), 10)
+    return I.non_reference_ranges(g, _reference(g), 10)
 
 
 @query(supply(""", k AS (SELECT n.node_id, CASE WHEN count(v.sample) < 12 THEN 'c<12' WHEN count(v.sample) < 18 THEN '12<=c<18' ELSE 'c>=18' END AS class FROM nodes n LEFT JOIN visits v USING (node_id) GROUP BY 1),
@@ -278,10 +279,10 @@ def presence_absence(spark, d):
     return I.presence(g, _ranges(spark, d, g))
 
 
-@query(supply(", hit AS (SELECT DISTINCT r.path_id, start, \"end\", node_id, is_rev FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < \"end\" AND step_end >= start WHERE r.path_id % 10 = 0) SELECT DISTINCT h.path_id, start, \"end\", s.path_id AS touched FROM hit h JOIN steps s USING (node_id, is_rev) WHERE s.path_id <> h.path_id"))
+@query(supply(", hit AS (SELECT DISTINCT r.path_id, start, \"end\", node_id, is_rev FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < \"end\" AND step_end >= start) SELECT DISTINCT h.path_id, start, \"end\", s.path_id AS touched FROM hit h JOIN steps s USING (node_id, is_rev) WHERE s.path_id <> h.path_id"))
 def overlap_paths(spark, d):
     g = _G(spark, d)
-    return I.touching_paths(g, _ranges(spark, d, g).filter(REFERENCE))
+    return I.touching_paths(g, _ranges(spark, d, g))
 
 
 _POINTS = ", pts AS (SELECT path_id, (path_id * 7) % path_len AS pos FROM plen)"
@@ -303,10 +304,10 @@ def graph_coordinate(spark, d):
     return I.graph_coordinates(g, _points(g).withColumn("pos", F.col("pos") + 1))
 
 
-@query(supply(", a AS (SELECT path_id, start, \"end\" FROM ranges WHERE path_id % 3 = 0 UNION ALL SELECT path_id, path_len, path_len FROM plen), b AS (SELECT *, coalesce(max(\"end\") OVER (PARTITION BY path_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM a) SELECT path_id, f::BIGINT AS start, start::BIGINT AS \"end\" FROM b WHERE f < start"))
+@query(supply(", a AS (SELECT path_id, start, \"end\" FROM ranges UNION ALL SELECT path_id, path_len, path_len FROM plen), b AS (SELECT *, coalesce(max(\"end\") OVER (PARTITION BY path_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM a) SELECT path_id, f::BIGINT AS start, start::BIGINT AS \"end\" FROM b WHERE f < start"))
 def inverse_ranges(spark, d):
     g = _G(spark, d)
-    return I.complement(_ranges(spark, d, g).filter("path_id % 3 = 0"), g)
+    return I.complement(_ranges(spark, d, g), g)
 
 
 _SIM = ", v AS (SELECT node_id, sample, cnt * len AS bp FROM visits JOIN nodes USING (node_id)), t AS (SELECT sample, sum(bp) AS n FROM v GROUP BY 1), p AS (SELECT a.sample AS group_a, b.sample AS group_b, sum(least(a.bp, b.bp)) AS i FROM v a JOIN v b USING (node_id) GROUP BY ALL), q AS (SELECT group_a, group_b, x.n::BIGINT AS group_a_length, y.n::BIGINT AS group_b_length, i::BIGINT AS intersection, i::DOUBLE / (x.n + y.n - i)::DOUBLE AS jaccard, i::DOUBLE / sqrt((x.n * y.n)::DOUBLE) AS cosine, 2.0::DOUBLE * i::DOUBLE / (x.n + y.n)::DOUBLE AS dice FROM p JOIN t x ON x.sample = group_a JOIN t y ON y.sample = group_b)"
@@ -348,10 +349,10 @@ def self_dotplot(spark, d):
     return I.self_dotplot(_G(spark, d))
 
 
-@query(supply(_PAV + ", a AS (SELECT node_id, string_agg(DISTINCT name, ';' ORDER BY name) AS annotation FROM hit WHERE path_id % 10 = 0 GROUP BY 1) SELECT node_id, annotation, '#' || upper(substr(sha256(annotation), 49, 2) || substr(sha256(annotation), 17, 2) || substr(sha256(annotation), 33, 2)) AS colour FROM a"))
+@query(supply(_PAV + ", a AS (SELECT node_id, string_agg(DISTINCT name, ';' ORDER BY name) AS annotation FROM hit GROUP BY 1) SELECT node_id, annotation, '#' || upper(substr(sha256(annotation), 49, 2) || substr(sha256(annotation), 17, 2) || substr(sha256(annotation), 33, 2)) AS colour FROM a"))
 def annotate_nodes(spark, d):
     g = _G(spark, d)
-    return I.annotations(g, _ranges(spark, d, g).filter(REFERENCE))
+    return I.annotations(g, _ranges(spark, d, g))
 
 
 @query(supply("""SELECT 0 AS section, 0::BIGINT AS key, 'H' || chr(9) || 'VN:Z:1.0' AS line

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import normalise as N
 from ..operators import stats as S
-from ..sources.tables import supply_graph
+from ..sources.tables import account_graph, supply_graph
 from .queries_core import _RC, _ranges
-from .queries_graph import _DNA, _UND, _dna, _sparse, sparse
-from .prelude import supply
+from .prelude import account, supply
+from .queries_graph import _DNA, _SEQUENCES, _UND, _dna
 from .registry import query
 
 
-@query(sparse(_DNA + f"SELECT path_name, string_agg(CASE WHEN is_rev THEN {_RC} ELSE seq END, '' ORDER BY step_rank) AS sequence FROM steps JOIN dna USING (node_id) JOIN paths USING (path_id) GROUP BY path_id, path_name"))
+@query(supply(_DNA + _SEQUENCES.format(rc=_RC, t="dna")))
 def normalise_path_sequences(spark, d):
     """Path sequences after normalisation: what they were before."""
-    return S.fasta(N.normalise(_dna(_sparse(spark, d)), 1))
+    return S.fasta(N.normalise(_dna(supply_graph(spark, d)), 1))
 
 
-@query(sparse(", par AS (SELECT dst AS node_id, string_agg(DISTINCT src || CASE WHEN src_rev THEN '-' ELSE '+' END, ',' ORDER BY src || CASE WHEN src_rev THEN '-' ELSE '+' END) AS parents FROM adj WHERE NOT dst_rev GROUP BY 1), s AS (SELECT n.node_id, seq, min(n.node_id) OVER w AS grp, count(*) OVER w AS size, min(seq) OVER w AS lo, max(seq) OVER w AS hi FROM nodes n JOIN par USING (node_id) WINDOW w AS (PARTITION BY parents, substr(seq, 1, 1))) SELECT node_id, grp, coalesce(list_max(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: substr(lo, 1, i) = substr(hi, 1, i))), 0)::BIGINT AS n FROM s WHERE size > 1"))
+@query(account(", par AS (SELECT dst AS node_id, string_agg(DISTINCT src || CASE WHEN src_rev THEN '-' ELSE '+' END, ',' ORDER BY src || CASE WHEN src_rev THEN '-' ELSE '+' END) AS parents FROM adj WHERE NOT dst_rev GROUP BY 1), s AS (SELECT n.node_id, seq, min(n.node_id) OVER w AS grp, count(*) OVER w AS size, min(seq) OVER w AS lo, max(seq) OVER w AS hi FROM nodes n JOIN par USING (node_id) WINDOW w AS (PARTITION BY parents, substr(seq, 1, 1))) SELECT node_id, grp, coalesce(list_max(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: substr(lo, 1, i) = substr(hi, 1, i))), 0)::BIGINT AS n FROM s WHERE size > 1"))
 def sibling_prefixes(spark, d):
-    return N.sibling_prefixes(_sparse(spark, d))
+    return N.sibling_prefixes(account_graph(spark, d))
 
 
 @query(supply(f", t AS (SELECT path_name, string_agg(CASE WHEN is_rev THEN {_RC} ELSE seq END, '' ORDER BY step_rank) AS sequence FROM steps JOIN nodes USING (node_id) JOIN paths USING (path_id) GROUP BY path_id, path_name) SELECT path_name, sequence FROM t"))
@@ -29,15 +30,51 @@ def split_strands_sequences(spark, d):
     return S.fasta(N.split_strands(supply_graph(spark, d)))
 
 
-@query(sparse(_UND + ", seed AS (SELECT DISTINCT node_id FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < \"end\" AND step_end > start WHERE r.path_id % 50 = 0) SELECT node_id FROM seed UNION SELECT und.b FROM seed JOIN und ON und.a = seed.node_id"))
+_SEED = _UND + ", seed AS (SELECT DISTINCT node_id FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < \"end\" AND step_end > start), near AS (SELECT node_id FROM seed UNION SELECT und.b FROM seed JOIN und ON und.a = seed.node_id)"
+
+
+@query(account(_SEED + "SELECT node_id FROM near"))
 def extract_ranges(spark, d):
-    g = _sparse(spark, d)
-    return N.extract(g, _ranges(spark, d, g).filter("path_id % 50 = 0"), 1).nodes.select("node_id")
+    g = account_graph(spark, d)
+    return N.extract(g, _ranges(spark, d, g), 1).nodes.select("node_id")
+
+
+@query(account(_SEED + "SELECT from_id, from_rev, to_id, to_rev FROM edges WHERE from_id NOT IN (SELECT node_id FROM seed) AND to_id NOT IN (SELECT node_id FROM seed)"))
+def extract_inverse_edges(spark, d):
+    g = account_graph(spark, d)
+    return N.extract(g, _ranges(spark, d, g), inverse=True).edges
+
 
+@query(supply(", hit AS (SELECT name, min(node_id) AS lo, max(node_id) AS hi FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < \"end\" AND step_end > start WHERE r.path_id IN (SELECT path_id FROM paths WHERE path_name LIKE 'NATION_1#%') GROUP BY ALL) SELECT name, count(*) AS nodes, sum(len)::BIGINT AS bp FROM hit JOIN nodes ON node_id BETWEEN lo AND hi GROUP BY name"))
+def extract_full_ranges(spark, d):
+    """For each range on the paths of one nation, all nodes between the smallest and the largest under it."""
+    g = supply_graph(spark, d)
+    on = g.paths.filter("path_name LIKE 'NATION_1#%'").select("path_id")
+    s = N.split_extract(g, _ranges(spark, d, g).join(on, "path_id", "left_semi"), full_range=True)
+    return s.join(g.lengths(), "node_id").groupBy("name").agg(F.count("*").alias("nodes"), F.sum("len").alias("bp"))
 
-@query(sparse(_UND + ", heads AS (SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM adj WHERE NOT src_rev AND NOT dst_rev)), bf(node_id, hops) AS (SELECT node_id, 0::BIGINT FROM heads UNION SELECT und.b, hops + 1 FROM bf JOIN und ON und.a = bf.node_id WHERE hops < 60), h AS (SELECT node_id, min(hops) AS hops FROM bf GROUP BY 1) SELECT n.node_id, hops, row_number() OVER (ORDER BY hops ASC NULLS LAST, n.node_id) AS new_rank FROM nodes n LEFT JOIN h USING (node_id)"))
+
+@query(account(_UND + """, bf(node_id, hops) USING KEY (node_id) AS (SELECT node_id, 0::BIGINT FROM nodes WHERE node_id NOT IN (SELECT dst FROM adj WHERE NOT src_rev AND NOT dst_rev) UNION
+SELECT und.b, min(bf.hops + 1) FROM bf JOIN und ON und.a = bf.node_id WHERE NOT EXISTS (SELECT 1 FROM recurring.bf x WHERE x.node_id = und.b) GROUP BY und.b) SELECT n.node_id, hops, row_number() OVER (ORDER BY hops ASC NULLS LAST, n.node_id) AS new_rank FROM nodes n LEFT JOIN bf USING (node_id)"""))
 def breadth_first_order(spark, d):
-    return N.breadth_first_order(_sparse(spark, d))
+    return N.breadth_first_order(account_graph(spark, d))
+
+
+@query(supply(", r AS (SELECT node_id, row_number() OVER (ORDER BY md5('order|' || node_id) DESC) AS new_id FROM nodes) SELECT r.node_id AS old_id, new_id AS node_id, depth FROM r JOIN depth USING (node_id)"))
+def sort_pipeline(spark, d):
+    """Nodes in random order and then reversed, with their depth in the graph that has the new ids."""
+    g = supply_graph(spark, d)
+    ids, h = N.sort_pipeline(g, "rf")
+    return ids.join(S.depth_table(h), "node_id").select("old_id", "node_id", "depth")
+
+
+@query(account(_UND + """, bf(node_id, hops) USING KEY (node_id) AS (SELECT node_id, 0::BIGINT FROM nodes WHERE node_id NOT IN (SELECT dst FROM adj WHERE NOT src_rev AND NOT dst_rev) UNION
+SELECT und.b, min(bf.hops + 1) FROM bf JOIN und ON und.a = bf.node_id WHERE NOT EXISTS (SELECT 1 FROM recurring.bf x WHERE x.node_id = und.b) GROUP BY und.b), k AS (SELECT n.node_id AS old_id, row_number() OVER (ORDER BY hops ASC NULLS LAST, n.node_id) AS node_id FROM nodes n LEFT JOIN bf USING (node_id)),
+e AS (SELECT x.node_id AS f, from_rev AS fr, y.node_id AS t, to_rev AS tr FROM edges JOIN k x ON x.old_id = from_id JOIN k y ON y.old_id = to_id), c AS (SELECT *, (f, fr, t, tr) <= (t, NOT tr, f, NOT fr) AS keep FROM e)
+SELECT CASE WHEN keep THEN f ELSE t END AS from_id, CASE WHEN keep THEN fr ELSE NOT tr END AS from_rev, CASE WHEN keep THEN t ELSE f END AS to_id, CASE WHEN keep THEN tr ELSE NOT fr END AS to_rev FROM c"""))
+def sort_breadth_first_edges(spark, d):
+    """Edges after the ids have been given out breadth first."""
+    return N.sort_pipeline(account_graph(spark, d), "b")[1].edges
 
 
 @query()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Graph, canonical
+from ..model import Graph, canonical, running_total
 
 
 class GraphError(ValueError):
@@ -17,8 +17,10 @@ def line_types(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.length("value") > 0).groupBy(F.substring("value", 1, 1).alias("line_type")).agg(F.count("*").alias("n"))
 
 
-def _order(df: DataFrame) -> Column:
-    return F.monotonically_increasing_id()
+def numbered(lines: DataFrame, name: str) -> DataFrame:
+    """``lines`` (with ``at``) and their number from 1 in the file's order; only ``at`` is sorted, in parts, not the lines."""
+    place = running_total(lines.select("at", F.lit(1).cast("long").alias("one")), "at", "one", "before").select("at", (F.col("before") + 1).alias(name))
+    return lines.join(place, "at")
 
 
 def read_gfa(spark: SparkSession, path: str, compact: bool = False, checked: bool = True) -> Graph:
@@ -29,7 +31,7 @@ def read_gfa(spark: SparkSession, path: str, compact: bool = False, checked: boo
     if checked and s.filter(~F.col("name").rlike(r"^\d+$")).limit(1).count():
         raise GraphError("node names must be numbers")
     nodes = s.select("at", F.col("name").cast("long").alias("node_id"), "seq", F.length("seq").cast("long").alias("len"))
-    nodes = nodes.select("node_id", "seq", "len", F.row_number().over(Window.orderBy("at")).cast("long").alias("node_rank"))
+    nodes = numbered(nodes, "node_rank").select("node_id", "seq", "len", "node_rank")
     if checked and nodes.groupBy("node_id").count().filter("count > 1").limit(1).count():
         raise GraphError("node ids must be unique")
     link = lines.filter(kind == "L").select(*[F.get("f", F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "ar"), (3, "b"), (4, "br"))])
@@ -40,7 +42,7 @@ def read_gfa(spark: SparkSession, path: str, compact: bool = False, checked: boo
         for end in ("from_id", "to_id"):
             if edges.join(known, edges[end] == known["node_id"], "left_anti").limit(1).count():
                 raise GraphError("an edge ends at an unknown node")
-    p = lines.filter(kind == "P").select(F.row_number().over(Window.orderBy("at")).cast("long").alias("path_id"), F.get("f", F.lit(1)).alias("path_name"), F.get("f", F.lit(2)).alias("segments"), (F.array_contains("f", "TP:Z:circular")).alias("is_circular"))
+    p = numbered(lines.filter(kind == "P").select("at", "f"), "path_id").select("path_id", F.get("f", F.lit(1)).alias("path_name"), F.get("f", F.lit(2)).alias("segments"), (F.array_contains("f", "TP:Z:circular")).alias("is_circular"))
     steps = p.filter(F.length("segments") > 0).select("path_id", F.posexplode(F.split("segments", ",")).alias("k", "seg"))
     steps = steps.filter("seg != '*'").select("path_id", F.col("k").cast("long").alias("step_rank"), F.expr("substring(seg, 1, length(seg) - 1)").cast("long").alias("node_id"), F.col("seg").endswith("-").alias("is_rev"))
     g = Graph(nodes, edges, p.select("path_id", "path_name", "is_circular"), steps)

@@ -13,6 +13,13 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).filter("name != ''").distinct()
 
 
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """name, grp: a path name and its group a line, tab separated; a line without a group stands for a group of its own."""
+    f = F.split("value", "\t")
+    d = spark.read.text(path).filter(F.trim("value") != "")
+    return d.select(F.get(f, F.lit(0)).alias("name"), F.coalesce(F.get(f, F.lit(1)), F.get(f, F.lit(0))).alias("grp")).distinct()
+
+
 def region(text: str) -> tuple[str, int | None, int | None]:
     """``path[:start[-end]]``, split at the last colon."""
     import re

@@ -30,6 +30,13 @@ def paf_lines(matches: DataFrame, lengths: DataFrame) -> DataFrame:
     return m.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in cols], F.round(identity * span).cast("long").cast("string"), span.cast("string"), F.lit("255"), F.format_string("id:f:%.6f", identity), F.format_string("jc:f:%.6f", F.col("score"))).alias("line"))
 
 
+def gggenes_lines(matches: DataFrame) -> DataFrame:
+    """line: molecule, gene, start, end, strand of segment matches, for arrow plots of genes; a header comes first."""
+    c = [F.col("query").cast("string"), F.col("ref").cast("string"), F.col("query_start").cast("string"), F.col("query_end").cast("string"), F.when(F.col("inv") == "+", "1").otherwise("0")]
+    head = matches.sparkSession.range(1).select(F.lit("molecule\tgene\tstart\tend\tstrand").alias("line"))
+    return head.union(matches.select(F.concat_ws("\t", *c).alias("line")))
+
+
 def fasta_lines(sequences: DataFrame, width: int = 80) -> DataFrame:
     """path_name, k, line: a header and the sequence cut into lines."""
     n = F.ceil(F.length("sequence") / width)

@@ -38,14 +38,24 @@ def supply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("o_orderkey").alias("path_id"), name.alias("path_name"), F.lit(False).alias("is_circular"))
 
 
-def supply_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = None) -> Graph:
-    """Parts are nodes, orders paths, line items steps. With ``min_quantity``, the sparse graph of large lines alone."""
-    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_KEY, "l_returnflag", "l_quantity")
-    if min_quantity is not None:
-        lines = lines.filter(F.col("l_quantity") >= min_quantity)
-    steps = _steps(lines)
-    edges = edges_of_steps(steps).drop("support")
-    return Graph(supply_nodes(spark, sf_dir), edges, supply_paths(spark, sf_dir), steps)
+def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts are nodes, orders paths, line items steps."""
+    steps = _steps(_read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_KEY, "l_returnflag"))
+    return Graph(supply_nodes(spark, sf_dir), edges_of_steps(steps).drop("support"), supply_paths(spark, sf_dir), steps)
+
+
+def account_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """What a customer has from a supplier is a node, an order a path over its lines' suppliers: one or more components a customer,
+    with chains, bubbles and cycles. The sequence spells the supplier's number in bases; all line items count."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_KEY, "l_returnflag")
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    node = F.col("o_custkey") * 1_000_000 + F.col("l_suppkey") + 1
+    seq = F.translate(F.concat(F.lit("1"), F.col("l_suppkey").cast("string")), "0123456789", "ACGTACGTAC")
+    w = Window.partitionBy("path_id").orderBy(*LINE_KEY)
+    s = lines.join(o, "l_orderkey").withColumnRenamed("l_orderkey", "path_id")
+    steps = s.select("path_id", (F.row_number().over(w) - 1).cast("long").alias("step_rank"), node.alias("node_id"), (F.col("l_returnflag") == "R").alias("is_rev"))
+    nodes = s.select(node.alias("node_id"), seq.alias("seq")).distinct().select("node_id", "seq", F.length("seq").cast("long").alias("len"), F.col("node_id").alias("node_rank"))
+    return Graph(nodes, edges_of_steps(steps).drop("support"), supply_paths(spark, sf_dir), steps)
 
 
 def supply_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

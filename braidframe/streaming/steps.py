@@ -7,6 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loops import shared_folder
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -21,7 +23,7 @@ def stream_depth(events: DataFrame) -> DataFrame:
 
 
 def windowed_depth(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """window start, event_type, depth over tumbling windows; rows later than ``late`` are left out."""
+    """window start, event_type, depth over tumbling windows; in append mode rows later than ``late`` are left out."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("depth"))
     return w.select(F.col("window.start").alias("start"), "event_type", "depth")
 
@@ -32,11 +34,23 @@ def session_runs(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour
     return w.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream gives once all that is there has been read."""
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has written to files once all that is there has been read.
+
+    In append mode a window is written once, when the watermark has passed its end, so state stays bounded and late rows are left
+    out; windows that are still open are not there. In complete mode each batch replaces the table of the one before.
+    """
     spark = stream.sparkSession
-    name = f"drained_{uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/braidframe-checkpoints"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base.rstrip('/')}/stream-{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    last: list[str] = []
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        last[:] = [f"{folder}/rows-{number}"]
+
+    out.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*last)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,19 +65,32 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def shared_dir(spark: SparkSession, fallback: str = "/tmp/braidframe-checkpoints") -> None:
-    """Point checkpoint() at the folder that the cluster names; ``fallback`` only where it names none, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+def shared_folder(spark: SparkSession, fallback: str = "/tmp/braidframe-checkpoints") -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; ``fallback`` only on a local master that names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return fallback
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that outlive an executor."""
-    shared_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def settled(df: DataFrame, rows_a_part: int = 200_000) -> DataFrame:
     """:func:`checkpointed`, read back in as few partitions as its rows need, so that small tables do not make many small files."""
     out = checkpointed(df)

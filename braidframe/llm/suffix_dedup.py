@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, whole_text
+from .common import shuffle_width, whole_text, written
 
 WIDTH, GRAM, SIDE = 50, 16, 17
 MOST_BROADCAST_IDS = 1_000_000
@@ -38,15 +37,6 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/braidframe-checkpoints"
-    path = f"{base.rstrip('/')}/table-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> _S32)) * _M2

@@ -694,6 +694,51 @@ def test_jaccard_large_families(spark):
     assert got == classes(rows)
 
 
+def joined(spark, rows, **how):
+    return {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame(spark, rows).repartition(4), **how).collect()}
+
+
+def test_jaccard_groups_of_many_members(spark, monkeypatch):
+    """Copies with one word changed, many of which have one prefix and size; with two members a group at most for all pairs."""
+    import random
+
+    from .data import prose
+
+    r = random.Random(14)
+    base, rows = prose(r, 120).split(), []
+    for i in range(160):
+        w = list(base)
+        w[r.randrange(len(w))] = f"e{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(w), "", "", 0))
+    rows += [(200 + i, prose(r, 60), "", "", 0) for i in range(20)]
+    prefixes = Counter(tuple(s[: jaccard_join.prefix_length(len(s))]) for s in (jaccard_join.Shingler()(t.encode()) for _, t, *_ in rows))
+    assert max(prefixes.values()) > 2
+    assert joined(spark, rows, bucket=4, block=20, members=2) == classes(rows)
+    # hashes that tell fewer groups apart only make more members of one
+    monkeypatch.setattr(jaccard_join, "group_key", lambda prefix, n: n % 3 + 1)
+    assert joined(spark, rows, bucket=4, block=20, members=2) == classes(rows)
+
+
+def test_jaccard_rows_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(100)]
+    edit = lambda k: " ".join("x" + w if 10 * k <= i < 10 * k + 2 * bool(k) else w for i, w in enumerate(words))
+    a, n, b = " ".join(words[:92] + [f"a{i}" for i in range(8)]), " ".join(words), " ".join([f"b{i}" for i in range(8)] + words[8:])
+    link = lambda x, y: 100 * len(shingles(x) & shingles(y)) >= 80 * len(shingles(x) | shingles(y))
+    assert link(a, n) and link(n, b) and not link(a, b) and edit(0) == n
+    rows = [(4, a, "", "", 0), (None, n, "", "", 0), (9, b, "", "", 0), (None, "alone one two three four five", "", "", 0), (None, "alone one two three four five", "", "", 0), (None, None, "", "", 0)]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (0, 4), (4, 4), (9, 4)]
+    kept = jaccard_join.deduplicated(clashing(frame(spark, rows))).collect()
+    assert sorted(((r.doc_id or 0), (r.text or "")[:5]) for r in kept) == [(0, ""), (0, "alone"), (4, a[:5])]
+
+
+def test_jaccard_keeps_one_row_of_repeated_ones(spark):
+    text = " ".join(f"v{i}" for i in range(30))
+    rows = [(3, text, "", "", 0), (3, text, "", "", 0), (3, "another text that shares the id only here", "", "", 0), (5, text + " more", "", "", 0), (6, "", "", "", 0), (6, "", "", "", 0)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard_join.deduplicated(frame(spark, rows)).collect())
+    assert kept == [(3, "another text that shares the id only here"), (3, text), (6, ""), (6, "")]
+
+
 def test_jaccard_cases(spark, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
     d = frame(spark, [(1, None, "", "", 0), (2, "", "", "", 0), (3, "A b", "", "", 0), (4, "a  B", "", "", 0), (4, "a  B", "", "", 0)])

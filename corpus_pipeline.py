@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidframe.llm import jaccard_join, mixing, packing, pii, quality
+from braidframe.llm.common import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -47,8 +48,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet in the shared folder and read again by the next."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/braidframe-checkpoints"
-    folder = f"{base.rstrip('/')}/pipeline-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -114,11 +114,15 @@ def contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     back = edges.join(one_out, "src").join(one_in, "dst").filter("src != dst").select(F.col("dst").alias("node_id"), F.col("src").alias("up"))
     start = checkpointed(nodes.select("node_id").join(back, "node_id", "left"))
     now = start.select("node_id", F.coalesce("up", "node_id").alias("up"), F.col("up").isNotNull().cast("long").alias("d"))
-    for _ in range(settled_count(start).bit_length()):
+    before = None
+    while True:
         far = now.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
         now = checkpointed(now.join(far, "up").select("node_id", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("up") != F.col("up2")).alias("moved")))
-        if now.filter("moved").isEmpty():
+        moved = settled_count(now.filter("moved"))
+        # fewer move each round until only rings, which always do, are left
+        if moved in (0, before):
             break
+        before = moved
         now = now.drop("moved")
     heads = start.filter("up IS NULL").select(F.col("node_id").alias("up"), F.lit(True).alias("is_head"))
     c = now.join(heads, "up", "left")
@@ -223,7 +227,26 @@ def strong_components(g: Graph) -> DataFrame:
                 return labels
             state = now
 
+    def trimmed() -> None:
+        """Nodes that no open edge enters or none leaves are components of their own; they and their edges go, in rounds while many do."""
+        nonlocal done, open_, e
+        while True:
+            both = e.select(F.col("src").alias("node_id")).distinct().join(e.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_semi")
+            kept = checkpointed(open_.join(both, "node_id", "left_semi"))
+            n, m = settled_count(open_), settled_count(kept)
+            if n == m:
+                return
+            gone = open_.join(kept, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
+            done = checkpointed(gone if done is None else done.union(gone))
+            open_ = kept
+            e = checkpointed(e.join(kept.select(F.col("node_id").alias("src")), "src", "left_semi").join(kept.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            if 20 * (n - m) < n:
+                return
+
     while not open_.isEmpty():
+        trimmed()
+        if open_.isEmpty():
+            break
         f = spread(e, open_).withColumnRenamed("label", "f")
         b = spread(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), open_).withColumnRenamed("label", "b")
         both = checkpointed(f.join(b, "node_id"))

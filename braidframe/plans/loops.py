@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in :func:`shared_folder`."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` as a table in :func:`shared_folder`, read back: its size is known to the next join, and nothing of the plan before it stays.
+
+    (A reliable checkpoint keeps the constraints of its plan, which grow with every round of a loop until planning takes longer than running.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled_count(df: DataFrame) -> int:

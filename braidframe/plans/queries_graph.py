@@ -264,13 +264,6 @@ def unchop_node_lengths(spark, d):
     return T.unchop(_A(spark, d)).nodes.groupBy("len").agg(F.count("*").alias("n"))
 
 
-@query(account(_PERFECT + _runs("perfect") + ", e AS (SELECT from_id, from_rev, to_id, to_rev FROM edges EXCEPT SELECT src, src_rev, dst, dst_rev FROM perfect EXCEPT SELECT dst, NOT dst_rev, src, NOT src_rev FROM perfect) SELECT (SELECT count(*) FROM runs) AS nodes, (SELECT count(*) FROM e) AS edges"))
-def unchop_counts(spark, d):
-    """Nodes and edges after unchopping, where no chain is a ring: a link within a chain is no edge any more."""
-    u = T.unchop(_A(spark, d))
-    return u.nodes.agg(F.count("*").alias("nodes")).crossJoin(u.edges.agg(F.count("*").alias("edges")))
-
-
 @query(account(_ONE + _runs("alone") + "SELECT run AS unitig, n_nodes, bp FROM runs"))
 def unitigs(spark, d):
     return T.unitigs(_A(spark, d)).select("unitig", "n_nodes", F.length("seq").cast("long").alias("bp"))

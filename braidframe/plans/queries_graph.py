@@ -148,8 +148,13 @@ SELECT u.b, min(w.component) FROM wcc w JOIN und u ON u.a = w.node_id JOIN recur
 _FWD = ", fwd AS (SELECT DISTINCT src, dst FROM adj WHERE NOT src_rev AND NOT dst_rev), clo(a, b) AS (SELECT src, dst FROM fwd UNION SELECT clo.a, fwd.dst FROM clo JOIN fwd ON fwd.src = clo.b), cyc AS (SELECT DISTINCT a AS node_id FROM clo WHERE a = b), behind AS (SELECT node_id FROM cyc UNION SELECT b FROM clo JOIN cyc ON cyc.node_id = clo.a)"
 
 
-@query(account(_WCC + "SELECT node_id, component FROM wcc"))
+@query(supply(_WCC + "SELECT node_id, component FROM wcc"))
 def weak_components(spark, d):
+    return T.components(_G(spark, d))
+
+
+@query(account(_WCC + "SELECT node_id, component FROM wcc"))
+def account_components(spark, d):
     return T.components(_A(spark, d))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,13 @@ def presence(g: Graph, ranges: DataFrame, delimiter: str = "#", fields: int = 1)
     return got.join(total, key).select(*key, "grp", (F.col("c") / F.col("t")).alias("pav"))
 
 
+def presence_matrix(pav: DataFrame, groups: Sequence[str], least: float | None = None) -> DataFrame:
+    """:func:`presence` with a column for each of ``groups``: the share, 0 where a group is absent, or whether it is ``least`` at least (1, 0)."""
+    wide = pav.groupBy("path_id", "start", "end", "name").pivot("grp", list(groups)).agg(F.first("pav"))
+    share = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0))
+    return wide.select("path_id", "start", "end", "name", *[(share(c) if least is None else (share(c) >= least).cast("int")).alias(c) for c in groups])
+
+
 def touching_paths(g: Graph, ranges: DataFrame) -> DataFrame:
     """path_id, start, end, touched: other paths that take an oriented node of the range."""
     hit = range_join(ranges, g.positions().select("path_id", "node_id", "is_rev", "step_start", "step_end"), closed_start=True).select("path_id", "start", "end", "node_id", "is_rev").distinct()
@@ -207,6 +216,39 @@ def bin_links(g: Graph, width: int) -> DataFrame:
     return s.filter(F.abs(F.col("enter") - F.col("from_bin")) > 1).groupBy("path_id", "from_bin", F.col("enter").alias("to_bin")).agg(F.count("*").alias("n"))
 
 
+def bin_jumps(g: Graph, width: int, drop_gaps: bool = False) -> DataFrame:
+    """path_id, from_bin, to_bin, n: moves between bins (from 1) more than one apart, from 0 at a path's start and to 0 at its end.
+
+    A node's bases count from its left to its right end on either strand. ``drop_gaps`` leaves out starts, ends, and forward moves
+    with no bin of the same path strictly between: what the path jumps over, it never visits. Bins of a path are numbered in order,
+    so that "none between" is "the next one", without a join over ranges.
+    """
+    s = g.steps.join(g.pan_positions().select("node_id", "len", "pan_start"), "node_id").filter("len > 0")
+    first, last = (F.floor(F.col("pan_start") / width) + 1).alias("enter"), (F.floor((F.col("pan_start") + F.col("len") - 1) / width) + 1).alias("leave")
+    s = s.select("path_id", "step_rank", first, last)
+    o = step_order()
+    moves = s.withColumn("from_bin", F.coalesce(F.lag("leave").over(o), F.lit(0).cast("long"))).withColumn("is_last", F.lead("leave").over(o).isNull())
+    go = F.struct("from_bin", F.col("enter").alias("to_bin"))
+    stop = F.struct(F.col("leave").alias("from_bin"), F.lit(0).cast("long").alias("to_bin"))
+    j = moves.select("path_id", F.explode(F.when(F.col("is_last"), F.array(go, stop)).otherwise(F.array(go))).alias("m")).select("path_id", "m.*")
+    j = j.filter("from_bin = 0 OR to_bin = 0 OR abs(to_bin - from_bin) > 1").groupBy("path_id", "from_bin", "to_bin").agg(F.count("*").alias("n"))
+    if not drop_gaps:
+        return j
+    b = s.select("path_id", F.explode(F.sequence("enter", "leave")).alias("from_bin")).distinct()
+    b = b.withColumn("next_bin", F.lead("from_bin").over(Window.partitionBy("path_id").orderBy("from_bin")))
+    j = j.filter("from_bin != 0 AND to_bin != 0").join(b, ["path_id", "from_bin"])
+    return j.filter("from_bin > to_bin OR next_bin < to_bin").select("path_id", "from_bin", "to_bin", "n")
+
+
+def bin_coverage(g: Graph, width: int) -> DataFrame:
+    """bin (from 1), bp, mean_depth: base pairs of all paths over each bin of the concatenated nodes, all paths in one row."""
+    d = g.steps.groupBy("node_id").agg(F.count("*").alias("n"))
+    s = g.pan_positions().select("node_id", "len", "pan_start").filter("len > 0").join(d, "node_id")
+    s = s.withColumn("b", F.explode(F.sequence(F.floor(F.col("pan_start") / width), F.floor((F.col("pan_start") + F.col("len") - 1) / width))))
+    part = F.least(F.col("pan_start") + F.col("len"), (F.col("b") + 1) * width) - F.greatest(F.col("pan_start"), F.col("b") * width)
+    return s.groupBy((F.col("b") + 1).alias("bin")).agg(F.sum(part * F.col("n")).alias("bp")).select("bin", "bp", (F.col("bp") / width).alias("mean_depth"))
+
+
 def self_dotplot(g: Graph) -> DataFrame:
     """path_id, from_pos, to_pos: pairs of visits of one node by one path."""
     s = g.positions().select("path_id", "node_id", "step_rank", "step_start")

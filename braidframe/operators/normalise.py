@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
-from ..model import Graph, canonical
+from ..model import Graph, before_row, canonical, running_total
 from ..plans.loops import checkpointed
 from .intervals import range_join
 from .rewrite import EDGE, chop_at, induced, lace
-from .traverse import peel, reach, unchop
+from .traverse import components, cycle_edges, forward_edges, peel, reach, unchop
 
 
 def turned(g: Graph) -> Graph:
@@ -50,8 +50,6 @@ def merge_siblings(g: Graph) -> Graph:
     s = checkpointed(sibling_prefixes(g))
     cuts = s.join(g.lengths(), "node_id").filter("n < len").select("node_id", F.array("n").alias("cuts"))
     # ids after the cuts, as chop_at gives them
-    from ..model import running_total
-
     k = g.nodes.join(cuts.select("node_id", F.lit(2).cast("long").alias("k")), "node_id", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
     first = running_total(k, "node_rank", "k", "base").select("node_id", (F.col("base") + 1).alias("piece"))
     c = chop_at(g, cuts)
@@ -168,22 +166,82 @@ def peel_heads(g: Graph) -> DataFrame:
     return g.nodes.select("node_id").join(into, "node_id", "left_anti")
 
 
+def extended(g: Graph, other: Graph) -> Graph:
+    """``g`` with the nodes, edges and paths of ``other`` that it lacks, by id and by path name; where both have a node, its sequence is that of ``g``."""
+    from .edit import add_edges, add_nodes, add_paths
+
+    h = add_edges(add_nodes(g, other.nodes.select("node_id", "seq")), other.edges)
+    named = other.steps.join(other.paths.select("path_id", "path_name"), "path_id")
+    return add_paths(h, other.paths, named.select("path_name", F.col("step_rank").alias("k"), "node_id", "is_rev"))
+
+
+def unrolled(g: Graph, length: int, on_cycles: DataFrame | None = None) -> DataFrame:
+    """old_id, layer, dist: the copies of nodes that :func:`dagify` makes; ``on_cycles`` are the edges on cycles, if they are known.
+
+    An edge back (to the same or a smaller id within a strongly connected component) leads to the next layer. A copy is made where
+    less than ``length`` base pairs lie on some walk to it from any node of the first layer; ``dist`` is the least. Nodes without
+    sequence count as one base pair, so the layers end.
+    """
+    inner = checkpointed((cycle_edges(g) if on_cycles is None else on_cycles).join(g.lengths().select(F.col("node_id").alias("src"), F.greatest("len", F.lit(1)).alias("w")), "src"))
+    best = checkpointed(g.nodes.select(F.col("node_id").alias("old_id"), F.lit(0).cast("long").alias("layer"), F.lit(0).cast("long").alias("dist")))
+    front = best
+    while True:
+        step = front.join(inner, front["old_id"] == inner["src"]).select(F.col("dst").alias("old_id"), (F.col("layer") + (F.col("src") >= F.col("dst")).cast("long")).alias("layer"), (F.col("dist") + F.col("w")).alias("d"))
+        step = step.filter(F.col("d") < length).groupBy("old_id", "layer").agg(F.min("d").alias("d"))
+        front = checkpointed(step.join(best, ["old_id", "layer"], "left").filter("dist IS NULL OR d < dist").select("old_id", "layer", F.col("d").alias("dist")))
+        if front.isEmpty():
+            return best
+        best = checkpointed(best.union(front).groupBy("old_id", "layer").agg(F.min("dist").alias("dist")))
+
+
+def dagify(g: Graph, length: int) -> tuple[Graph, DataFrame]:
+    """A graph without cycles in which every forward walk of up to ``length`` base pairs can still be walked, and (node_id, old_id, layer).
+
+    Components that hold cycles are unrolled in layers. Paths are not carried over; edges that change strand go (see
+    :func:`split_strands`).
+    """
+    inside = checkpointed(cycle_edges(g))
+    c = unrolled(g, length, inside)
+    top = g.nodes.agg(F.coalesce(F.max("node_rank"), F.lit(0))).first()[0] + 1
+    c = c.join(g.nodes.select(F.col("node_id").alias("old_id"), "node_rank"), "old_id").withColumn("at", F.col("layer") * top + F.col("node_rank"))
+    c = running_total(c.withColumn("one", F.lit(1).cast("long")), "at", "one", "before")
+    c = checkpointed(c.select((F.col("before") + 1).alias("node_id"), "old_id", "layer"))
+    a = c.select(F.col("node_id").alias("from_id"), F.col("old_id").alias("src"), F.col("layer").alias("from_layer"))
+    b = c.select(F.col("node_id").alias("to_id"), F.col("old_id").alias("dst"), F.col("layer").alias("to_layer"))
+    e = forward_edges(g).join(inside.withColumn("inside", F.lit(True)), ["src", "dst"], "left").join(a, "src")
+    e = e.withColumn("to_layer", F.when(F.col("inside"), F.col("from_layer") + (F.col("src") >= F.col("dst")).cast("long")).otherwise(0))
+    e = e.join(b, ["dst", "to_layer"]).select("from_id", F.lit(False).alias("from_rev"), "to_id", F.lit(False).alias("to_rev"))
+    e = e.select(canonical(*[F.col(x) for x in EDGE]).alias("e")).select("e.*")
+    n = c.join(g.nodes.select(F.col("node_id").alias("old_id"), "seq", "len"), "old_id").select("node_id", "seq", "len", F.col("node_id").alias("node_rank"))
+    return Graph(n, e, g.paths.limit(0), g.steps.limit(0)), c
+
+
 def is_acyclic(g: Graph) -> bool:
     return peel(g)[1].isEmpty()
 
 
-def plane_layout(g: Graph, rounds: int = 8, terms: int = 2, seed: int = 1) -> DataFrame:
+def stacked(g: Graph, layout: DataFrame, gap: float = 1.0) -> DataFrame:
+    """layout (node_id, x, y) with each component moved to begin at x 0 and ``gap`` above the one before it, the largest (nodes, then id) lowest."""
+    at = layout.join(components(g), "node_id")
+    box = at.groupBy("component").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("y") - F.min("y") + gap).alias("h"), F.count("*").alias("n"))
+    # one narrow row a component
+    box = checkpointed(box.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "component")).cast("long")))
+    below = F.coalesce(F.sum("h").over(before_row(Window.orderBy("place"))), F.lit(0.0))
+    box = box.select("component", "x0", "y0", below.alias("base"))
+    return at.join(box, "component").select("node_id", "component", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0") + F.col("base")).alias("y"))
+
+
+def plane_layout(g: Graph, rounds: int = 8, terms: int = 2, seed: int = 1, theta: float = 0.99, space: int = 1000) -> DataFrame:
     """node_id, x, y: as :func:`braidframe.operators.sampling.path_sgd`, with two coordinates, y from a keyed digest at first."""
-    p = checkpointed(g.positions().select("path_id", "step_rank", "node_id", "step_start"))
+    from .sampling import sgd_steps, step_pairs
+
+    p = sgd_steps(g)
     y0 = F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(1000)) / 100.0
     at = checkpointed(g.pan_positions().select("node_id", F.col("pan_start").cast("double").alias("x"), y0.alias("y")))
     longest = float(p.agg(F.max("step_start")).first()[0] or 1)
     for k in range(rounds):
         eta = longest**2 * (1.0 / longest**2) ** (k / max(1, rounds - 1))
-        pairs = p.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(terms))))
-        pairs = pairs.withColumn("to", F.col("step_rank") + 1 + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "path_id", "step_rank", "t"), F.lit(5)))
-        q = p.select("path_id", F.col("step_rank").alias("to"), F.col("node_id").alias("other"), F.col("step_start").alias("other_start"))
-        d = pairs.join(q, ["path_id", "to"]).filter("node_id != other AND other_start != step_start").withColumn("d", (F.col("other_start") - F.col("step_start")).cast("double"))
+        d = step_pairs(p, k, rounds, terms, seed, theta, space)
         d = d.join(at, "node_id").join(at.select(F.col("node_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")), "other")
         dx, dy = F.col("ox") - F.col("x"), F.col("oy") - F.col("y")
         far = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-9))

@@ -125,6 +125,14 @@ def haplotype_matrix(g: Graph, scaled: bool = False) -> DataFrame:
     return m if not scaled else m.join(g.lengths(), "node_id").select("path_id", "node_id", (F.col("visits") * F.col("len")).alias("visits"))
 
 
+def haplotype_blocks(g: Graph, min_paths: int = 1, min_depth: int = 1) -> DataFrame:
+    """node_id, path_id, visits of at least ``min_depth``, on nodes where at least ``min_paths`` paths have that many, but not all paths."""
+    v = haplotype_matrix(g).filter(F.col("visits") >= min_depth)
+    n = v.groupBy("node_id").agg(F.count("*").alias("k")).filter(F.col("k") >= min_paths)
+    n = n.crossJoin(g.paths.agg(F.count("*").alias("all"))).filter("k != all").select("node_id")
+    return v.join(n, "node_id", "left_semi").select("node_id", "path_id", "visits")
+
+
 def coverage_classes(g: Graph, levels: Sequence[float] = (1, 3), fraction: bool = False) -> DataFrame:
     """node_id, len, class: samples on the node, or their share of all, between the levels."""
     v = visits_by_sample(g)

@@ -181,6 +181,20 @@ def is_single_stranded(g: Graph) -> bool:
     return g.edges.filter("from_rev != to_rev").isEmpty() and g.steps.filter("is_rev").isEmpty()
 
 
+def single_strand_flips(g: Graph) -> DataFrame:
+    """node_id, flip: which nodes to turn so that no edge changes strand, null in components where that cannot be.
+
+    The two directions of a node are two points, and an edge ties points in both its views; a component can be laid on one strand if
+    no node's points are tied to one another, and then its smallest node stays as it is.
+    """
+    key = lambda i, r: F.col(i) * 2 + F.col(r).cast("long")
+    roots = stars(g.adjacency().select(key("src", "src_rev").alias("a"), key("dst", "dst_rev").alias("b")))
+    n = g.nodes.select("node_id", (F.col("node_id") * 2).alias("f"), (F.col("node_id") * 2 + 1).alias("r"))
+    n = n.join(roots.select(F.col("node").alias("f"), F.col("root").alias("forward")), "f", "left").join(roots.select(F.col("node").alias("r"), F.col("root").alias("backward")), "r", "left")
+    x, y = F.coalesce("forward", "f"), F.coalesce("backward", "r")
+    return n.select("node_id", F.when(x != y, x > y).alias("flip"))
+
+
 def shortest_cycles(g: Graph, limit: int) -> DataFrame:
     """node_id, bp: for every node the base pairs of the shortest cycle of forward edges through it, if that has ``limit`` at most.
 
@@ -331,12 +345,12 @@ def chains(g: Graph, links: DataFrame | None = None) -> DataFrame:
     return mine.select("node_id", (F.col("k") % 2 == 1).alias("is_rev"), F.floor(F.col("start") / 2).alias("chain"), "pos")
 
 
-def unchop(g: Graph) -> Graph:
-    """Chains merged into one node each (ranked by their nodes' mean rank); path sequences stay."""
+def unchop(g: Graph, links: DataFrame | None = None) -> Graph:
+    """Chains (of all perfect links, or of ``links``) merged into one node each, ranked by their nodes' mean rank; path sequences stay."""
     from ..functions.dna import oriented
     from .rewrite import EDGE
 
-    c = checkpointed(chains(g))
+    c = checkpointed(chains(g, links))
     n = g.nodes.join(c, "node_id")
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", oriented(F.col("seq"), F.col("is_rev")).alias("s")))), lambda x: x["s"]), "")
     # only narrow keys are ranked, not sequences
@@ -372,11 +386,20 @@ def unitigs(g: Graph) -> DataFrame:
     return parts.select("unitig", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"), F.size("p").cast("long").alias("n_nodes"))
 
 
-def groom(g: Graph) -> DataFrame:
-    """node_id, flip: whether a node is to be turned so that walks from each component's smallest node go forward (nearest first)."""
+def groom(g: Graph, targets: DataFrame | None = None) -> DataFrame:
+    """node_id, flip: whether a node is to be turned so that walks from each component's smallest node go forward (nearest first).
+
+    With ``targets`` (path_id) the walks start at all nodes of those paths, which are turned where more of their steps are reversed
+    than not; components without such a node start at their smallest one.
+    """
     a = checkpointed(g.adjacency().select("src", "src_rev", "dst", "dst_rev").distinct())
-    roots = components(g).filter("node_id = component")
-    seen = front = checkpointed(roots.select("node_id", F.lit(False).alias("flip")))
+    c = components(g)
+    roots = c.filter("node_id = component").select("node_id", F.lit(False).alias("flip"))
+    if targets is not None:
+        s = g.steps.join(targets.select("path_id"), "path_id", "left_semi")
+        on = checkpointed(s.groupBy("node_id").agg((2 * F.count_if("is_rev") > F.count("*")).alias("flip")).join(c, "node_id"))
+        roots = on.select("node_id", "flip").union(roots.join(on.select(F.col("component").alias("node_id")).distinct(), "node_id", "left_anti"))
+    seen = front = checkpointed(roots)
     while True:
         both = front.join(a, (front["node_id"] == a["src"])).select(F.col("dst").alias("node_id"), (F.col("dst_rev") != (F.col("src_rev") != F.col("flip"))).alias("flip"))
         front = checkpointed(both.groupBy("node_id").agg(F.min("flip").alias("flip")).join(seen, "node_id", "left_anti"))

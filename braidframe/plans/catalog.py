@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_core, queries_graph, queries_lift, queries_more
+from . import queries_core, queries_extra, queries_graph, queries_lift, queries_more
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_core", "queries_graph", "queries_lift", "queries_more"]
+__all__ = ["ORACLES", "QUERIES", "queries_core", "queries_extra", "queries_graph", "queries_lift", "queries_more"]
 Query = Callable[[SparkSession, str], DataFrame]

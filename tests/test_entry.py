@@ -36,9 +36,9 @@ def test_queries_read_whole_tables():
     import inspect
     import re
 
-    from braidframe.plans import queries_core, queries_graph, queries_lift, queries_more
+    from braidframe.plans import queries_core, queries_extra, queries_graph, queries_lift, queries_more
 
-    for m in (queries_core, queries_graph, queries_lift, queries_more):
+    for m in (queries_core, queries_extra, queries_graph, queries_lift, queries_more):
         text = inspect.getsource(m)
         assert not re.search(r"path_id % |l_quantity|\.limit\(|\.sample\(", text), m.__name__
 

@@ -1,8 +1,8 @@
-"""Text formats for results: BED, BEDPE, PAF, FASTA, YAML, JSON lines."""
+"""Text formats for results: BED, BEDPE, PAF, gene arrows, FASTA, YAML, JSON lines; a graph file for each component; layouts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
@@ -60,3 +60,30 @@ def json_lines(bins: DataFrame) -> DataFrame:
     """line: per path its bins as one JSON object."""
     b = F.struct("bin", "mean_cov", "mean_inv", "mean_pos")
     return bins.groupBy("path_id").agg(F.array_sort(F.collect_list(b)).alias("bins")).select(F.to_json(F.struct("path_id", "bins")).alias("line"))
+
+
+def write_components(g: Graph, path: str) -> None:
+    """A folder ``component=N`` with a graph file for each weakly connected component; paths without steps go to none."""
+    from ..operators.traverse import components
+    from .gfa import gfa_lines
+
+    c = components(g)
+    of_path = g.steps.join(c, "node_id").groupBy("path_id").agg(F.min("component").alias("component"))
+    lines = gfa_lines(g)
+    at = c.select(F.col("node_id").alias("key"), "component")
+    # nodes are listed by rank, edges by their first node
+    nodes = lines.filter("section = 1").join(g.nodes.select(F.col("node_rank").alias("key"), "node_id"), "key").join(c, "node_id")
+    edges = lines.filter("section = 2").join(at, "key")
+    paths = lines.filter("section = 3").join(of_path.withColumnRenamed("path_id", "key"), "key")
+    parts = [x.select("component", "section", "key", "line") for x in (nodes, edges, paths)]
+    every = parts[0].union(parts[1]).union(parts[2]).orderBy("component", "section", "key", "line")
+    every.select("component", "line").write.mode("overwrite").partitionBy("component").text(path)
+
+
+def write_layout(layout: DataFrame, path: str) -> None:
+    """node_id, x, y as a table."""
+    layout.select("node_id", "x", "y").write.mode("overwrite").parquet(path)
+
+
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("node_id long, x double, y double").parquet(path)

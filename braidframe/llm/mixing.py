@@ -11,7 +11,8 @@ Nothing is gathered by source: the rest's words are summed in 4096 digest bucket
 lies is ordered row by row. The choice is a threshold on the digest, a few values a source, so that documents are never shuffled
 for it.
 
-Defined results: null or empty text has size 0 and is taken 0 times its words; null source is a source of its own; repeated rows
+Defined results: null or empty text has size 0 and is taken 0 times its words; null source is a source of its own; a text of any length is
+counted whole; repeated rows
 and ties of (digest, doc_id, size) are taken alike; when there are no words every target is 0; an empty table gives an empty
 result; further columns pass through :func:`mixed` unchanged.
 """

@@ -13,7 +13,8 @@ A byte goes if it lies in a ``width``-byte string that also starts in a document
    their successors are sorted directly, the rest induced by bucket scans; adjacent common prefixes of ``width`` bytes or more then
    give the strings that fragments share, and the smallest doc_id of each.
 
-Defined results: null text is empty; texts shorter than ``width`` lose nothing; rows that share a doc_id do not remove each other's
+Defined results: null text is empty; texts shorter than ``width`` lose nothing; a text of any length is searched
+whole; rows that share a doc_id do not remove each other's
 bytes; a null doc_id comes after all others; an empty table gives an empty result; further columns are ignored.
 """
 

@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, pseudonyms, source mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, pseudonyms, source mixing, packing.
+
+Every stage takes the columns of documents and further ones, whatever their names, reads texts of any length whole, and gives an empty
+result for an empty table. What nulls, ties and repeated rows give is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -15,28 +19,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or the cascade go."""
+    """Documents that fail the base rule or the cascade go.
+
+    Null and empty texts have no words and go; rows are judged one by one, so repeated rows go or stay together.
+    """
     return quality.kept_documents(docs)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    """Of each class of near duplicates the document with the smallest doc_id stays.
+
+    One of repeated rows stays; texts without words are linked with nothing and all stay; rows without a doc_id come after those with one.
+    """
     return jaccard_join.deduplicated(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows the text."""
+    """Personal data become pseudonyms; n_chars follows the text.
+
+    Null text stays null, empty text empty; equal values get equal pseudonyms in every row, so repeated rows stay alike.
+    """
     out = pii.pseudonymised(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Null and empty texts have no words and are taken no times; a null source is a source of its own; ties and repeated rows are taken alike.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Null and empty texts are their end id alone; repeated rows are packed each; ties of length keep the order of the input.
+    """
     return packing.packed(docs)
 
 

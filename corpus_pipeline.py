@@ -46,7 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it.
 
-    Null and empty texts have no words and are taken no times; a null source is a source of its own; ties and repeated rows are taken alike.
+    Null and empty texts are taken as often as other documents of their place in the order and add no words; a null source is a source of its own; ties and repeated rows are taken alike.
     """
     return mixing.mixed(docs)
 

@@ -17,14 +17,14 @@ from .registry import query
 
 
 @query(supply(""", s AS (SELECT path_id, step_rank AS "at", TRUE AS old, 0 AS k, node_id, is_rev FROM steps WHERE step_rank NOT IN (1, 2) UNION ALL
-SELECT path_id, 1, FALSE, k, CASE k WHEN 0 THEN path_id % 7 + 1 ELSE 3 END, k = 1 FROM plen, (SELECT unnest([0, 1]) AS k) WHERE n_steps >= 2)
+SELECT path_id, 1, FALSE, k, CASE k WHEN 0 THEN n_steps ELSE 3 END, k = 1 FROM plen, (SELECT unnest([0, 1]) AS k) WHERE n_steps >= 2)
 SELECT path_id, (row_number() OVER (PARTITION BY path_id ORDER BY "at", old, k) - 1)::BIGINT AS step_rank, node_id::BIGINT AS node_id, is_rev FROM s"""))
 def rewrite_segments(spark, d):
     """The second and third step of every path of two or more give way to two others."""
     g = supply_graph(spark, d)
     one = F.lit(1).cast("long")
-    seg = g.path_lengths().filter("n_steps >= 2").select("path_id", one.alias("first"), F.least("n_steps", F.lit(3).cast("long")).alias("last"))
-    new = seg.select("path_id", "first", F.posexplode(F.array(F.col("path_id") % 7 + 1, F.lit(3).cast("long"))).alias("k", "node_id")).withColumn("is_rev", F.col("k") == 1)
+    seg = g.path_lengths().filter("n_steps >= 2").select("path_id", "n_steps", one.alias("first"), F.least("n_steps", F.lit(3).cast("long")).alias("last"))
+    new = seg.select("path_id", "first", F.posexplode(F.array("n_steps", F.lit(3).cast("long"))).alias("k", "node_id")).withColumn("is_rev", F.col("k") == 1)
     return E.rewrite_segments(g, seg, new).steps
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, html_crf, jaccard_join, licenses, mixing, packing, pii, quality, suffix_dedup
+from . import chat, filter_audit, fingerprint, html_crf, jaccard_join, licenses, mixing, packing, pii, quality, suffix_dedup
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,7 +67,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_packing,
         op10_license_scan,
+        op12_filter_audit,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_source_mix": mixing.ORACLE, "op6_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE,
+    "op3_source_mix": mixing.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+}

@@ -82,7 +82,8 @@ def own_masks(docs: DataFrame) -> DataFrame:
 def failures(docs: DataFrame) -> DataFrame:
     """doc_id, part, failed (all filters as bits, A lowest) of every document."""
     d = written(own_masks(docs))
-    firsts = d.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written, so that the join's sides are shuffles of their own and Spark can split a hot text's rows
+    firsts = written(d.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = F.col("first_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id")))
     d = d.join(firsts, "text_key", "left")
     return d.select("doc_id", "part", (F.col("failed") + F.when(later, 1 << FILTERS.index("E")).otherwise(0)).alias("failed"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, filter_audit, fingerprint, html_crf, jaccard_join, licenses, mixing, packing, pii, quality, suffix_dedup
+from . import chat, divergence, filter_audit, fingerprint, html_crf, jaccard_join, licenses, mixing, packing, pii, quality, simhash, suffix_dedup
 from .common import table
 
 
@@ -50,10 +50,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_packing,
         op10_license_scan,
+        op11_source_divergence,
         op12_filter_audit,
+        op13_simhash,
     )
 }
 
@@ -75,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": chat.ORACLE,
     "op3_source_mix": mixing.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
 }

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph, before_row, step_order
+from ..model import Graph, before_row, with_next
+from .chunks import joined_runs, renumbered, runs, with_next_value
 from .stats import coverage_classes, visits_by_sample
 
 BUCKET = 1024
@@ -52,27 +53,22 @@ def mean_over_paths(g: Graph, values: DataFrame, value: str) -> DataFrame:
 
 
 def islands(steps: DataFrame, inside: Column, merge: int = 0) -> DataFrame:
-    """Maximal runs of steps where ``inside`` holds: path_id, start, end, n_steps; runs less than ``merge`` base pairs apart join."""
-    order = step_order()
-    s = steps.withColumn("_in", inside).withColumn("_new", (F.col("_in") & ~F.coalesce(F.lag("_in").over(order), F.lit(False))).cast("int"))
-    s = s.withColumn("_run", F.sum("_new").over(order)).filter("_in")
-    runs = s.groupBy("path_id", "_run").agg(F.min("step_start").alias("start"), F.max("step_end").alias("end"), F.count("*").alias("n_steps"))
-    if merge <= 0:
-        return runs.select("path_id", "start", "end", "n_steps")
-    w = Window.partitionBy("path_id").orderBy("start")
-    far = F.col("start") - F.lag("end").over(w) >= merge
-    runs = runs.withColumn("_g", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w))
-    return runs.groupBy("path_id", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_steps").alias("n_steps")).select("path_id", "start", "end", "n_steps")
+    """Maximal runs of steps where ``inside`` holds: path_id, start, end, n_steps; runs less than ``merge`` base pairs apart join.
+
+    steps must be all steps of their paths; chunks of a path meet in one task, not the path.
+    """
+    found = runs(steps, F.coalesce(inside, F.lit(False))).filter("key").drop("key")
+    return joined_runs(found, merge) if merge > 0 else found
 
 
 def windows(g: Graph, values: DataFrame, value: str, lo: float, hi: float, merge: int = 0, out: bool = False, only_tips: bool = False) -> DataFrame:
     """Runs of steps whose node value lies within (or, with ``out``, outside) the bounds, as BED rows."""
-    s = g.positions().join(values.select("node_id", value), "node_id")
+    s = g.positions().join(values.select("node_id", value), "node_id", "left")
     inside = (F.col(value) >= lo) & (F.col(value) <= hi)
-    runs = islands(s, ~inside if out else inside, merge)
+    found = islands(s, ~inside if out else inside, merge)
     if only_tips:
-        runs = runs.join(g.path_lengths().select("path_id", "path_len"), "path_id").filter("start = 0 OR end = path_len").drop("path_len")
-    return runs.select("path_id", "start", "end")
+        found = found.join(g.path_lengths().select("path_id", "path_len"), "path_id").filter("start = 0 OR end = path_len").drop("path_len")
+    return found.select("path_id", "start", "end")
 
 
 def non_reference_ranges(g: Graph, reference: DataFrame, min_size: int = 0) -> DataFrame:
@@ -84,10 +80,8 @@ def non_reference_ranges(g: Graph, reference: DataFrame, min_size: int = 0) -> D
 
 def class_ranges(g: Graph, levels: tuple[float, ...] = (1, 3)) -> DataFrame:
     """Runs of steps of equal coverage class: path_id, start, end, class."""
-    s = g.positions().join(coverage_classes(g, levels).select("node_id", "class"), "node_id")
-    order = step_order()
-    s = s.withColumn("_run", F.sum((~F.coalesce(F.lag("class").over(order) == F.col("class"), F.lit(False))).cast("int")).over(order))
-    return s.groupBy("path_id", "_run", "class").agg(F.min("step_start").alias("start"), F.max("step_end").alias("end")).select("path_id", "start", "end", "class")
+    s = g.positions().join(coverage_classes(g, levels).select("node_id", "class"), "node_id", "left")
+    return runs(s, F.col("class")).select("path_id", "start", "end", F.col("key").alias("class"))
 
 
 def presence(g: Graph, ranges: DataFrame, delimiter: str = "#", fields: int = 1) -> DataFrame:
@@ -205,15 +199,19 @@ def bins(g: Graph, width: int) -> DataFrame:
     return b.select("path_id", F.col("bin").cast("long").alias("bin"), "bp", (F.col("bp") / width).alias("mean_cov"), (F.col("inv") / F.col("bp")).alias("mean_inv"), (F.col("p") / F.col("bp") / F.col("path_len")).alias("mean_pos"), "first_nucl", "last_nucl")
 
 
+def _placed(g: Graph) -> DataFrame:
+    """Steps with len and pan_start, without those on empty nodes; ranks have no gaps."""
+    n = g.pan_positions().select("node_id", "len", "pan_start")
+    s = g.steps.join(n, "node_id")
+    return s if n.filter("len = 0").isEmpty() else renumbered(s.filter("len > 0"))
+
+
 def bin_links(g: Graph, width: int) -> DataFrame:
     """path_id, from_bin, to_bin, n: moves between bins more than one apart."""
-    n = g.pan_positions().select("node_id", "len", "pan_start")
-    s = g.steps.join(n, "node_id").filter("len > 0")
     enter = F.floor(F.when(F.col("is_rev"), F.col("pan_start") + F.col("len") - 1).otherwise(F.col("pan_start")) / width)
     leave = F.floor(F.when(F.col("is_rev"), F.col("pan_start")).otherwise(F.col("pan_start") + F.col("len") - 1) / width)
-    s = s.select("path_id", "step_rank", enter.alias("enter"), leave.alias("leave"))
-    s = s.withColumn("from_bin", F.lag("leave").over(step_order()))
-    return s.filter(F.abs(F.col("enter") - F.col("from_bin")) > 1).groupBy("path_id", "from_bin", F.col("enter").alias("to_bin")).agg(F.count("*").alias("n"))
+    s = with_next(_placed(g).select("path_id", "step_rank", enter.alias("enter"), leave.alias("from_bin")), "enter")
+    return s.filter(F.abs(F.col("next_enter") - F.col("from_bin")) > 1).groupBy("path_id", "from_bin", F.col("next_enter").alias("to_bin")).agg(F.count("*").alias("n"))
 
 
 def bin_jumps(g: Graph, width: int, drop_gaps: bool = False) -> DataFrame:
@@ -223,19 +221,16 @@ def bin_jumps(g: Graph, width: int, drop_gaps: bool = False) -> DataFrame:
     with no bin of the same path strictly between: what the path jumps over, it never visits. Bins of a path are numbered in order,
     so that "none between" is "the next one", without a join over ranges.
     """
-    s = g.steps.join(g.pan_positions().select("node_id", "len", "pan_start"), "node_id").filter("len > 0")
     first, last = (F.floor(F.col("pan_start") / width) + 1).alias("enter"), (F.floor((F.col("pan_start") + F.col("len") - 1) / width) + 1).alias("leave")
-    s = s.select("path_id", "step_rank", first, last)
-    o = step_order()
-    moves = s.withColumn("from_bin", F.coalesce(F.lag("leave").over(o), F.lit(0).cast("long"))).withColumn("is_last", F.lead("leave").over(o).isNull())
-    go = F.struct("from_bin", F.col("enter").alias("to_bin"))
-    stop = F.struct(F.col("leave").alias("from_bin"), F.lit(0).cast("long").alias("to_bin"))
-    j = moves.select("path_id", F.explode(F.when(F.col("is_last"), F.array(go, stop)).otherwise(F.array(go))).alias("m")).select("path_id", "m.*")
-    j = j.filter("from_bin = 0 OR to_bin = 0 OR abs(to_bin - from_bin) > 1").groupBy("path_id", "from_bin", "to_bin").agg(F.count("*").alias("n"))
+    s = _placed(g).select("path_id", "step_rank", first, last)
+    outside = F.lit(0).cast("long")
+    go = F.struct(F.col("leave").alias("from_bin"), F.coalesce("next_enter", outside).alias("to_bin"))
+    begin = F.struct(outside.alias("from_bin"), F.col("enter").alias("to_bin"))
+    moves = with_next(s, "enter").select("path_id", F.explode(F.when(F.col("step_rank") == 0, F.array(begin, go)).otherwise(F.array(go))).alias("m")).select("path_id", "m.*")
+    j = moves.filter("from_bin = 0 OR to_bin = 0 OR abs(to_bin - from_bin) > 1").groupBy("path_id", "from_bin", "to_bin").agg(F.count("*").alias("n"))
     if not drop_gaps:
         return j
-    b = s.select("path_id", F.explode(F.sequence("enter", "leave")).alias("from_bin")).distinct()
-    b = b.withColumn("next_bin", F.lead("from_bin").over(Window.partitionBy("path_id").orderBy("from_bin")))
+    b = with_next_value(s.select("path_id", F.explode(F.sequence("enter", "leave")).alias("from_bin")).distinct(), "from_bin", "next_bin")
     j = j.filter("from_bin != 0 AND to_bin != 0").join(b, ["path_id", "from_bin"])
     return j.filter("from_bin > to_bin OR next_bin < to_bin").select("path_id", "from_bin", "to_bin", "n")
 

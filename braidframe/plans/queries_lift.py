@@ -211,3 +211,11 @@ def stream_windowed_depth(spark, d):
 SELECT user_id, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_session_runs(spark, d):
     return ST.drained(ST.session_runs(ST.event_stream(spark, d)))
+
+
+@query(supply(""", m(pos) AS (SELECT min(pan_start + len) FROM pan WHERE pan_start + len > 300 UNION ALL SELECT min(pan_start + len) FROM m JOIN pan ON pan_start + len > m.pos + 300 GROUP BY m.pos),
+r AS (SELECT node_id, (SELECT count(*) FROM m WHERE m.pos <= pan_start + len) AS region FROM pan), s AS (SELECT node_id, region, lag(region, 1, 0) OVER (PARTITION BY path_id ORDER BY step_rank) AS before FROM steps JOIN r USING (node_id))
+SELECT DISTINCT node_id FROM s WHERE region <> before"""))
+def untangle_region_cuts(spark, d):
+    """Where paths come to another stretch of the sorted nodes, stretches of more than 300 base pairs by an exact scan."""
+    return L.region_cuts(_G(spark, d), 300)

@@ -1,17 +1,13 @@
 """Chat formatting by incremental black-box rendering.
 
-A template is a function from a list of turns to one string, about which nothing is assumed. Successive prefixes of a
-conversation are rendered and consecutive outputs compared: what the longer output adds is the new turn's span, and an output
+A template is a function from a list of turns to one string, about which nothing is assumed. Every successive prefix of a
+conversation is rendered, whatever its length, and consecutive outputs are compared: what the longer output adds is the new turn's span, and an output
 that changes what stood before reveals a template that rewrites history (``rewrites``; its spans are null from there on, as no
-place of the final text can be told from them). The text's place within a span is found in the same manner, by rendering the turn
-once more with an empty text.
+place of the final text can be told from them). So a conversation costs the square of its turns, which is what it takes to see every rewrite
+of a black box. The text's place within a span is found by rendering the turn once more with another text, one that begins and ends with
+other characters: what both outputs begin and end with is the template's.
 
-Conversations are streamed in order through sorted partitions, one at a time held whole. The first ``FULL_TURNS`` turns are rendered
-behind their complete prefixes. Beyond, a turn is first rendered behind a short prefix (the first and the latest turns), and the
-complete prefixes of twice, four times, ... as many turns and of all turns are rendered too and compared with the spans joined. If one
-differs, the template looks at turns that the short prefix lacks or rewrites history, and the conversation is done again with complete
-prefixes behind every turn. So a template of the common kind costs in proportion to the turns and any other by their square, and
-no template passes unseen in what the whole conversation renders to.
+Conversations are streamed in order through sorted partitions, one at a time held whole.
 
 Defined results: null text and role are empty; texts of any length are rendered whole; turns are ordered by turn, role and text, nulls
 first, so ties and repeated rows are turns that follow one another; turns with a null conv_id form one conversation; an empty table gives an empty result; further
@@ -89,54 +85,45 @@ class Incremental:
         if not after.startswith(self.before):
             self.rewrites = True
             return None
-        bare = self.template([*self.turns, {**turn, "text": ""}])
         at = len(self.before)
-        span, empty = after[at:], bare[at:] if bare.startswith(self.before) else ""
-        lead = _common(empty, span)
-        start, end = lead, len(span) - (len(empty) - lead)
-        placed = (span, at, start, max(start, end))
+        span = after[at:]
+        placed = (span, at, *self._text_place(turn, span))
         self.turns.append(turn)
         self.before = after
         return placed
 
+    def _span_of(self, turn: Turn, text: str) -> str | None:
+        out = self.template([*self.turns, {**turn, "text": text}])
+        return out[len(self.before) :] if out.startswith(self.before) else None
+
+    def _text_place(self, turn: Turn, span: str) -> tuple[int, int]:
+        """Where the text begins and ends in its span: behind and before what another text's span has too."""
+        text = turn["text"]
+        other = self._span_of(turn, stand_in(text))
+        # an empty text leaves nothing to differ from, so two others show what is the template's
+        mine = span if text else self._span_of(turn, stand_in(stand_in("")))
+        if mine is None or other is None:
+            return 0, len(span)
+        start = _common(mine, other)
+        end = _common(mine[::-1], other[::-1])
+        return start, max(start, len(span) - end)
+
+
+def stand_in(text: str) -> str:
+    """A text of letters whose first and last characters differ from those of ``text``, also where case or white space changes."""
+    bare = text.strip().casefold()
+    near = lambda x: {x[:1].casefold(), bare[:1], bare[-1:], x[-1:].casefold()}
+    first, last = (next(c for c in pool if c not in near(text)) for pool in ("qxjzk", "vwyug"))
+    return f"{first}{last}"
 
-#: Turns that are always rendered behind their complete prefix, and the first and latest turns of a short prefix.
-FULL_TURNS, FIRST_TURNS, LATEST_TURNS = 16, 2, 6
 
 Placed = tuple[str, int, int, int]
 
 
-def located(turns: list[Turn], template: Template, full_turns: int = FULL_TURNS) -> list[Placed | None]:
+def located(turns: list[Turn], template: Template) -> list[Placed | None]:
     """The place of every turn of one conversation as :meth:`Incremental.add` gives it, None from a rewrite on."""
-
-    def behind_complete_prefixes(some: list[Turn]) -> list[Placed | None]:
-        state = Incremental(template)
-        return [state.add(t) for t in some]
-
-    out = behind_complete_prefixes(turns[:full_turns])
-    if len(turns) <= full_turns:
-        return out
-    if out and out[-1] is None:
-        return out + [None] * (len(turns) - full_turns)
-    # complete prefixes are compared where their number of turns has doubled, and at the end
-    joined = [template([]) if Incremental._takes_none(template) else ""] + [p[0] for p in out]
-    at, check = sum(map(len, joined)), 2 * full_turns
-    for i in range(full_turns, len(turns)):
-        short = turns[:FIRST_TURNS] + turns[i - LATEST_TURNS : i]
-        before, after, bare = template(short), template([*short, turns[i]]), template([*short, {**turns[i], "text": ""}])
-        fits = after.startswith(before)
-        if fits:
-            span, empty = after[len(before) :], bare[len(before) :] if bare.startswith(before) else ""
-            lead = _common(empty, span)
-            out.append((span, at, lead, max(lead, len(span) - (len(empty) - lead))))
-            joined.append(span)
-            at += len(span)
-        if i + 1 in (check, len(turns)):
-            fits = fits and template(turns[: i + 1]) == "".join(joined)
-            check *= 2
-        if not fits:
-            return behind_complete_prefixes(turns)
-    return out
+    state = Incremental(template)
+    return [state.add(t) for t in turns]
 
 
 SPANS = "conv_id long, turn_no long, role string, formatted string, span_start long, text_start long, text_end long, rewrites boolean"

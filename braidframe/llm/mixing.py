@@ -4,16 +4,17 @@ The sources, by code point with the null source last, take the weights in turn a
 target stops at ``epochs`` times its words; the excess goes to the others in proportion to their weights until none is above its
 cap, which is the level ``l`` with sum(min(cap, l * weight)) = total. Each document is then taken a whole number of times, and a
 seeded choice of documents once more for the fraction that is left: within a source the documents are ordered by a keyed digest
-of their id, first those above a hundredth of the source (there are at most a hundred), then the rest, and taken while the middle
+of their id and text, first those above a hundredth of the source (there are at most a hundred), then the rest, and taken while the middle
 of the document lies below the goal. So each source comes to within about half of its last document's words of its target.
 
 Nothing is gathered by source: the rest's words are summed in 4096 digest buckets a source, and only the bucket in which the goal
-lies is ordered row by row. The choice is a threshold on the digest, a few values a source, so that documents are never shuffled
-for it.
+lies is ordered, by distinct keys. The choice is a threshold on the key, a few values a source, so that documents are never shuffled
+for it. Rows that repeat the key at the threshold (one id, source and text) are taken one by one until the goal is reached; they are numbered
+by the tasks that read them, never in one place.
 
 Defined results: null or empty text has size 0 and is taken 0 times its words; null source is a source of its own; a text of any length is
-counted whole; repeated rows
-and ties of (digest, doc_id, size) are taken alike; when there are no words every target is 0; an empty table gives an empty
+counted whole; repeated rows are documents of their own, also without a doc_id: a whole repetition takes all of them, a fraction as many as
+bring the source to its target; when there are no words every target is 0; an empty table gives an empty
 result; further columns pass through :func:`mixed` unchanged.
 """
 
@@ -35,7 +36,7 @@ _NO_ID = -(1 << 63)
 def _sized(docs: DataFrame, seed: int) -> tuple[Column, Column, Column, Column]:
     text = F.coalesce(docs["text"], F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("|"), F.md5(F.encode(text, "UTF-8"))))
     return docs["doc_id"], docs["source"], size, digest
 
 
@@ -74,14 +75,24 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
         r = right.withColumnRenamed("source", "of_source")
         return left.join(F.broadcast(r) if few else r, left["source"].eqNullSafe(r["of_source"])).drop("of_source")
 
+    def taken_upto(keys: DataFrame, goal: Column, base: Column) -> DataFrame:
+        """source, taken (words), cut: the last key of which rows are taken, of how many there are, and how many."""
+        running = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        size = F.col("key.size")
+        before = base + F.coalesce(F.sum(size * F.col("rows")).over(running), F.lit(0))
+        # as many rows as have their middle below the goal
+        some = F.when(size > 0, F.floor((goal - before) / size + 0.5)).otherwise(F.when(before <= goal, F.col("rows")).otherwise(0))
+        keys = keys.withColumn("some", F.least(F.col("rows"), F.greatest(some, F.lit(0))).cast("long"))
+        cut = F.max(F.when(F.col("some") > 0, F.struct("key", "rows", "some")))
+        return keys.groupBy("source").agg(F.sum(size * F.col("some")).alias("taken"), cut.alias("cut"))
+
     d = beside(d, goals.select("source", "source_size", "extra"))
     big = F.col("size") * 100 > F.col("source_size")
-    middle = lambda w: F.sum("size").over(w) - F.col("size") / 2
-
-    bigs = d.filter(big).withColumn("goal", F.col("extra") * F.sum("size").over(Window.partitionBy("source")) / F.col("source_size"))
-    running = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    bigs = bigs.withColumn("taken", middle(running) <= F.col("goal"))
-    big_sums = bigs.groupBy("source").agg(F.sum("size").alias("big_size"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("big_taken"), F.max(F.when(F.col("taken"), F.col("key"))).alias("cut_big"))
+    bigs = d.filter(big).groupBy("source", "source_size", "extra", "key").agg(F.count("*").alias("rows"))
+    bigs = bigs.withColumn("all_big", F.sum(F.col("key.size") * F.col("rows")).over(Window.partitionBy("source")))
+    big_sizes = bigs.groupBy("source").agg(F.first("all_big").alias("big_size"))
+    big_sums = taken_upto(bigs, F.col("extra") * F.col("all_big") / F.col("source_size"), F.lit(0)).select("source", F.col("taken").alias("big_taken"), F.col("cut").alias("cut_big"))
+    big_sums = big_sums.join(big_sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     g = goals.join(big_sums.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     g = g.withColumn("small_goal", F.greatest(F.lit(0.0), F.col("extra") - F.coalesce("big_taken", F.lit(0)))).withColumn("small_size", F.col("source_size") - F.coalesce("big_size", F.lit(0)))
@@ -91,27 +102,42 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     edge = beside(buckets, g.select("source", "small_goal")).filter((F.col("upto") > F.col("small_goal")) & (F.col("upto") - F.col("n") <= F.col("small_goal")))
     edge = edge.groupBy("source", "small_goal").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("e"))
     e = edge.select(F.col("source"), "small_goal", F.col("e.bucket").alias("edge_bucket"), F.col("e.base").alias("base"))
-    last = beside(small.select("source", "key", "size", "bucket"), e).filter(F.col("bucket") == F.col("edge_bucket"))
-    last = last.withColumn("taken", F.col("base") + middle(running) <= F.col("small_goal"))
-    last = last.groupBy("source", "edge_bucket").agg(F.max(F.when(F.col("taken"), F.col("key"))).alias("cut"))
-    last = last.select(F.col("source").alias("of_source"), F.coalesce("cut", F.struct(F.col("edge_bucket").alias("h"), F.lit(_NO_ID).alias("id"), F.lit(-1).cast("long").alias("size"))).alias("cut_small"))
+    last = beside(small.select("source", "key", "bucket"), e).filter(F.col("bucket") == F.col("edge_bucket"))
+    last = last.groupBy("source", "small_goal", "base", "key").agg(F.count("*").alias("rows"))
+    last = taken_upto(last, F.col("small_goal"), F.col("base")).select(F.col("source").alias("of_source"), F.col("cut").alias("cut_in_edge"))
+    g = g.join(e.select(F.col("source").alias("of_source"), "edge_bucket"), F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     g = g.join(last, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    none, least = F.lit(0).cast("long"), (F.lit(_NO_ID).alias("id"), F.lit(-1).cast("long").alias("size"))
+    bound = lambda h: F.struct(F.struct(h.alias("h"), *least).alias("key"), none.alias("rows"), none.alias("some"))
     # no edge: the goal is all of the small documents, or there are none
-    everything = F.struct(F.lit("g").alias("h"), F.lit(_NO_ID).alias("id"), F.lit(-1).cast("long").alias("size"))
-    nothing = F.struct(F.lit("").alias("h"), F.lit(_NO_ID).alias("id"), F.lit(-1).cast("long").alias("size"))
+    everything, nothing = bound(F.lit("g")), bound(F.lit(""))
+    at_edge = F.coalesce("cut_in_edge", F.when(F.col("edge_bucket").isNotNull(), bound(F.col("edge_bucket"))).otherwise(everything))
     whole = F.col("extra") <= 0
     return checkpointed(
-        g.select(
-            "source", "source_size", "target", "whole",
-            F.when(whole, nothing).otherwise(F.coalesce("cut_big", nothing)).alias("cut_big"), F.when(whole, nothing).otherwise(F.coalesce("cut_small", everything)).alias("cut_small"),
-        )
-    )
-
-
-def _repeats(size: Column, h: Column, doc_id: Column, p: str) -> Column:
-    key = F.struct(h.alias("h"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("id"), size.alias("size"))
-    cut = F.when(size * 100 > F.col(f"{p}.source_size"), F.col(f"{p}.cut_big")).otherwise(F.col(f"{p}.cut_small"))
-    return F.col(f"{p}.whole") + F.when(key <= cut, 1).otherwise(0)
+        g.select("source", "source_size", "target", "whole", F.when(whole, nothing).otherwise(F.coalesce("cut_big", nothing)).alias("cut_big"), F.when(whole, nothing).otherwise(at_edge).alias("cut_small"))
+    )
+
+
+def _with_repeats(d: DataFrame, p: DataFrame) -> DataFrame:
+    """``d`` (doc_id, source, size, h and others) with its source's plan and the number of times that each row is taken."""
+    d = _with_plan(d, p)
+    key = F.struct(F.col("h").alias("h"), F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("id"), F.col("size").alias("size"))
+    cut = F.when(F.col("size") * 100 > F.col("plan.source_size"), F.col("plan.cut_big")).otherwise(F.col("plan.cut_small"))
+    more = F.when(key < cut["key"], 1).when((key == cut["key"]) & (cut["some"] >= cut["rows"]) & (cut["some"] > 0), 1).otherwise(0)
+    partly = lambda c: F.col(f"{c}.some") < F.col(f"{c}.rows")
+    repeats = lambda x: (F.col("plan.whole") + x).cast("long")
+    if p.filter(partly("cut_big") | partly("cut_small")).isEmpty():
+        return d.withColumn("repeats", repeats(more))
+    # repeated rows of which some are taken: numbered within the task that reads them, and by the numbers of rows of the tasks before
+    tied = (key == cut["key"]) & (cut["some"] < cut["rows"])
+    ties = d.filter(tied).select("*", key.alias("tie"), cut["some"].alias("some")).withColumn("task", F.spark_partition_id())
+    by_task = ties.groupBy("source", "tie", "task").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("source", "tie").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    by_task = by_task.select(F.col("source").alias("s"), F.col("tie").alias("t"), F.col("task").alias("k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ties = ties.withColumn("no", F.row_number().over(Window.partitionBy("source", "tie", "task").orderBy("size")))
+    ties = ties.join(by_task, F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("t")) & (F.col("task") == F.col("k")))
+    ties = ties.withColumn("repeats", repeats(F.when(F.col("no") + F.col("before") <= F.col("some"), 1).otherwise(0))).select(*d.columns, "repeats")
+    return d.filter(~tied).withColumn("repeats", repeats(more)).union(ties)
 
 
 def _with_plan(d: DataFrame, p: DataFrame) -> DataFrame:
@@ -122,8 +148,7 @@ def _with_plan(d: DataFrame, p: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken and repeats of every document."""
-    d = _with_plan(sizes(docs, seed), plan(docs, weights, share, epochs, seed))
-    d = d.withColumn("repeats", _repeats(F.col("size"), F.col("h"), F.col("doc_id"), "plan").cast("long"))
+    d = _with_repeats(sizes(docs, seed), plan(docs, weights, share, epochs, seed))
     return d.select("doc_id", "size", F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
@@ -132,13 +157,13 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     p = plan(docs, weights, share, epochs, seed)
     doc_id, source, size, digest = _sized(docs, seed)
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), digest.alias("h"))
-    d = _with_plan(d, p).withColumn("repeats", _repeats(F.col("size"), F.col("h"), F.col("doc_id"), "plan"))
+    d = _with_repeats(d, p)
     return d.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             md5('11|' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+             md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rn FROM t),
 w AS (SELECT *, CASE (rn - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap,

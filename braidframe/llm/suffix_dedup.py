@@ -9,13 +9,15 @@ A byte goes if it lies in a ``width``-byte string that also starts in a document
    anchor and streamed in order: a fragment that an earlier document has too is covered whole, which two separate hashes of 64 bits
    decide and no comparison of bytes; of the rest only those stay whose left or right side another document has too. There and for
    the anchors 32 bits do, as the bytes of what stays are compared.
-3. The bytes of these are cut from the texts and dealt out by side, and a suffix array is built over each bounded run of groups by two-stage sorting: suffixes smaller than
+3. The bytes of these are cut from the texts and dealt out by side. A side with more than ``MOST_FRAGMENTS`` fragments is split: its windows
+   are those with ``lo`` to ``hi`` bytes before the anchor, which all hold the bytes from ``lo`` before it on, and each half of that range holds more, by
+   which it is dealt out anew; where one window is left, all bytes are the key and the smallest doc_id comes first. A suffix array is built over each bounded run of groups by two-stage sorting: suffixes smaller than
    their successors are sorted directly, the rest induced by bucket scans; adjacent common prefixes of ``width`` bytes or more then
    give the strings that fragments share, and the smallest doc_id of each.
 
 Defined results: null text is empty; texts shorter than ``width`` lose nothing; a text of any length is searched
 whole; rows that share a doc_id do not remove each other's
-bytes; a null doc_id comes after all others; an empty table gives an empty result; further columns are ignored.
+bytes, and each is judged by itself under a key of its own (the doc_id where no two rows share one, else a number written with the row); a null doc_id comes after all others; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from .common import shuffle_width, whole_text, written
 WIDTH, GRAM, SIDE = 50, 16, 17
 MOST_BROADCAST_IDS = 1_000_000
 _LAST = (1 << 63) - 1
-_POS_BITS = 40
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -118,31 +119,30 @@ class Surroundings:
             return [_mixed((sums[end] - sums[start]) * self.powers[start] + (end - start).astype(np.uint64)) for start, end in ranges]
 
 
-def tag_of(data: bytes) -> int:
-    """A few bits of the text's hash, which tell rows that share a doc_id apart."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(data) >> (64 - 21)
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_ANCHORS = pa.schema([("anchor", pa.int32()), *[(c, pa.int64()) for c in ("frag", "frag2", "sides", "ord", "pos")]])
+_ANCHOR_FIELDS = ("frag", "frag2", "sides", "ord", "pos")
 #: Rows of one anchor that a task holds to compare their sides; of more, all go on to the suffix arrays uncompared.
 MOST_HELD = 2_000_000
+#: Fragments of one side that meet; sides with more are split.
+MOST_FRAGMENTS = 20_000
 
 
-def anchor_rows(docs: DataFrame, tagged: bool) -> DataFrame:
-    """docs: ord, text. One row per anchor: its hash, two of its fragment, those of its sides (32 bits each), and where it is."""
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """docs: ord, text, and uid if rows share an ord. A row per anchor: its hash, two of its fragment, those of its sides (32 bits each), and where it is."""
+    keyed = "uid" in docs.columns
+    fields = (*_ANCHOR_FIELDS, *(["uid"] if keyed else []))
+    schema = pa.schema([("anchor", pa.int32()), *[(c, pa.int64()) for c in fields]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = Surroundings()
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-                for ord_, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
+                parts: list[list[np.ndarray]] = [[] for _ in range(1 + len(fields))]
+                ids = zip(*(batch.column(c).to_pylist() for c in fields[4 - 1 :] if c != "pos"))
+                for own, data in zip(ids, _bytes(batch.column("text"))):
                     grams = gram_hashes(words8(data), GRAM)
                     at, h = anchors(grams)
                     if not len(at):
@@ -154,53 +154,60 @@ def anchor_rows(docs: DataFrame, tagged: bool) -> DataFrame:
                     parts[1].append(frag.view(np.int64))
                     parts[2].append(chained(grams, *ends[0]).view(np.int64))
                     parts[3].append((lft >> _S32 << _S32 | rgt >> _S32).view(np.int64))
-                    parts[4].append(np.full(len(at), ord_, np.int64))
-                    parts[5].append(at + ((tag_of(data) if tagged else 0) << _POS_BITS))
+                    parts[4].append(np.full(len(at), own[0], np.int64))
+                    parts[5].append(at)
+                    if keyed:
+                        parts[6].append(np.full(len(at), own[1], np.int64))
                 if parts[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=_ANCHORS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=schema)
 
-    return docs.select("ord", "text").mapInArrow(run, "anchor int, frag long, frag2 long, sides long, ord long, pos long")
+    return docs.mapInArrow(run, "anchor int, " + ", ".join(f"{c} long" for c in fields))
 
 
-_JUDGED = pa.schema([("settled", pa.bool_()), ("ord", pa.int64()), ("pos", pa.int64())])
+_JUDGED = pa.schema([("settled", pa.bool_()), ("uid", pa.int64()), ("pos", pa.int64())])
 
 
 def _sides_met(anchor: np.ndarray, side: np.ndarray, ord_: np.ndarray) -> np.ndarray:
-    """Rows whose (anchor, side) another ord has too."""
-    out = np.zeros(len(anchor), bool)
+    """For every row 1 if another ord has its (anchor, side) too, and 4 more if over ``MOST_FRAGMENTS`` rows have it."""
+    out = np.zeros(len(anchor), np.int64)
     if len(anchor):
         o = np.lexsort((side, anchor))
         a, s, x = anchor[o], side[o], ord_[o]
         starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
         met = np.minimum.reduceat(x, starts) < np.maximum.reduceat(x, starts)
-        out[o] = np.repeat(met, np.diff(np.r_[starts, len(a)]))
+        sizes = np.diff(np.r_[starts, len(a)])
+        out[o] = np.repeat(met * (1 + 4 * (sizes > MOST_FRAGMENTS)), sizes)
     return out
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """Anchors whose fragment is covered whole (settled), and those that a fragment with an equal side may cover in part.
 
-    pos of the latter is four times the place, plus 1 if the left side is met elsewhere and 2 if the right one is.
+    pos of the latter is 16 times the place, plus 1 if the left side is met elsewhere and 2 if the right one is, plus 4 and 8 if it is met
+    so often that it must be split.
     """
 
+    order = tuple(c for c in ("anchor", *_ANCHOR_FIELDS, "uid") if c in rows.columns)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = [np.empty(0, np.int32)] + [np.empty(0, np.int64)] * 5
+        empty = [np.empty(0, np.int32)] + [np.empty(0, np.int64)] * (len(order) - 1)
         held = empty  # rows of the open anchor that are not settled
         flooded: int | None = None  # the open anchor, if it has more rows than are held: its held row only stands for its class
 
-        def out(settled: bool, ord_: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(ord_):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ord_), settled)), pa.array(ord_), pa.array(pos)], schema=_JUDGED)
+        def out(settled: bool, uid: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(uid):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uid), settled)), pa.array(uid), pa.array(pos)], schema=_JUDGED)
 
         def compared(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            anchor, _, _, sides, ord_, pos = x
+            anchor, sides, ord_, pos, uid = x[0], x[3], x[4], x[5], x[-1] if len(x) > 6 else x[4]
             bits = _sides_met(anchor, sides >> 32, ord_) + 2 * _sides_met(anchor, sides & 0xFFFFFFFF, ord_)
             met = bits > 0
-            yield from out(False, ord_[met], pos[met] * 4 + bits[met])
+            yield from out(False, uid[met], pos[met] * 16 + bits[met])
 
         for batch in batches:
             cols = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
-            anchor, frag, frag2, sides, ord_, pos = cols
+            anchor, frag, frag2, sides, ord_, pos = cols[:6]
+            uid = cols[6] if len(cols) > 6 else ord_
             if not len(anchor):
                 continue
             stands = np.zeros(len(anchor), bool)
@@ -209,18 +216,18 @@ def judged(rows: DataFrame) -> DataFrame:
             fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (frag[1:] != frag[:-1]) | (frag2[1:] != frag2[:-1]) | (sides[1:] != sides[:-1])]
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), 0))
             later = ord_ > ord_[first]
-            yield from out(True, ord_[later], pos[later])
+            yield from out(True, uid[later], pos[later])
             kept = ~later & ~stands
             open_ = anchor == anchor[-1]
             flood = flooded is not None and anchor == flooded
             if flooded is not None:
-                yield from out(False, ord_[kept & flood], pos[kept & flood] * 4 + 3)
+                yield from out(False, uid[kept & flood], pos[kept & flood] * 16 + 15)
                 kept &= ~flood
             done = kept & ~open_
             yield from compared([c[done] for c in cols])
             stay = kept & open_
             if flooded == int(anchor[-1]) or stay.sum() > MOST_HELD:
-                yield from out(False, ord_[stay], pos[stay] * 4 + 3)
+                yield from out(False, uid[stay], pos[stay] * 16 + 15)
                 flooded = int(anchor[-1])
                 stay = np.zeros(len(anchor), bool)
                 stay[first[-1]] = True
@@ -230,9 +237,8 @@ def judged(rows: DataFrame) -> DataFrame:
         if flooded is None:
             yield from compared(held)
 
-    order = ("anchor", "frag", "frag2", "sides", "ord", "pos")
     dealt = rows.select(*order).repartition(shuffle_width(rows.sparkSession), "anchor").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "settled boolean, ord long, pos long")
+    return dealt.mapInArrow(run, "settled boolean, uid long, pos long")
 
 
 def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -341,55 +347,101 @@ def covered_starts(fragments: list[bytes], ords: np.ndarray, width: int = WIDTH)
     return [hit[cut[k] : cut[k + 1]] - starts[k] for k in range(len(fragments))]
 
 
-_PIECES = pa.schema([("side", pa.int64()), ("ord", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+_PIECES = pa.schema([("side", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("ord", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
+_PIECES_SQL = "side long, lo int, hi int, ord long, uid long, start long, at int, bytes binary"
+#: A window that holds an anchor has so many bytes before it at most.
+_BEFORE = WIDTH - GRAM
+
 
+def fragments(located: DataFrame, hot: bool) -> DataFrame:
+    """located: ord, uid, text, pos (array of anchor positions with sides). A row per anchor and side that is met elsewhere, so often or not.
 
-def fragments(located: DataFrame, tagged: bool) -> DataFrame:
-    """located: ord, text, pos (array of anchor positions with tags and sides). A row per anchor and side that is met elsewhere."""
+    lo and hi: the windows that the row stands for have so many bytes before the anchor, which is ``at`` bytes from the fragment's start.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = Surroundings()
         for whole in batches:
             for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
-                rows: list[tuple[int, int, int, int, bytes]] = []
-                for ord_, data, pos in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
-                    tag = tag_of(data) if tagged else 0
-                    p = np.array(pos, np.int64)
-                    p = np.unique(p[p >> (_POS_BITS + 2) == tag])
-                    at, met = (p >> 2) & ((1 << _POS_BITS) - 1), p & 3
-                    start, end = np.maximum(at - (WIDTH - GRAM), 0), np.minimum(at + WIDTH, len(data))
+                rows: list[tuple] = []
+                for ord_, uid, data, pos in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist()):
+                    p = np.unique(np.array(pos, np.int64))
+                    at, met = p >> 4, p & 3 & ((p >> 2) if hot else ~(p >> 2))
+                    start, end = np.maximum(at - _BEFORE, 0), np.minimum(at + WIDTH, len(data))
                     sides = [(np.maximum(at - SIDE, 0), at + GRAM), (at, np.minimum(at + GRAM + SIDE, len(data)))]
-                    for keys, bit in zip(around(data, sides), (1, 2)):
+                    for keys, bit, lo, hi in zip(around(data, sides), (1, 2), (SIDE, 0), (_BEFORE, SIDE)):
                         on = met & bit > 0
-                        rows += [(k, ord_, tag, s, data[s:e]) for k, s, e in zip(keys[on].view(np.int64).tolist(), start[on].tolist(), end[on].tolist())]
+                        rows += [(k, lo, hi, ord_, uid, s, a - s, data[s:e]) for k, s, e, a in zip(keys[on].view(np.int64).tolist(), start[on].tolist(), end[on].tolist(), at[on].tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    return located.select("ord", "text", "pos").mapInArrow(run, "side long, ord long, tag long, start long, bytes binary")
+    return located.select("ord", "uid", "text", "pos").mapInArrow(run, _PIECES_SQL)
+
+
+def halved(pieces: DataFrame) -> DataFrame:
+    """Each row as two, for the lower and the upper half of its windows, with a hash of the bytes that all windows of the half hold as side.
+
+    A half of which the fragment has no whole window is left out.
+    """
+    import xxhash
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, lo, hi, ord_, uid, start, at, data in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                middle = (lo + hi) // 2
+                for a, b in ((lo, middle), (middle + 1, hi)):
+                    # windows begin within the fragment and end within it
+                    if min(b, at) < max(a, at + WIDTH - len(data)):
+                        continue
+                    held = data[max(at - a, 0) : at + WIDTH - b]
+                    rows.append((xxhash.xxh64_intdigest(held) - (1 << 63), a, b, ord_, uid, start, at, data))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+
+    return pieces.mapInArrow(run, _PIECES_SQL)
+
+
+def bounded(pieces: DataFrame, most: int) -> DataFrame:
+    """``pieces`` with sides of at most ``most`` rows, unless their windows are one, by halving the windows of the others."""
+    rows, out, key = pieces, None, ["side", "lo", "hi"]
+    while True:
+        hot = written(rows.filter("lo < hi").groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > most).drop("n"))
+        if hot.isEmpty():
+            return rows if out is None else out.union(rows)
+        rows_of = lambda how: rows.join(hot, key, how).select(*_PIECES.names)  # noqa: E731, B023
+        cold = rows_of("left_anti")
+        out = cold if out is None else out.union(cold)
+        rows = written(halved(rows_of("left_semi")))
 
 
-_COVERED = pa.schema([("ord", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_COVERED = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def shared(pieces: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
-    """ord, tag, start, end of the strings in ``pieces`` that an earlier document has, by suffix arrays over runs of whole groups."""
+    """uid, start, end of the strings in ``pieces`` that an earlier document has, by suffix arrays over runs of whole groups.
+
+    Where one window is left its bytes are the group's key; bytes equal to those of the first row, which has the smallest ord, are shared.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen: list[tuple[int, int, int, bytes]] = []
         group: list[tuple[int, int, int, bytes]] = []
-        side: int | None = None
+        side: tuple | None = None
         size = 0
+        least: dict[bytes, int] = {}
+        alike: list[tuple[int, int, int]] = []
 
         def solve() -> Iterator[pa.RecordBatch]:
-            if not chosen:
-                return
-            rows = []
-            starts = covered_starts([x[3] for x in chosen], np.array([x[0] for x in chosen], np.int64))
-            for (ord_, tag, base, _), s in zip(chosen, starts):
-                if len(s):
-                    breaks = np.flatnonzero(np.diff(s) > 1)
-                    for lo, hi in zip(s[np.r_[0, breaks + 1]].tolist(), s[np.r_[breaks, len(s) - 1]].tolist()):
-                        rows.append((ord_, tag, base + lo, base + hi + WIDTH))
+            rows = list(alike)
+            alike.clear()
+            if chosen:
+                starts = covered_starts([x[3] for x in chosen], np.array([x[0] for x in chosen], np.int64))
+                for (_, uid, base, _), s in zip(chosen, starts):
+                    if len(s):
+                        breaks = np.flatnonzero(np.diff(s) > 1)
+                        for lo, hi in zip(s[np.r_[0, breaks + 1]].tolist(), s[np.r_[breaks, len(s) - 1]].tolist()):
+                            rows.append((uid, base + lo, base + hi + WIDTH))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_COVERED)
 
@@ -400,42 +452,51 @@ def shared(pieces: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
                 chosen.extend(group)
                 size += sum(len(x[3]) + 1 for x in group)
             group.clear()
+            least.clear()
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if key != side:
+            for key, lo, hi, ord_, uid, start, at, data in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if (key, lo, hi) != side:
                     close()
-                    side = key
+                    side = (key, lo, hi)
                     if size >= run_bytes:
                         yield from solve()
                         chosen.clear()
                         size = 0
-                group.append(tuple(row))
+                if lo < hi:
+                    group.append((ord_, uid, start, data))
+                    continue
+                window = data[at - lo : at - lo + WIDTH]
+                if least.setdefault(window, ord_) < ord_:
+                    alike.append((uid, start + at - lo, start + at - lo + WIDTH))
+                    if len(alike) >= 50_000:
+                        yield from solve()
+                        chosen.clear()
+                        size = 0
         close()
         yield from solve()
 
-    dealt = pieces.repartition(shuffle_width(pieces.sparkSession), "side").sortWithinPartitions("side", "ord")
-    return dealt.mapInArrow(run, "ord long, tag long, start long, end long")
+    dealt = pieces.repartition(shuffle_width(pieces.sparkSession), "side", "lo", "hi").sortWithinPartitions("side", "lo", "hi", "ord")
+    return dealt.mapInArrow(run, "uid long, start long, end long")
 
 
 def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     few = ids.count() <= MOST_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "ord", how)
+    return docs.join(F.broadcast(ids) if few else ids, "uid", how)
 
 
 _RESULT = pa.schema([("ord", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def remove_spans(located: DataFrame, tagged: bool, keep_text: bool = False) -> DataFrame:
-    """located: ord, text, cover (array of struct tag, start, end). The digest columns, and the remaining bytes if asked for."""
+def remove_spans(located: DataFrame, keep_text: bool = False) -> DataFrame:
+    """located: ord, text, cover (array of struct start, end). The digest columns, and the remaining bytes if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for ord_, data, cover in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
-                tag = tag_of(data) if tagged else 0
                 spans: list[list[int]] = []
-                for s, e in sorted((c["start"], c["end"]) for c in cover if c["tag"] == tag):
+                for s, e in sorted((c["start"], c["end"]) for c in cover):
                     if spans and s <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], e)
                     else:
@@ -455,32 +516,34 @@ def remove_spans(located: DataFrame, tagged: bool, keep_text: bool = False) -> D
 def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) of every document."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), whole_text().alias("text"))
+    # the doc_id is the row's key, unless rows share it: then each gets a number, which is written with it
+    if d.groupBy("ord").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        d = d.withColumn("uid", F.col("ord"))
+        fields = ("ord", "text")
+    else:
+        d = written(d.withColumn("uid", F.monotonically_increasing_id()))
+        fields = ("ord", "text", "uid")
     size = F.octet_length("text").cast("long")
-    keys = written(d.select("ord", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), size.alias("n_bytes")))
-    # rows that share a doc_id are told apart by tags, which only then are worth their bytes
-    tagged = not keys.groupBy("ord").agg((F.min("k1") != F.max("k1")).alias("several")).filter("several").isEmpty()
+    keys = written(d.select("ord", "uid", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), size.alias("n_bytes")))
     # 1. copies of whole texts: all but those with the smallest id of each
     low = keys.filter(F.col("n_bytes") >= WIDTH).groupBy("k1", "k2", "n_bytes").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most")
-    copies = written(keys.join(low.drop("most"), ["k1", "k2", "n_bytes"]).filter("ord > least").select("ord", "k1", "n_bytes"))
-    gone = copies.select("ord", F.col("k1").alias("copy_key"))
-    few = gone.count() <= MOST_BROADCAST_IDS
-    gone = F.broadcast(gone) if few else gone
-    d = d.withColumn("copy_key", F.xxhash64("text"))
-    firsts = d.join(gone, ["ord", "copy_key"], "left_anti").select("ord", "text")
+    copies = written(keys.join(low.drop("most"), ["k1", "k2", "n_bytes"]).filter("ord > least").select("ord", "uid", "n_bytes"))
+    firsts = _where(d, copies.select("uid"), "left_anti").select("ord", "uid", "text")
     # 2. anchors, and what their surroundings settle
-    found = written(judged(anchor_rows(firsts, tagged)))
+    found = written(judged(anchor_rows(firsts.select(*fields))))
     # 3. suffix arrays over what is left
-    open_ = found.filter("NOT settled").groupBy("ord").agg(F.collect_list("pos").alias("pos"))
-    open_ = written(open_)
-    near = written(shared(fragments(_where(firsts, open_.select("ord"), "left_semi").join(open_, "ord"), tagged)).distinct())
-    mask = F.lit((1 << _POS_BITS) - 1).cast("long")
-    at = F.col("pos").bitwiseAND(mask)
-    whole = found.filter("settled").select("ord", F.shiftright("pos", _POS_BITS).alias("tag"), F.greatest(at - (WIDTH - GRAM), F.lit(0)).cast("long").alias("start"), (at + WIDTH).alias("end"))
-    cover = whole.union(near).groupBy("ord").agg(F.collect_list(F.struct("tag", "start", "end")).alias("cover"))
+    open_ = written(found.filter("NOT settled").groupBy("uid").agg(F.collect_list("pos").alias("pos")))
+    located = _where(firsts, open_.select("uid"), "left_semi").join(open_, "uid")
+    pieces = fragments(located, False)
+    if not found.filter("NOT settled AND pos & 12 != 0").isEmpty():
+        pieces = pieces.union(bounded(written(fragments(located, True)), MOST_FRAGMENTS))
+    near = written(shared(pieces).distinct())
+    whole = found.filter("settled").select("uid", F.greatest(F.col("pos") - _BEFORE, F.lit(0)).cast("long").alias("start"), (F.col("pos") + WIDTH).alias("end"))
+    cover = whole.union(near).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     touched = written(cover)
-    cut = remove_spans(_where(firsts, touched.select("ord"), "left_semi").join(touched, "ord"), tagged, keep_text)
+    cut = remove_spans(_where(firsts, touched.select("uid"), "left_semi").join(touched, "uid"), keep_text)
     text_bytes = F.encode("text", "UTF-8")
-    plain = _where(firsts, touched.select("ord"), "left_anti").select(
+    plain = _where(firsts, touched.select("uid"), "left_anti").select(
         "ord", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text_bytes, 256).alias("kept_sha256"), (text_bytes if keep_text else F.lit(None).cast("binary")).alias("kept")
     )
     empty = F.lit(hashlib.sha256(b"").hexdigest())

@@ -383,6 +383,23 @@ def small_packing():
     return packing.Packing(p.tokenizer, p.ranks, p.pattern, block_tokens=20_000)
 
 
+def test_mixing_takes_some_of_repeated_rows(spark):
+    """Rows without an id that are equal in all are taken one by one, and no source is far from its target."""
+    r = np.random.default_rng(3)
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(None, words(10), "en", "a", 1)] * 200 + [(i, words(int(r.integers(5, 30))), "en", "b", 1) for i in range(60)] + [(i, words(20), "en", "c", 1) for i in range(50)]
+    rows += [(7, words(300), "en", "d", 1)] * 5 + [(None, words(300), "en", None, 1)] * 3 + [(None, words(7) + f" {i}", "en", None, 1) for i in range(100)]
+    for parts in (1, 4):
+        out = mixing.mix(frame(spark, rows).repartition(parts)).collect()
+        assert len(out) == len(rows) and all(x.taken <= 2 * x.size for x in out)
+        for size in {x.source_size for x in out}:
+            own = [x for x in out if x.source_size == size]
+            assert abs(sum(x.taken for x in own) - own[0].target) <= max(x.size for x in own)
+        again = mixing.mixed(frame(spark, rows).repartition(parts))
+        assert again.count() == sum(x.repeats for x in out)
+    assert as_rows(mixing.mix(frame(spark, rows)).drop("repeats")) == sql(rows, mixing.ORACLE)
+
+
 def test_packing(docs, rows, small_packing, empty):
     from tokenizers import Tokenizer
 
@@ -525,28 +542,46 @@ def test_long_conversations_are_rendered_whole(spark):
     assert all((r.formatted is None) == r.rewrites for r in out)
 
 
-def test_short_prefixes_give_what_complete_ones_give():
-    def late(turns):  # looks back nine turns once there are more than eighteen
-        return "".join(f"<{t['text']}>" for t in turns[:5]) + ("|" if len(turns) > 18 and len(turns[-9]["text"]) > 2 else "") + "".join(f"<{t['text']}>" for t in turns[5:])
+def test_rewrites_are_seen_at_every_length():
+    """A banner that stands before the history at one length only, and templates that look far back."""
+    turns = [{"role": ("user", "assistant")[i % 2], "text": f"t{i}" * (i % 4)} for i in range(90)]
 
-    def summed(turns):
-        return "".join(f"{t['role']}: {t['text']} ({sum(len(x['text']) for x in turns[: i + 1])})\n" for i, t in enumerate(turns))
+    def banner(at):
+        return lambda x: ("BANNER " if len(x) == at else "") + "".join(f"<{t['text']}>" for t in x)
 
-    rendered = 0
+    for at in (1, 2, 20, 33, 89, 90):
+        placed = chat.located(turns, banner(at))
+        # the banner at the start is history for the next turn, which takes it away
+        first = 1 if at == 1 else at - 1
+        assert [p is None for p in placed] == [i >= first for i in range(90)]
 
-    def plain(turns):
-        nonlocal rendered
-        rendered += len(turns)
-        return chat.turn_template(turns)
+    def late(x):  # looks back nine turns once there are more than eighteen
+        return "".join(f"<{t['text']}>" + ("|" if i > 18 and len(x[i - 9]["text"]) > 2 else "") for i, t in enumerate(x))
 
-    for n in (1, 15, 16, 17, 31, 33, 64, 90):
-        turns = [{"role": ("user", "assistant")[i % 2], "text": f"t{i}" * (i % 4)} for i in range(n)]
-        for template in (chat.turn_template, late, summed, lambda x: summed(x[-20:])):
-            state = chat.Incremental(template)
-            assert chat.located(turns, template) == [state.add(t) for t in turns]
-    many = [{"role": "user", "text": "x"}] * 3000
-    rendered = 0
-    assert len(chat.located(many, plain)) == 3000 and rendered < 3000 * 40  # in proportion to the turns
+    placed = chat.located(turns, late)
+    assert "".join(p[0] for p in placed) == late(turns) and all(late(turns)[p[1] + p[2] : p[1] + p[3]].startswith(t["text"]) for p, t in zip(placed, turns))
+
+
+def test_texts_are_placed_exactly():
+    """Texts that begin or end like the template around them, as verdicts and fuzzing found them."""
+    import random
+
+    r = random.Random(4)
+    templates = (
+        lambda x: "".join(f"{t['role']}\n{t['text']}\n" for t in x),
+        lambda x: "".join(f"<s>{t['text']}</s>" for t in x),
+        lambda x: "".join(f"q{t['text']}v" for t in x),
+        lambda x: "".join(f"x{t['text']}" for t in x),
+        lambda x: "".join(f"{t['text']}{t['role']}" for t in x),
+        lambda x: "[]" + "".join(f"{i}:{t['text']}\n\n" for i, t in enumerate(x)),
+    )
+    texts = ["\nhello", "<b>x", "</s>", "", "\n", "q", "v", "qv", "x", "user", "0:", "é\n\n", " a "] + ["".join(r.choice("<s>/bqvx\n: ") for _ in range(r.randint(0, 6))) for _ in range(60)]
+    for template in templates:
+        turns = [{"role": "user", "text": t} for t in texts]
+        placed = chat.located(turns, template)
+        assert all(p[0][p[2] : p[3]] == t for p, t in zip(placed, texts))
+    shout = chat.located([{"role": "u", "text": t} for t in texts], lambda x: "".join(f"Q{t['text'].upper()}V" for t in x))
+    assert all(p[0][p[2] : p[3]] == t.upper() for p, t in zip(shout, texts))
 
 
 def test_html_held_out_accuracy():
@@ -793,6 +828,37 @@ def test_suffix_dedup_shared_ids(spark):
     assert out == [(-1, 123), (1, 0), (1, 0), (1, 0), (2, 123)]
 
 
+def test_suffix_dedup_keys_rows_that_share_an_id(spark, monkeypatch):
+    """Rows without an id are judged each by itself, and their number costs in proportion."""
+    import random
+
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    p = text(120)
+    # y shares nothing, whatever hash it has in common with the row that does
+    rows = [(1, p, "", "", 0), (None, p + text(10), "", "", 0)] + [(None, text(140), "", "", 0) for _ in range(300)] + [(None, p[20:90] + text(9), "", "", 0)]
+    out = suffix_dedup.deduplicated(frame(spark, rows).repartition(4)).collect()
+    assert sorted(x.n_removed for x in out if x.n_removed) == [70, 120] and len(out) == len(rows)
+    assert {x.n_spans for x in out} == {0, 1}
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_suffix_dedup_splits_hot_sides(spark, monkeypatch, most):
+    """A passage in many texts with other bytes around it, where every side is split until single windows are left."""
+    import random
+
+    r = random.Random(most)
+    text = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    passages = [text(90), text(55), "ab" * 40]
+    rows = [(i, text(r.randint(0, 3)) + passages[i % 3][r.randint(0, 2) :] + text(r.randint(0, 40)), "", "", 0) for i in range(40)]
+    monkeypatch.setattr(suffix_dedup, "MOST_FRAGMENTS", most)
+    split = []
+    halved = suffix_dedup.halved
+    monkeypatch.setattr(suffix_dedup, "halved", lambda x: split.append(1) or halved(x))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(frame(spark, rows).repartition(3)).collect()}
+    assert got == removed(rows) and split
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(3)
     for alphabet in (2, 4, 30):

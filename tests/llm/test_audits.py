@@ -74,8 +74,8 @@ def test_divergence_with_tries_sent_on_early(spark, monkeypatch):
     """A trie that is sent on after a few counters, at every stage, gives the same counts."""
     rows = spoken(4, 150)
     d = frame(spark, rows).repartition(3)
-    want = {(r.lang, bytes(r.term)): dict(zip(r.sources, r.counts)) for r in divergence.merged(divergence.counted(d)).collect()}
-    few = divergence.merged(divergence.combined(divergence.counted(d, 20), 15), most=10)
+    want = {(r.lang, bytes(r.term)): {s: n for s, n in zip(r.sources, r.counts)} for r in divergence.merged(divergence.counted(d)).collect()}
+    few = divergence.merged(divergence.counted(d, 20, 3), most=10)
     assert {(r.lang, bytes(r.term)): dict(zip(r.sources, r.counts)) for r in few.collect()} == want and want
     monkeypatch.setattr(divergence, "MOST_SOURCES_HELD", 1)
     monkeypatch.setattr(divergence, "TERMS_AT_ONCE", 3)
@@ -102,19 +102,35 @@ def test_divergence_of_little(spark):
     assert len([r for r in out if r.part == "term" and r.source == "a"]) == 50 and len([r for r in out if r.part == "pair"]) == 2
 
 
-def test_radix_trie_against_a_dict():
+def test_tries_against_a_dict():
+    """Tries merged from parts, cut into blocks and merged again from the blocks."""
     r = random.Random(9)
-    trie, want = divergence.RadixTrie(), defaultdict(lambda: [0, 0])
-    for _ in range(4000):
-        term = bytes(r.choice(b"ab\xc3\xa9") for _ in range(r.randint(0, 6)))
-        group = ("en", r.choice("xy"))
-        trie.add(term, group, 3, 1)
-        want[term, group][0] += 3
-        want[term, group][1] += 1
-    got = [(t, g, c) for t, leaf in trie.walk() for g, c in leaf.items()]
-    assert {(t, g): c for t, g, c in got} == want and trie.counters == len(want)
-    order = [t for t, _ in trie.walk()]
-    assert order == sorted(set(order))
+    want, parts = defaultdict(lambda: [0, 0]), []
+    for _ in range(6):
+        own = defaultdict(lambda: [0, 0])
+        for _ in range(300):
+            key = (bytes(r.choice(b"ab\xc3\xa9") for _ in range(r.randint(0, 5))), r.randrange(3))
+            for x in (own, want):
+                x[key][0] += 3
+                x[key][1] += 1
+        terms = list({t for t, _ in own})
+        r.shuffle(terms)
+        parts.append((terms, *(np.array(x, np.int64) for x in ([terms.index(t) for t, _ in own], [s for _, s in own], [v[0] for v in own.values()], [v[1] for v in own.values()]))))
+
+    def shown(t):
+        return {(t.terms[a], int(b)): [int(c), int(d)] for a, b, c, d in zip(t.leaf, t.source, t.n, t.docs)}
+
+    trie = divergence.Trie.merged(parts)
+    assert shown(trie) == want and trie.terms == sorted({t for t, _ in want})
+    rows = list(divergence.blocks("en", ["x", "y", "z"], trie, 7))
+    assert all(len(x[4].split(b"\n")) <= 7 and x[2].startswith(x[3]) for x in rows)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), divergence._BLOCKS)], schema=divergence._BLOCKS)
+    again = [(part[0], part[1], np.array(["xyz".index(s) for s in sources])[part[2]], *part[3:]) for _, sources, part in divergence.opened(batch)]
+    assert shown(divergence.Trie.merged(again)) == want
+    marks = [divergence.mark(t) for t in trie.terms]
+    assert marks == sorted(marks)
 
 
 def test_shares_are_exact():

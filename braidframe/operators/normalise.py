@@ -64,23 +64,27 @@ def merge_siblings(g: Graph) -> Graph:
     return Graph(c.nodes.join(to, c.nodes["node_id"] == to["piece"], "left_anti"), e, c.paths, renamed(c.steps, "node_id").select(c.steps.columns))
 
 
-def normalise(g: Graph, most_rounds: int = 10) -> Graph:
-    """Unchop and merge siblings on both sides until the graph grows no shorter."""
+def normalise(g: Graph) -> Graph:
+    """Unchop and merge siblings on both sides until the graph grows no shorter; each round but the last takes base pairs away, so it ends."""
 
     def kept(x: Graph) -> Graph:
         return Graph(*[checkpointed(t) for t in (x.nodes, x.edges, x.paths, x.steps)])
 
     now = kept(unchop(kept(g)))
     length = now.nodes.agg(F.sum("len")).first()[0]
-    for _ in range(most_rounds):
+    while True:
         now = kept(merge_siblings(now))
         now = kept(turned(merge_siblings(turned(now))))
         now = kept(unchop(now))
         new = now.nodes.agg(F.sum("len")).first()[0]
         if new == length:
-            break
+            return now
         length = new
-    return now
+
+
+def mergeable(g: Graph) -> DataFrame:
+    """node_id of nodes that have a sibling with a common prefix, on either side: none after :func:`normalise`."""
+    return sibling_prefixes(g).select("node_id").union(sibling_prefixes(turned(g)).select("node_id")).distinct()
 
 
 def extract(g: Graph, ranges: DataFrame, context: int = 0, laced: bool = False, inverse: bool = False) -> Graph:

@@ -132,13 +132,17 @@ def bin_coverage(spark, d):
     return I.bin_coverage(supply_graph(spark, d), 1000)
 
 
-@query(supply(""", hit AS (SELECT r.path_id, start, "end", name, node_id, len FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < "end" AND step_end > start),
-g AS (SELECT path_id, start, "end", name, sum(len) AS t, sum(len) FILTER (WHERE node_id IN (SELECT node_id FROM visits WHERE sample = 'NATION_1')) AS a, sum(len) FILTER (WHERE node_id IN (SELECT node_id FROM visits WHERE sample = 'NATION_2')) AS b FROM hit GROUP BY ALL)
-SELECT path_id, start, "end", name, (coalesce(a, 0) / t >= 0.5)::INTEGER AS "NATION_1", (coalesce(b, 0) / t >= 0.5)::INTEGER AS "NATION_2" FROM g"""))
+_NATIONS = [f"NATION_{i}" for i in range(25)]
+_SHARES = ", ".join(f"(coalesce(sum(len) FILTER (WHERE sample = '{n}'), 0) / any_value(t) >= 0.5)::INTEGER AS \"{n}\"" for n in _NATIONS)
+
+
+@query(supply(f""", hit AS (SELECT r.path_id, start, "end", name, node_id, sum(len) AS len FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < "end" AND step_end > start GROUP BY ALL),
+t AS (SELECT path_id, start, "end", name, sum(len) AS t FROM hit GROUP BY ALL)
+SELECT path_id, start, "end", name, {_SHARES} FROM hit JOIN t USING (path_id, start, "end", name) JOIN visits USING (node_id) GROUP BY path_id, start, "end", name"""))
 def presence_matrix(spark, d):
-    """A row for every range, a column for each of two nations: whether they have half of it at least."""
+    """A row for every range, a column for every nation: whether it has half of the range at least."""
     g = supply_graph(spark, d)
-    return I.presence_matrix(I.presence(g, _ranges(spark, d, g)), ["NATION_1", "NATION_2"], 0.5)
+    return I.presence_matrix(I.presence(g, _ranges(spark, d, g)), _NATIONS, 0.5)
 
 
 @query(account(_WCC + """, pts AS (SELECT component, n.node_id, n.node_id::DOUBLE AS x, (n.node_id % 100)::DOUBLE AS y FROM wcc JOIN nodes n USING (node_id)), box AS (SELECT component, min(x) AS x0, min(y) AS y0, max(y) - min(y) + 1 AS h, count(*) AS n FROM pts GROUP BY 1),

@@ -214,8 +214,11 @@ def stream_session_runs(spark, d):
 
 
 @query(supply(""", m(pos) AS (SELECT min(pan_start + len) FROM pan WHERE pan_start + len > 300 UNION ALL SELECT min(pan_start + len) FROM m JOIN pan ON pan_start + len > m.pos + 300 GROUP BY m.pos),
-r AS (SELECT node_id, (SELECT count(*) FROM m WHERE m.pos <= pan_start + len) AS region FROM pan), s AS (SELECT node_id, region, lag(region, 1, 0) OVER (PARTITION BY path_id ORDER BY step_rank) AS before FROM steps JOIN r USING (node_id))
-SELECT DISTINCT node_id FROM s WHERE region <> before"""))
-def untangle_region_cuts(spark, d):
-    """Where paths come to another stretch of the sorted nodes, stretches of more than 300 base pairs by an exact scan."""
-    return L.region_cuts(_G(spark, d), 300)
+r AS (SELECT node_id, (SELECT count(*) FROM m WHERE m.pos <= pan_start + len) AS region FROM pan), s AS (SELECT node_id, region, lag(region, 1, 0) OVER (PARTITION BY path_id ORDER BY step_rank) AS before FROM steps JOIN r USING (node_id)),
+c AS (SELECT node_id, count(*) AS n FROM s WHERE region <> before GROUP BY 1)
+SELECT node_id, region, coalesce(n, 0) AS n_cuts FROM r LEFT JOIN c USING (node_id)"""))
+def untangle_regions(spark, d):
+    """Stretches of more than 300 base pairs of the sorted nodes, by an exact scan, and how often paths come to a node from another one."""
+    g = _G(spark, d)
+    cuts = L.region_entries(g, 300).groupBy("node_id").agg(F.count("*").alias("n_cuts"))
+    return L.cut_regions(g, 300).join(cuts, "node_id", "left").fillna(0, ["n_cuts"])

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import normalise as N
 from ..operators import stats as S
+from ..sources.gfa_ranges import gfa_pieces, read_gfa_ranges, write_gfa_pieces
 from ..sources.tables import account_graph, supply_graph
 from .queries_core import _RC, _ranges
+from .loops import shared_folder
 from .prelude import account, supply
 from .queries_graph import _DNA, _SEQUENCES, _UND, _dna
 from .registry import query
 
 
-@query(supply(_DNA + _SEQUENCES.format(rc=_RC, t="dna")))
+@query(supply(_DNA + ", z AS (" + _SEQUENCES.format(rc=_RC, t="dna").removeprefix(", ") + ") SELECT *, 0::BIGINT AS mergeable FROM z"))
 def normalise_path_sequences(spark, d):
-    """Path sequences after normalisation: what they were before."""
-    return S.fasta(N.normalise(_dna(supply_graph(spark, d)), 1))
+    """Path sequences after normalisation, which are what they were before, and how many nodes could still be merged, which is none."""
+    g = N.normalise(_dna(supply_graph(spark, d)))
+    return S.fasta(g).crossJoin(N.mergeable(g).agg(F.count("*").alias("mergeable")))
 
 
 @query(account(", par AS (SELECT dst AS node_id, string_agg(DISTINCT src || CASE WHEN src_rev THEN '-' ELSE '+' END, ',' ORDER BY src || CASE WHEN src_rev THEN '-' ELSE '+' END) AS parents FROM adj WHERE NOT dst_rev GROUP BY 1), s AS (SELECT n.node_id, seq, min(n.node_id) OVER w AS grp, count(*) OVER w AS size, min(seq) OVER w AS lo, max(seq) OVER w AS hi FROM nodes n JOIN par USING (node_id) WINDOW w AS (PARTITION BY parents, substr(seq, 1, 1))) SELECT node_id, grp, coalesce(list_max(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: substr(lo, 1, i) = substr(hi, 1, i))), 0)::BIGINT AS n FROM s WHERE size > 1"))
@@ -77,6 +82,32 @@ def sort_breadth_first_edges(spark, d):
     return N.sort_pipeline(account_graph(spark, d), "b")[1].edges
 
 
+@query(supply("""SELECT path_name AS name, count(s.path_id) AS n, coalesce(sum((step_rank + 1) * node_id * CASE WHEN is_rev THEN -1 ELSE 1 END), 0)::BIGINT AS total FROM paths LEFT JOIN steps s USING (path_id) GROUP BY path_id, path_name
+UNION ALL SELECT 'S', count(*), sum(len * node_rank)::BIGINT FROM nodes UNION ALL SELECT 'L', count(*), sum(from_id * 3 + to_id)::BIGINT FROM edges"""))
+def gfa_by_byte_ranges(spark, d):
+    """The graph written as GFA in pieces and read back by byte ranges: every path with its steps, and all nodes and edges."""
+    path = f"{shared_folder(spark)}/gfa-{uuid4().hex}"
+    write_gfa_pieces(supply_graph(spark, d), path, 2)
+    g = read_gfa_ranges(spark, path, 1 << 18)
+    sign = F.when(F.col("is_rev"), -1).otherwise(1)
+    n = g.steps.groupBy("path_id").agg(F.count("*").alias("n"), F.sum((F.col("step_rank") + 1) * F.col("node_id") * sign).alias("total"))
+    p = g.paths.join(n, "path_id", "left").fillna(0, ["n", "total"]).select(F.col("path_name").alias("name"), "n", "total")
+    s = g.nodes.agg(F.lit("S").alias("name"), F.count("*").alias("n"), F.sum(F.col("len") * F.col("node_rank")).alias("total"))
+    e = g.edges.agg(F.lit("L").alias("name"), F.count("*").alias("n"), F.sum(F.col("from_id") * 3 + F.col("to_id")).alias("total"))
+    return p.union(s).union(e)
+
+
+_PIECES = """, c AS (SELECT path_id, step_rank // 3 AS piece, string_agg(node_id || CASE WHEN is_rev THEN '-' ELSE '+' END, ',' ORDER BY step_rank) AS t FROM steps GROUP BY ALL)
+SELECT 3 AS section, path_id AS "key", -1::BIGINT AS piece, 'P' || chr(9) || path_name || chr(9) AS text FROM paths UNION ALL SELECT 3, path_id, 4611686018427387904, chr(9) || '*' || chr(10) FROM paths
+UNION ALL SELECT 3, path_id, piece, CASE WHEN piece > 0 THEN ',' ELSE '' END || t FROM c"""
+
+
+@query(supply(_PIECES))
+def view_gfa_pieces(spark, d):
+    """P lines as they are written: in pieces of three steps, none of which holds a path."""
+    return gfa_pieces(supply_graph(spark, d), 3).filter("section = 3")
+
+
 @query()
 def plane_layout(spark, d):
     return N.plane_layout(supply_graph(spark, d))

@@ -27,11 +27,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     (A reliable checkpoint keeps the constraints of its plan, which grow with every round of a loop until planning takes longer than running.)
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/round-{uuid4().hex}"
+    path = until_exit(spark, f"{shared_folder(spark)}/round-{uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is removed with all below it when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    return path
+
+
 def settled_count(df: DataFrame) -> int:
     return df.count()
 

@@ -222,3 +222,26 @@ def untangle_regions(spark, d):
     g = _G(spark, d)
     cuts = L.region_entries(g, 300).groupBy("node_id").agg(F.count("*").alias("n_cuts"))
     return L.cut_regions(g, 300).join(cuts, "node_id", "left").fillna(0, ["n_cuts"])
+
+
+_LIFT = f""", ref AS (SELECT DISTINCT node_id FROM steps WHERE {_ON_REF}), pts AS (SELECT path_id, (path_id * 7) % path_len AS pos FROM plen),
+h AS (SELECT pts.path_id, pts.pos, p.node_id, p.is_rev, pts.pos - step_start AS off FROM pts JOIN pos p USING (path_id) WHERE step_start <= pts.pos AND pts.pos < step_end),
+st AS (SELECT DISTINCT node_id AS s, NOT is_rev AS sr FROM h),
+fw(s, sr, node, rev, l, d) AS (SELECT s, sr, s, sr, 0::BIGINT, 0::BIGINT FROM st UNION SELECT s, sr, dst, dst_rev, l + len, d + 1 FROM fw JOIN nodes n ON n.node_id = fw.node JOIN adj a ON a.src = fw.node AND a.src_rev = fw.rev WHERE fw.node NOT IN (SELECT node_id FROM ref) AND l + len < 40),
+fh AS (SELECT s, sr, min({{'l': l, 'd': d, 'n': node, 'r': rev}}) AS m FROM fw WHERE node IN (SELECT node_id FROM ref) GROUP BY ALL),
+ways AS (SELECT src, src_rev, dst, dst_rev FROM adj UNION SELECT src, NOT src_rev, dst, NOT dst_rev FROM adj),
+bw(s, sr, node, rev, l, d) AS (SELECT s, sr, s, sr, 0::BIGINT, 0::BIGINT FROM st ANTI JOIN fh USING (s, sr) UNION SELECT s, sr, dst, dst_rev, l + len, d + 1 FROM bw JOIN nodes n ON n.node_id = bw.node JOIN ways a ON a.src = bw.node AND a.src_rev = bw.rev WHERE bw.node NOT IN (SELECT node_id FROM ref) AND l + len < 40),
+hit AS (SELECT s, sr, m, FALSE AS two_way FROM fh UNION ALL SELECT s, sr, min({{'l': l, 'd': d, 'n': node, 'r': rev}}), TRUE FROM bw WHERE node IN (SELECT node_id FROM ref) GROUP BY s, sr),
+f AS (SELECT node_id, path_id AS ref_path, step_start, is_rev AS t_rev, len, row_number() OVER (PARTITION BY node_id ORDER BY path_id, step_rank) AS k FROM pos WHERE {_ON_REF})
+SELECT h.path_id AS point, ref_path, step_start + CASE WHEN m.d = 0 OR (two_way AND m.d = len) THEN CASE WHEN t_rev = m.r THEN len - off ELSE off END WHEN t_rev = m.r THEN 0 ELSE len END AS ref_pos, m.l AS dist, CASE WHEN t_rev = m.r THEN '-' ELSE '+' END AS strand
+FROM h JOIN hit ON s = h.node_id AND sr = NOT h.is_rev JOIN f ON f.node_id = m.n AND f.k = 1"""
+
+
+@query(supply(_LIFT))
+def position_lift(spark, d):
+    """A position on every path, lifted to one nation's paths: forward first, then both ways."""
+    from ..operators import position as O
+
+    g = _G(spark, d)
+    p = O.path_points(g, _points(g).withColumn("point", F.col("path_id")))
+    return O.lifted(g, p, _ref(g), 40)

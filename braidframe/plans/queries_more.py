@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import normalise as N
 from ..operators import stats as S
+from ..sources import index
 from ..sources.gfa_ranges import gfa_pieces, read_gfa_ranges, write_gfa_pieces
 from ..sources.tables import account_graph, supply_graph
 from .queries_core import _RC, _ranges
-from .loops import shared_folder
+from .loops import shared_folder, until_exit
 from .prelude import account, supply
 from .queries_graph import _DNA, _SEQUENCES, _UND, _dna
 from .registry import query
@@ -86,7 +87,7 @@ def sort_breadth_first_edges(spark, d):
 UNION ALL SELECT 'S', count(*), sum(len * node_rank)::BIGINT FROM nodes UNION ALL SELECT 'L', count(*), sum(from_id * 3 + to_id)::BIGINT FROM edges"""))
 def gfa_by_byte_ranges(spark, d):
     """The graph written as GFA in pieces and read back by byte ranges: every path with its steps, and all nodes and edges."""
-    path = f"{shared_folder(spark)}/gfa-{uuid4().hex}"
+    path = until_exit(spark, f"{shared_folder(spark)}/gfa-{uuid4().hex}")
     write_gfa_pieces(supply_graph(spark, d), path, 2)
     g = read_gfa_ranges(spark, path, 1 << 18)
     sign = F.when(F.col("is_rev"), -1).otherwise(1)
@@ -108,6 +109,15 @@ def view_gfa_pieces(spark, d):
     return gfa_pieces(supply_graph(spark, d), 3).filter("section = 3")
 
 
+@query(supply(", d AS (SELECT path_id, sum(depth)::BIGINT AS depth FROM steps JOIN depth USING (node_id) GROUP BY 1) SELECT path_id, n_steps, path_len, depth FROM plen JOIN d USING (path_id)"))
+def step_index(spark, d):
+    """Steps, length and summed node depth of every path from the bucketed step index."""
+    i = index.write_index(supply_graph(spark, d), until_exit(spark, f"{shared_folder(spark)}/index-{uuid4().hex}"), 16)
+    depth = i.by_node().groupBy("node_id").agg(F.count("*").alias("depth"))
+    by_path = i.by_node().join(depth, "node_id").groupBy("path_id").agg(F.sum("depth").alias("depth"))
+    return i.path_lengths().join(by_path, "path_id").select("path_id", "n_steps", "path_len", "depth")
+
+
 @query()
 def plane_layout(spark, d):
     return N.plane_layout(supply_graph(spark, d))

@@ -67,20 +67,23 @@ def by_context(g: Graph, pairs: DataFrame, walk: int) -> DataFrame:
     smallest of their shorter sides and of their longer sides, ``walk`` at most, either way round; the better of the four comparisons
     counts. Of equally good steps the middle one by rank is taken.
     """
+    pairs = checkpointed(pairs)
     ends = pairs.select("point", F.explode(F.array(F.struct(F.lit(False).alias("target"), F.col("q_path").alias("path_id"), F.col("q_rank").alias("step_rank")), F.struct(F.lit(True).alias("target"), F.col("t_path").alias("path_id"), F.col("t_rank").alias("step_rank")))).alias("e")).select("point", "e.*").distinct()
-    p = g.positions().select("path_id", "step_rank", "node_id", "len", "step_start", "step_end")
+    # what is read several times is written once
+    p = checkpointed(g.positions().select("path_id", "step_rank", "node_id", "len", "step_start", "step_end"))
     s = ends.join(p, ["path_id", "step_rank"]).join(g.path_lengths().select("path_id", "path_len"), "path_id")
     left, right = F.col("step_start"), F.col("path_len") - F.col("step_end")
+    s = checkpointed(s)
     sides = s.groupBy("point").agg(F.min(F.least(left, right, F.lit(walk))).alias("short"), F.min(F.least(F.greatest(left, right), F.lit(walk))).alias("long"))
     s = s.join(sides, "point").withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
     before, after = (F.when(F.col("way") == k, F.col("short")).otherwise(F.col("long")) for k in (0, 1))
     s = s.withColumn("before", before).withColumn("after", after)
     who = ["point", "target", "path_id", "step_rank", "way"]
     r = s.select(*who, F.col("step_start").alias("own_start"), F.col("step_end").alias("own_end"), "before", "after", F.greatest(F.col("step_start") - F.col("before"), F.lit(0)).alias("start"), (F.col("step_end") + F.col("after")).alias("end"))
-    met = range_join(r, p.select("path_id", F.col("step_rank").alias("other"), "node_id", "len", "step_start", "step_end"))
+    met = checkpointed(range_join(r, p.select("path_id", F.col("step_rank").alias("other"), "node_id", "len", "step_start", "step_end")))
     walked = F.sum(F.when(F.col("other") != F.col("step_rank"), F.col("len")).otherwise(0))
     whole = met.groupBy(*who, "before", "after").agg(walked.alias("walked")).filter(F.col("walked") >= F.col("before") + F.col("after")).select(*who)
-    c = met.groupBy(*who, "node_id").agg(F.count("*").alias("n"), F.first("len").alias("len")).join(whole, who)
+    c = checkpointed(met.groupBy(*who, "node_id").agg(F.count("*").alias("n"), F.first("len").alias("len")).join(whole, who))
     total = c.groupBy(*who).agg(F.sum(F.col("n") * F.col("len")).alias("all"))
     q = c.filter("NOT target").select("point", F.col("way").alias("q_way"), "node_id", F.col("n").alias("nq"), "len")
     t = c.filter("target").select("point", F.col("path_id").alias("t_path"), F.col("step_rank").alias("t_rank"), F.col("way").alias("t_way"), "node_id", F.col("n").alias("nt"))
@@ -89,7 +92,7 @@ def by_context(g: Graph, pairs: DataFrame, walk: int) -> DataFrame:
     j = j.join(total.filter("NOT target").select("point", F.col("way").alias("q_way"), F.col("all").alias("a")), ["point", "q_way"])
     j = j.join(total.filter("target").select("point", F.col("path_id").alias("t_path"), F.col("step_rank").alias("t_rank"), F.col("way").alias("t_way"), F.col("all").alias("b")), ["point", "t_path", "t_rank", "t_way"])
     best = j.groupBy("point", "t_path", "t_rank").agg(F.max(F.col("i") / (F.col("a") + F.col("b") - F.col("i"))).alias("jaccard"))
-    scored = pairs.select("point", "t_path", "t_rank").distinct().join(best, ["point", "t_path", "t_rank"], "left").fillna(0.0, ["jaccard"])
+    scored = checkpointed(pairs.select("point", "t_path", "t_rank").distinct().join(best, ["point", "t_path", "t_rank"], "left").fillna(0.0, ["jaccard"]))
     top = scored.join(scored.groupBy("point").agg(F.max("jaccard").alias("most")), "point").filter("jaccard = most")
     w = Window.partitionBy("point").orderBy("t_path", "t_rank")
     top = top.withColumn("no", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("point")))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph, canonical, edges_of_steps, step_order
+from ..model import Graph, canonical, edges_of_steps
+from .chunks import prefix_sum, renumbered
 from .stats import degree_table, depth_table
 
 EDGE = ["from_id", "from_rev", "to_id", "to_rev"]
@@ -15,7 +16,7 @@ EDGE = ["from_id", "from_rev", "to_id", "to_rev"]
 
 def reranked(steps: DataFrame) -> DataFrame:
     """Step ranks without gaps, in the order they had."""
-    return steps.select("path_id", (F.row_number().over(step_order()) - 1).cast("long").alias("step_rank"), "node_id", "is_rev")
+    return renumbered(steps.select("path_id", "step_rank", "node_id", "is_rev")).select("path_id", "step_rank", "node_id", "is_rev")
 
 
 def keep_paths(g: Graph, names: DataFrame) -> Graph:
@@ -52,14 +53,14 @@ def split_paths(g: Graph, steps: DataFrame) -> Graph:
     at = g.positions().select("path_id", "step_rank", "step_start", "step_end")
     s = steps.join(at, ["path_id", "step_rank"])
     # consecutive ranks less their number are equal within a run
-    s = s.withColumn("run", F.col("step_rank") - F.row_number().over(step_order()))
-    span = s.groupBy("path_id", "run").agg(F.min("step_start").alias("a"), F.max("step_end").alias("b"))
+    s = prefix_sum(s, F.lit(1).cast("long"), "run").withColumn("run", F.col("step_rank") - F.col("run"))
+    span = s.groupBy("path_id", "run").agg(F.min("step_start").alias("a"), F.max("step_end").alias("b"), F.min("step_rank").alias("lo"))
     whole = g.path_lengths().select("path_id", "path_len")
     named = span.join(whole, "path_id").join(g.paths, "path_id")
     named = named.withColumn("name", F.when((F.col("a") == 0) & (F.col("b") == F.col("path_len")), F.col("path_name")).otherwise(F.format_string("%s:%d-%d", "path_name", "a", "b")))
     named = named.withColumn("new_id", F.row_number().over(Window.orderBy("path_id", "a")).cast("long"))
-    out = s.join(named.select("path_id", "run", "new_id"), ["path_id", "run"])
-    ranks = F.row_number().over(Window.partitionBy("new_id").orderBy("step_rank")) - 1
+    out = s.join(named.select("path_id", "run", "new_id", "lo"), ["path_id", "run"])
+    ranks = F.col("step_rank") - F.col("lo")
     return g.with_(
         paths=named.select(F.col("new_id").alias("path_id"), F.col("name").alias("path_name"), F.lit(False).alias("is_circular")),
         steps=out.select(F.col("new_id").alias("path_id"), ranks.cast("long").alias("step_rank"), "node_id", "is_rev"),
@@ -112,8 +113,8 @@ def cut_tips(g: Graph, below_depth: int | None = None) -> Graph:
 def isolated(g: Graph) -> DataFrame:
     """node_id of nodes without edges under exactly one step, of a path of one step."""
     alone = degree_table(g).filter("degree = 0").select("node_id")
-    size = Window.partitionBy("path_id")
-    s = g.steps.withColumn("n", F.count("*").over(size)).groupBy("node_id").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k = 1 AND n = 1")
+    longer = g.steps.groupBy("path_id").agg(F.count("*").alias("n")).filter("n > 1").select("path_id", F.lit(True).alias("longer"))
+    s = g.steps.join(longer, "path_id", "left").groupBy("node_id").agg(F.count("*").alias("k"), F.max("longer").alias("longer")).filter("k = 1 AND longer IS NULL")
     return alone.join(s, "node_id", "left_semi")
 
 
@@ -139,10 +140,9 @@ def chop(g: Graph, most: int) -> Graph:
         F.when(F.col("from_rev"), F.col("fb") + 1).otherwise(F.col("fb") + F.col("fk")).alias("from_id"), "from_rev", F.when(F.col("to_rev"), F.col("tb") + F.col("tk")).otherwise(F.col("tb") + 1).alias("to_id"), "to_rev"
     )
     c = outer.union(inner).select(canonical(*[F.col(x) for x in EDGE]).alias("e")).select("e.*").distinct()
-    s = g.steps.join(m, "node_id").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    s = s.select("path_id", "step_rank", "i", F.when(F.col("is_rev"), F.col("base") + F.col("k") - F.col("i")).otherwise(F.col("base") + F.col("i") + 1).alias("node_id"), "is_rev")
-    rank = F.row_number().over(Window.partitionBy("path_id").orderBy("step_rank", "i")) - 1
-    return Graph(nodes, c, g.paths, s.select("path_id", rank.cast("long").alias("step_rank"), "node_id", "is_rev"))
+    s = prefix_sum(g.steps.join(m, "node_id"), F.col("k"), "first").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    s = s.select("path_id", (F.col("first") + F.col("i")).alias("step_rank"), F.when(F.col("is_rev"), F.col("base") + F.col("k") - F.col("i")).otherwise(F.col("base") + F.col("i") + 1).alias("node_id"), "is_rev")
+    return Graph(nodes, c, g.paths, s)
 
 
 def crush(g: Graph) -> Graph:
@@ -155,7 +155,8 @@ def flip_paths(g: Graph, suffix: str = "_inv") -> Graph:
     """Paths with more base pairs in reverse than forward are reverse-complemented and renamed; edges they need are added."""
     s = g.steps.join(g.lengths(), "node_id")
     rev = s.groupBy("path_id").agg(F.sum(F.when(F.col("is_rev"), F.col("len")).otherwise(-F.col("len"))).alias("d")).filter("d > 0").select("path_id").withColumn("flip", F.lit(True))
-    marked = g.steps.join(rev, "path_id", "left").withColumn("last", F.max("step_rank").over(Window.partitionBy("path_id")))
+    last = g.steps.join(rev, "path_id").groupBy("path_id").agg(F.max("step_rank").alias("last"))
+    marked = g.steps.join(rev.join(last, "path_id"), "path_id", "left")
     flip = F.coalesce("flip", F.lit(False))
     steps = marked.select("path_id", F.when(flip, F.col("last") - F.col("step_rank")).otherwise(F.col("step_rank")).alias("step_rank"), "node_id", F.when(flip, ~F.col("is_rev")).otherwise(F.col("is_rev")).alias("is_rev"))
     paths = g.paths.join(rev, "path_id", "left").select("path_id", F.when(flip, F.concat("path_name", F.lit(suffix))).otherwise(F.col("path_name")).alias("path_name"), "is_circular")
@@ -237,10 +238,9 @@ def chop_at(g: Graph, cuts: DataFrame) -> Graph:
     e = g.edges.join(m.select(F.col("node_id").alias("from_id"), F.col("base").alias("fb"), F.col("k").alias("fk")), "from_id").join(m.select(F.col("node_id").alias("to_id"), F.col("base").alias("tb"), F.col("k").alias("tk")), "to_id")
     outer = e.select(F.when(F.col("from_rev"), F.col("fb") + 1).otherwise(F.col("fb") + F.col("fk")).alias("from_id"), "from_rev", F.when(F.col("to_rev"), F.col("tb") + F.col("tk")).otherwise(F.col("tb") + 1).alias("to_id"), "to_rev")
     c = outer.union(inner).select(canonical(*[F.col(x) for x in EDGE]).alias("e")).select("e.*").distinct()
-    s = g.steps.join(m, "node_id").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    s = s.select("path_id", "step_rank", "i", F.when(F.col("is_rev"), F.col("base") + F.col("k") - F.col("i")).otherwise(F.col("base") + F.col("i") + 1).alias("node_id"), "is_rev")
-    rank = F.row_number().over(Window.partitionBy("path_id").orderBy("step_rank", "i")) - 1
-    return Graph(nodes, c, g.paths, s.select("path_id", rank.cast("long").alias("step_rank"), "node_id", "is_rev"))
+    s = prefix_sum(g.steps.join(m, "node_id"), F.col("k"), "first").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    s = s.select("path_id", (F.col("first") + F.col("i")).alias("step_rank"), F.when(F.col("is_rev"), F.col("base") + F.col("k") - F.col("i")).otherwise(F.col("base") + F.col("i") + 1).alias("node_id"), "is_rev")
+    return Graph(nodes, c, g.paths, s)
 
 
 def sort_paths(g: Graph, by: str = "min", delimiter: str | None = None, reverse: bool = False) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import name_prefix, trimmed, uncalled
-from ..model import Graph, step_order
+from ..model import Graph, with_next
+from .chunks import with_previous
 
 
 def _long(c: Column) -> Column:
@@ -256,5 +257,5 @@ def heaps(g: Graph, permutations: int = 3, seed: str = "heaps", delimiter: str =
 
 def step_navigation(g: Graph) -> DataFrame:
     """Each step with the steps before and after it on its path."""
-    w = step_order()
-    return g.steps.select("path_id", "step_rank", "node_id", F.lag("node_id").over(w).alias("prev_node"), F.lead("node_id").over(w).alias("next_node"))
+    s = with_next(with_previous(g.steps.select("path_id", "step_rank", "node_id"), "node_id"), "node_id")
+    return s.select("path_id", "step_rank", "node_id", F.col("previous_node_id").alias("prev_node"), F.col("next_node_id").alias("next_node"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph, canonical
 from ..plans.loops import checkpointed, settled_count, signature, stars
+from .chunks import renumbered
 
 
 def components(g: Graph) -> DataFrame:
@@ -368,8 +369,7 @@ def unchop(g: Graph, links: DataFrame | None = None) -> Graph:
     e = e.filter(leaves & enters).select(canonical(F.col("f_id"), fr, F.col("t_id"), tr).alias("e")).select("e.*").distinct()
     s = g.steps.join(place, "node_id").withColumn("rev", F.col("is_rev") != F.col("flip"))
     heads = s.filter(F.when(F.col("rev"), F.col("pos") == F.col("last")).otherwise(F.col("pos") == 0))
-    rank = F.row_number().over(Window.partitionBy("path_id").orderBy("step_rank")) - 1
-    steps = heads.select("path_id", rank.cast("long").alias("step_rank"), F.col("id").alias("node_id"), F.col("rev").alias("is_rev"))
+    steps = renumbered(heads.select("path_id", "step_rank", F.col("id").alias("node_id"), F.col("rev").alias("is_rev"))).select("path_id", "step_rank", "node_id", "is_rev")
     return Graph(m.select(F.col("id").alias("node_id"), "seq", "len", F.col("id").alias("node_rank")), e.select(EDGE), g.paths, steps)
 
 

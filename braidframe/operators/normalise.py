@@ -133,16 +133,17 @@ def flipped(g: Graph, flips: DataFrame) -> Graph:
 def sort_pipeline(g: Graph, orders: str) -> tuple[DataFrame, Graph]:
     """(old_id, node_id) and the graph after one order upon the other, each by a letter.
 
-    s: topological, c: topological without edges that go back within a strong component, b: breadth first, r: random, f: reversed,
+    s: topological, c: topological without edges that go back within a strong component, b: breadth first, z: depth first, r: random, f: reversed,
     Y: path-guided, g: groom (turns nodes and keeps their order).
     """
+    from .forest import depth_first_order
     from .sampling import path_sgd, random_order
     from .traverse import break_cycles, groom, topological_order
 
     def backwards(x: Graph) -> DataFrame:
         return x.nodes.select("node_id", F.row_number().over(Window.orderBy(F.desc("node_rank"))).cast("long").alias("new_rank"))
 
-    makers = {"s": topological_order, "c": lambda x: topological_order(break_cycles(x)), "b": breadth_first_order, "r": random_order, "f": backwards, "Y": path_sgd}
+    makers = {"s": topological_order, "c": lambda x: topological_order(break_cycles(x)), "b": breadth_first_order, "z": depth_first_order, "r": random_order, "f": backwards, "Y": path_sgd}
     ids = g.nodes.select(F.col("node_id").alias("old_id"), "node_id")
     for letter in orders:
         if letter == "g":

@@ -245,3 +245,18 @@ def position_lift(spark, d):
     g = _G(spark, d)
     p = O.path_points(g, _points(g).withColumn("point", F.col("path_id")))
     return O.lifted(g, p, _ref(g), 40)
+
+
+_DFS = """, hd AS (SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM adj WHERE NOT src_rev AND NOT dst_rev)),
+sd AS (SELECT node_id FROM hd UNION ALL SELECT min(node_id) FROM wcc WHERE component NOT IN (SELECT component FROM wcc JOIN hd USING (node_id)) GROUP BY component),
+bf(node_id, hops) USING KEY (node_id) AS (SELECT node_id, 0::BIGINT FROM sd UNION SELECT und.b, min(bf.hops + 1) FROM bf JOIN und ON und.a = bf.node_id WHERE NOT EXISTS (SELECT 1 FROM recurring.bf x WHERE x.node_id = und.b) GROUP BY und.b),
+par AS (SELECT und.b AS node_id, min(und.a) AS parent FROM und JOIN bf x ON x.node_id = und.a JOIN bf y ON y.node_id = und.b WHERE x.hops + 1 = y.hops GROUP BY 1),
+tr(node_id, way) AS (SELECT node_id, [node_id] FROM sd UNION ALL SELECT p.node_id, list_append(tr.way, p.node_id) FROM tr JOIN par p ON p.parent = tr.node_id)
+SELECT node_id, row_number() OVER (ORDER BY way) AS new_rank FROM tr"""
+
+
+@query(account(_WCC + _DFS))
+def depth_first_order(spark, d):
+    from ..operators import forest as T
+
+    return T.depth_first_order(account_graph(spark, d)).select("node_id", "new_rank")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
-from ..model import Graph, before_row, canonical, running_total
+from ..model import Graph, before_row, canonical, edges_of_steps, running_total
 from ..plans.loops import checkpointed
+from .chunks import runs
 from .intervals import range_join
 from .rewrite import EDGE, chop_at, induced, lace
 from .traverse import components, cycle_edges, forward_edges, peel, reach, unchop
@@ -96,6 +97,40 @@ def extract(g: Graph, ranges: DataFrame, context: int = 0, laced: bool = False,
     return lace(sub) if laced else sub
 
 
+def close_gaps(g: Graph, keep: DataFrame, closer: int, rounds: int | None = None) -> DataFrame:
+    """keep (node_id) and the nodes of every stretch of a path that leaves them for less than ``closer`` base pairs and comes back.
+
+    Nodes that are filled in are kept on other paths too, so it goes on for ``rounds`` rounds, or until no node is added.
+    """
+    p = checkpointed(g.positions().select("path_id", "step_rank", "node_id", "step_start", "step_end"))
+    ends = g.path_lengths().select("path_id", "path_len")
+    now = checkpointed(keep.select("node_id").distinct())
+    done = 0
+    while rounds is None or done < rounds:
+        marked = p.join(now.withColumn("kept", F.lit(True)), "node_id", "left")
+        away = runs(marked, F.col("kept").isNotNull()).filter(~F.col("key") & (F.col("end") - F.col("start") < closer))
+        away = away.join(ends, "path_id").filter("start > 0 AND end < path_len").select("path_id", "start", "end")
+        new = checkpointed(range_join(away, p.select("path_id", "node_id", "step_start", "step_end")).select("node_id").distinct().join(now, "node_id", "left_anti"))
+        if new.isEmpty():
+            break
+        now = checkpointed(now.union(new))
+        done += 1
+    return now
+
+
+def extract_merged(g: Graph, ranges: DataFrame, closer: int, rounds: int | None = 6, context: int = 0) -> Graph:
+    """:func:`extract` with gaps of less than ``closer`` base pairs closed, the paths cut into what is left of them (``path:start-end``),
+    and every edge that they need."""
+    from .rewrite import split_paths
+
+    seeds = extract(g, ranges, context).nodes.select("node_id")
+    keep = close_gaps(g, seeds, closer, rounds)
+    sub = split_paths(g, g.steps.join(keep, "node_id", "left_semi"))
+    inside = induced(g, keep)
+    e = inside.edges.select(EDGE).union(edges_of_steps(sub.steps).select(EDGE)).distinct()
+    return Graph(inside.nodes, e, sub.paths, sub.steps)
+
+
 def split_extract(g: Graph, ranges: DataFrame, full_range: bool = False) -> DataFrame:
     """name, node_id: the nodes of each range on its own; with ``full_range`` all between the smallest and the largest id under it."""
     hit = range_join(ranges.select("path_id", "start", "end", "name"), g.positions().select("path_id", "node_id", "step_start", "step_end")).select("name", "node_id").distinct()

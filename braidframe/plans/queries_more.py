@@ -118,6 +118,23 @@ def step_index(spark, d):
     return i.path_lengths().join(by_path, "path_id").select("path_id", "n_steps", "path_len", "depth")
 
 
+@query(account(""", seed AS (SELECT DISTINCT node_id FROM ranges r JOIN pos p ON p.path_id = r.path_id AND step_start < "end" AND step_end > start),
+m AS (SELECT *, node_id IN (SELECT node_id FROM seed) AS k FROM pos), b AS (SELECT *, max(CASE WHEN k THEN step_end END) OVER (PARTITION BY path_id ORDER BY step_rank) AS before, min(CASE WHEN k THEN step_start END) OVER (PARTITION BY path_id ORDER BY step_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM m),
+kept AS (SELECT node_id FROM seed UNION SELECT node_id FROM b WHERE NOT k AND after - before < 9), w AS (SELECT *, step_rank - row_number() OVER (PARTITION BY path_id ORDER BY step_rank) AS run FROM pos WHERE node_id IN (SELECT node_id FROM kept)),
+f AS (SELECT path_id, run, min(step_start) AS a, max(step_end) AS z, count(*) AS n, sum(node_id * (step_rank + 1))::BIGINT AS total FROM w GROUP BY ALL)
+SELECT CASE WHEN a = 0 AND z = path_len THEN path_name ELSE path_name || ':' || a || '-' || z END AS name, n, total FROM f JOIN plen USING (path_id) JOIN paths USING (path_id)"""))
+def extract_merged(spark, d):
+    """What is left of every path when gaps of less than nine base pairs are closed once, with its steps' nodes."""
+    g = account_graph(spark, d)
+    h = N.extract_merged(g, _ranges(spark, d, g), 9, 1)
+    lo = F.coalesce(F.regexp_extract("path_name", r":(\d+)-\d+$", 1).cast("string"), F.lit(""))
+    s = h.steps.join(h.paths.select("path_id", "path_name"), "path_id")
+    s = s.withColumn("whole", F.regexp_replace("path_name", r":\d+-\d+$", "")).withColumn("lo", F.when(lo == "", F.lit("0")).otherwise(lo).cast("long"))
+    first = g.positions().join(g.paths.select("path_id", F.col("path_name").alias("whole")), "path_id").select("whole", F.col("step_start").alias("lo"), F.col("step_rank").alias("base"))
+    s = s.join(first, ["whole", "lo"])
+    return s.groupBy(F.col("path_name").alias("name")).agg(F.count("*").alias("n"), F.sum(F.col("node_id") * (F.col("step_rank") + F.col("base") + 1)).alias("total"))
+
+
 @query()
 def plane_layout(spark, d):
     return N.plane_layout(supply_graph(spark, d))

@@ -69,7 +69,7 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     e = _read(spark, sf_dir, "events").select("user_id", "ts", "event_type")
     kinds = e.select("event_type").distinct().select("event_type", F.row_number().over(Window.orderBy("event_type")).cast("long").alias("node_id"))
     nodes = kinds.select("node_id", F.col("event_type").alias("seq"), F.length("event_type").cast("long").alias("len"), F.col("node_id").alias("node_rank"))
-    s = e.join(F.broadcast(kinds), "event_type")
+    s = e.join(kinds, "event_type")
     steps = s.select(F.col("user_id").alias("path_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1).cast("long").alias("step_rank"), "node_id", F.lit(False).alias("is_rev"))
     paths = e.select("user_id").distinct().select(F.col("user_id").alias("path_id"), F.concat(F.lit("user#"), F.col("user_id").cast("string")).alias("path_name"), F.lit(False).alias("is_circular"))
     return Graph(nodes, edges_of_steps(steps).drop("support"), paths, steps)

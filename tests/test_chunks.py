@@ -191,3 +191,31 @@ def test_regions_cut_nodes_as_a_scan_does(spark, chunk):
                     want.add(i)
                 before = of[i]
         assert [x for (x,) in rows(L.region_cuts(g, every))] == sorted(want)
+
+
+@pytest.mark.parametrize("closer,rounds", [(4, 1), (9, None)])
+def test_gaps_are_closed_as_walking_does(spark, chunk, closer, rounds):
+    from braidframe.operators import normalise as N
+
+    def full(s):
+        r = random.Random(s)
+        return all([r.choice([0, 1, 2, 5]), r.choice([0, 1, 2, 5])])
+
+    g, lens, walks = graph(spark, next(s for s in range(6, 99) if full(s)), n=16, longest=12)
+    assert all(lens.values())
+    keep = {1, 4, 5, 11}
+    want, done = set(keep), 0
+    while rounds is None or done < rounds:
+        new = set()
+        for w in walks.values():
+            at = starts(w, lens)
+            on = [k for k, (i, _) in enumerate(w) if i in want]
+            for a, b in zip(on, on[1:]):
+                if b - a > 1 and at[b] - (at[a] + lens[w[a][0]]) < closer:
+                    new |= {i for i, _ in w[a + 1 : b]} - want
+        if not new:
+            break
+        want |= new
+        done += 1
+    got = N.close_gaps(g, spark.createDataFrame([(i,) for i in keep], "node_id long"), closer, rounds)
+    assert {x for (x,) in rows(got)} == want and want > keep

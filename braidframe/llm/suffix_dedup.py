@@ -261,7 +261,9 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     else:
         # the suffixes sorted directly at or after a wanted one: those in between are induced from them
         at = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
-        direct = np.unique(at[wanted])
+        needed = np.zeros(n, bool)
+        needed[at[wanted]] = True
+        direct = np.flatnonzero(needed)
     padded = text.tobytes()
     big = words8(padded).byteswap()
     keys = [big[np.minimum(direct + o, n - 1)] * (direct + o < n) for o in range(0, depth, 8)]
@@ -313,38 +315,35 @@ def common_prefixes(order: np.ndarray, text: bytes, cap: int) -> np.ndarray:
         inside = (ia < len(w)) & (ib < len(w))
         alive, ia, ib = alive[inside], ia[inside], ib[inside]
         diff = w[ia] ^ w[ib]
+        apart = diff != 0
+        ended, diff = alive[apart], diff[apart]
+        # the lowest bit that differs is a power of two, so its logarithm is exact
         low = diff & (~diff + np.uint64(1))
-        same = np.where(diff == 0, 8, np.floor(np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.int64) // 8)
-        out[alive + 1] = np.minimum(o + same, cap)
-        alive = alive[diff == 0]
+        out[ended + 1] = np.minimum(o + np.log2(low.astype(np.float64)).astype(np.int64) // 8, cap)
+        alive = alive[~apart]
+        out[alive + 1] = min(o + 8, cap)
     return out
 
 
-def covered_starts(fragments: list[bytes], ords: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each fragment the starts of its ``width``-byte strings that a fragment with a smaller ord has too."""
+def covered_starts(fragments: list[bytes], ords: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Fragment and start of the ``width``-byte strings that a fragment with a smaller ord has too, ordered by both."""
     # bytes are raised by one, so that 0 can separate; 255 does not occur in UTF-8
-    data = b"\0".join(fragments) + b"\0"
-    text = np.frombuffer(data, np.uint8).copy()
-    sizes = np.array([len(f) for f in fragments])
-    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    separator = np.zeros(len(text), bool)
-    separator[starts + sizes] = True
-    text[~separator] += 1
+    text = np.frombuffer(b"\0".join(fragments) + b"\0", np.uint8) + np.uint8(1)
+    sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    text[ends] = 0
     of = np.repeat(np.arange(len(fragments)), sizes + 1)
-    room = (starts + sizes)[of] - np.arange(len(text))
+    room = ends[of] - np.arange(len(text))
     order = suffix_array(text, width, room >= width)
     order = order[room[order] >= width]
     if not len(order):
-        return [np.empty(0, np.int64)] * len(fragments)
-    run = np.cumsum(common_prefixes(order, text.tobytes(), width) < width) - 1
+        return order, order
+    fresh = common_prefixes(order, text.tobytes(), width) < width
     o = ords[of[order]]
-    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, o)
-    hit = order[o > least[run]]
-    hit.sort()
-    owner = of[hit]
-    cut = np.searchsorted(owner, np.arange(len(fragments) + 1))
-    return [hit[cut[k] : cut[k + 1]] - starts[k] for k in range(len(fragments))]
+    runs = np.flatnonzero(fresh)
+    hit = np.sort(order[o > np.repeat(np.minimum.reduceat(o, runs), np.diff(np.r_[runs, len(order)]))])
+    return of[hit], hit - starts[of[hit]]
 
 
 _PIECES = pa.schema([("side", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("ord", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
@@ -425,56 +424,59 @@ def shared(pieces: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: list[tuple[int, int, int, bytes]] = []
-        group: list[tuple[int, int, int, bytes]] = []
+        empty = [np.empty(0, np.int64)] * 6
+        held, texts, size = empty, [], 0  # side, lo, hi, ord, uid, start and bytes of the rows that have several windows
         side: tuple | None = None
-        size = 0
         least: dict[bytes, int] = {}
         alike: list[tuple[int, int, int]] = []
 
-        def solve() -> Iterator[pa.RecordBatch]:
-            rows = list(alike)
-            alike.clear()
-            if chosen:
-                starts = covered_starts([x[3] for x in chosen], np.array([x[0] for x in chosen], np.int64))
-                for (_, uid, base, _), s in zip(chosen, starts):
-                    if len(s):
-                        breaks = np.flatnonzero(np.diff(s) > 1)
-                        for lo, hi in zip(s[np.r_[0, breaks + 1]].tolist(), s[np.r_[breaks, len(s) - 1]].tolist()):
-                            rows.append((uid, base + lo, base + hi + WIDTH))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_COVERED)
-
-        def close() -> None:
-            nonlocal size
-            # groups of one document have nothing to share
-            if group and group[0][0] != group[-1][0]:
-                chosen.extend(group)
-                size += sum(len(x[3]) + 1 for x in group)
-            group.clear()
-            least.clear()
+        def sent(*columns: np.ndarray | tuple) -> Iterator[pa.RecordBatch]:
+            if columns and len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_COVERED)
+
+        def solve(upto: int) -> Iterator[pa.RecordBatch]:
+            """Sends what the first ``upto`` of the held rows share; groups of one document have nothing to share."""
+            key, ord_ = [c[:upto] for c in held[:3]], held[3][:upto]
+            bounds = np.r_[np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in key])]), upto]
+            used = np.flatnonzero(np.repeat(ord_[bounds[:-1]] != ord_[bounds[1:] - 1], np.diff(bounds)))
+            if not len(used):
+                return
+            owner, at = covered_starts([texts[i] for i in used.tolist()], ord_[used])
+            ends = np.flatnonzero(np.r_[(owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1), True]) if len(at) else at
+            first = np.r_[0, ends[:-1] + 1][: len(ends)]
+            row = used[owner[ends]]
+            yield from sent(held[4][row], held[5][row] + at[first], held[5][row] + at[ends] + WIDTH)
 
         for batch in batches:
-            for key, lo, hi, ord_, uid, start, at, data in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            columns = [np.asarray(batch.column(i)).astype(np.int64) for i in range(7)]
+            data = batch.column(7).to_pylist()
+            alone = np.flatnonzero(columns[1] == columns[2]).tolist()
+            for k in alone:
+                key, lo, hi, ord_, uid, start, at = (int(c[k]) for c in columns)
                 if (key, lo, hi) != side:
-                    close()
+                    least.clear()
                     side = (key, lo, hi)
-                    if size >= run_bytes:
-                        yield from solve()
-                        chosen.clear()
-                        size = 0
-                if lo < hi:
-                    group.append((ord_, uid, start, data))
-                    continue
-                window = data[at - lo : at - lo + WIDTH]
+                window = data[k][at - lo : at - lo + WIDTH]
                 if least.setdefault(window, ord_) < ord_:
                     alike.append((uid, start + at - lo, start + at - lo + WIDTH))
-                    if len(alike) >= 50_000:
-                        yield from solve()
-                        chosen.clear()
-                        size = 0
-        close()
-        yield from solve()
+            yield from sent(*zip(*alike))
+            alike.clear()
+            if alone:
+                several = np.flatnonzero(columns[1] < columns[2])
+                columns, data = [c[several] for c in columns], [data[k] for k in several.tolist()]
+            held = [np.concatenate(x) for x in zip(held, columns)]
+            texts += data
+            size += sum(map(len, data)) + len(data)
+            if size >= run_bytes:
+                # the last group may go on in the next batch
+                closed = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in held[:3]]))
+                if len(closed):
+                    upto = int(closed[-1]) + 1
+                    yield from solve(upto)
+                    held, texts = [c[upto:] for c in held], texts[upto:]
+                    size = sum(map(len, texts)) + len(texts)
+        if texts:
+            yield from solve(len(texts))
 
     dealt = pieces.repartition(shuffle_width(pieces.sparkSession), "side", "lo", "hi").sortWithinPartitions("side", "lo", "hi", "ord")
     return dealt.mapInArrow(run, "uid long, start long, end long")
@@ -488,19 +490,31 @@ def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 _RESULT = pa.schema([("ord", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+def merged_spans(cover: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
+    """Starts and ends of each list's spans (struct start, end), joined where they overlap or touch, and where each list's begin."""
+    flat = cover.flatten()
+    start, end = (np.asarray(flat.field(c)) for c in ("start", "end"))
+    of = np.repeat(np.arange(len(cover)), np.asarray(cover.value_lengths()))
+    # one line for all lists, each beyond the ends of those before it
+    apart = of * (int(end.max(initial=0)) + 2)
+    order = np.argsort(start + apart)
+    start, end, of, apart = start[order], end[order], of[order], apart[order]
+    reach = np.maximum.accumulate(end + apart)
+    fresh = np.r_[True, (start + apart)[1:] > reach[:-1]][: len(start)]
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:], len(start)][: len(first)] - 1
+    return start[first].tolist(), (reach - apart)[last].tolist(), np.searchsorted(of[first], np.arange(len(cover) + 1)).tolist()
+
+
 def remove_spans(located: DataFrame, keep_text: bool = False) -> DataFrame:
     """located: ord, text, cover (array of struct start, end). The digest columns, and the remaining bytes if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for ord_, data, cover in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
-                spans: list[list[int]] = []
-                for s, e in sorted((c["start"], c["end"]) for c in cover):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
+            start, end, bounds = merged_spans(batch.column(2))
+            for k, (ord_, data) in enumerate(zip(batch.column(0).to_pylist(), _bytes(batch.column(1)))):
+                spans = list(zip(start[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]]))
                 at, parts = 0, []
                 for s, e in spans:
                     parts.append(data[at:s])

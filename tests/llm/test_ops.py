@@ -859,6 +859,65 @@ def test_suffix_dedup_splits_hot_sides(spark, monkeypatch, most):
     assert got == removed(rows) and split
 
 
+def test_suffix_dedup_shares_runs_of_groups_in_bulk(monkeypatch):
+    """What fragments share, over runs that end within batches, in far fewer calls of NumPy than there are fragments."""
+    import cProfile
+    import pstats
+    import random
+
+    import pyarrow as pa
+
+    class Pieces:  # hands back what is run in tasks
+        sparkSession = None
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(suffix_dedup, "shuffle_width", lambda _: 1)
+    r = random.Random(8)
+    rows, want = [], set()
+    for side in range(700):
+        # sides have bytes of their own; in every third the fragments are of one document
+        passage = bytes(r.randint(97, 104) for _ in range(84))
+        ords = sorted([side] * 3 if side % 3 == 0 else [r.randint(0, 5) for _ in range(r.randint(1, 6))])
+        for k, o in enumerate(ords):
+            a, b = r.randint(0, 15), r.randint(66, 84)
+            rows.append((side, 0, 17, o, 100 * side + k, 7 * k, 34 - a, passage[a:b]))
+        own = [x for x in rows if x[0] == side]
+        for x in own:
+            for at in range(len(x[7]) - 49):
+                if any(y[3] < x[3] and x[7][at : at + 50] in y[7] for y in own):
+                    want |= {(x[4], x[5] + at + i) for i in range(50)}
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), suffix_dedup._PIECES)], schema=suffix_dedup._PIECES)
+    run = suffix_dedup.shared(Pieces(), 20_000)
+    profile = cProfile.Profile()
+    out = profile.runcall(lambda: list(run(whole.slice(i, 501) for i in range(0, len(rows), 501))))
+    spans = [x for b in out for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert {(uid, i) for uid, s, e in spans for i in range(s, e)} == want and len(out) > 3
+    calls = {f[2]: x[1] for f, x in pstats.Stats(profile).stats.items() if "numpy" in f[0]}
+    assert max(calls.values()) < len(rows) / 4
+
+
+def test_spans_are_joined_where_they_touch():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    span = lambda a: {"start": a, "end": a + r.randint(1, 9)}
+    lists = [[span(r.randint(0, 40)) for _ in range(r.randint(0, 6))] for _ in range(500)] + [[], [{"start": 5, "end": 9}, {"start": 9, "end": 10}]]
+    cover = pa.array([[], *lists], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))).slice(1)
+    start, end, bounds = suffix_dedup.merged_spans(cover)
+    for k, own in enumerate(lists):
+        want: list[list[int]] = []
+        for c in sorted(own, key=lambda c: (c["start"], c["end"])):
+            if want and c["start"] <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], c["end"])
+            else:
+                want.append([c["start"], c["end"]])
+        assert [list(x) for x in zip(start, end)][bounds[k] : bounds[k + 1]] == want
+    assert suffix_dedup.merged_spans(cover.slice(0, 0)) == ([], [], [0])
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(3)
     for alphabet in (2, 4, 30):

@@ -450,9 +450,8 @@ def shared(pieces: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
         for batch in batches:
             columns = [np.asarray(batch.column(i)).astype(np.int64) for i in range(7)]
             data = batch.column(7).to_pylist()
-            alone = np.flatnonzero(columns[1] == columns[2]).tolist()
-            for k in alone:
-                key, lo, hi, ord_, uid, start, at = (int(c[k]) for c in columns)
+            alone = np.flatnonzero(columns[1] == columns[2])
+            for k, key, lo, hi, ord_, uid, start, at in zip(*(x.tolist() for x in (alone, *(c[alone] for c in columns)))):
                 if (key, lo, hi) != side:
                     least.clear()
                     side = (key, lo, hi)
@@ -461,7 +460,7 @@ def shared(pieces: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
                     alike.append((uid, start + at - lo, start + at - lo + WIDTH))
             yield from sent(*zip(*alike))
             alike.clear()
-            if alone:
+            if len(alone):
                 several = np.flatnonzero(columns[1] < columns[2])
                 columns, data = [c[several] for c in columns], [data[k] for k in several.tolist()]
             held = [np.concatenate(x) for x in zip(held, columns)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidframe.model import EDGE_SCHEMA
+from braidframe.operators import intervals as I
 from braidframe.operators import normalise as N
 from braidframe.operators import traverse as T
 from braidframe.plans import loops
@@ -64,3 +65,13 @@ def test_range_totals(spark):
     r = spark.createDataFrame([(1, 0, 99, "a"), (2, 0, 1, "b"), (3, 1, 99, "c")], "path_id long, start long, end long, name string")
     want = N.split_extract(g, r, full_range=True).join(g.lengths(), "node_id").groupBy("name").agg(F.count("*"), F.sum("len"))
     assert rows(N.range_totals(g, r)) == rows(want)
+
+
+def test_presence_with_cut_lists(spark, folder, monkeypatch):
+    """A node's groups come in lists, which are cut where they are long."""
+    monkeypatch.setattr(I, "GROUPS", 2)
+    g = graph(spark, ["AC", "G", "TTT"], [[1, 2], [2, 3], [3], [1, 2, 3], [2]])
+    r = spark.createDataFrame([(1, 0, 3, "a"), (2, 0, 4, "b"), (4, 2, 3, "c")], "path_id long, start long, end long, name string")
+    got = {(x.name, x.grp): round(x.pav, 6) for x in I.presence(g, r).collect()}
+    on = {"a": {"p1": 1, "p2": 1 / 3, "p4": 1, "p5": 1 / 3}, "b": {"p1": 0.25, "p2": 1, "p3": 0.75, "p4": 1, "p5": 0.25}, "c": {"p1": 1, "p2": 1, "p4": 1, "p5": 1}}
+    assert got == {(n, p): round(v, 6) for n, x in on.items() for p, v in x.items()}
